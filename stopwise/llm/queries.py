@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stopwise.llm.decontaminate import contamination
 from stopwise.llm.language import identify
 from stopwise.llm.lexicon import encode_corpus
+from stopwise.llm.neighbours import nearest
 from stopwise.llm.shards import shard_documents
 from stopwise.llm.simhash import simhash_groups
 from stopwise.llm.token_counts import token_counts
@@ -34,6 +35,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
