@@ -89,20 +89,16 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each pre-token."""
-        out: list = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.merge_long(w)
-            elif w:
-                short.append(i)
-            else:
-                out[i] = np.empty(0, np.int32)
-        if not short:
-            return out
-        lengths = np.array([len(words[i]) for i in short])
-        ids = self.base[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-        seq = np.repeat(np.arange(len(short)), lengths)
+        flat, counts = self.merge_flat(words)
+        return np.split(flat, np.cumsum(counts)[:-1]) if words else []
+
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pre-tokens in a row, and the number of tokens of each."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        long = [(i, self.merge_long(words[i])) for i in np.flatnonzero(lengths > LONG)]
+        short = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+        ids = self.base[np.frombuffer(b"".join(words if not long else [words[i] for i in short]), np.uint8)]
+        seq = np.repeat(short, lengths[short])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         ranks = self._ranks(ids, seq)
         while len(ids):
@@ -135,12 +131,11 @@ class Vocabulary:
             inner = ~last[changed]
             new[inner] = self.pair_ranks(ids[changed[inner]], ids[changed[inner] + 1])
             ranks[changed] = new
+        done += [(np.full(len(x), i), x) for i, x in long]
+        if not done:
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         seqs, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-        order = np.argsort(seqs, kind="stable")
-        ends = np.cumsum(np.bincount(seqs, minlength=len(short)))
-        for i, part in zip(short, np.split(flat[order], ends[:-1]), strict=True):
-            out[i] = part
-        return out
+        return flat[np.argsort(seqs, kind="stable")], np.bincount(seqs, minlength=len(words))
 
     def _ranks(self, ids: np.ndarray, seq: np.ndarray) -> np.ndarray:
         ranks = np.full(len(ids), NONE, np.int32)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm import bpe
-from stopwise.llm.common import text_chunks, write_shared
+from stopwise.llm.common import cut, text_chunks, write_shared
 
 #: Words that the lexicon holds at most; a bound on its size that no result depends on.
 LEXICON_WORDS = 20_000
@@ -121,14 +121,11 @@ class Automaton:
                 break
         return out
 
-    def tokens(self, place: int) -> np.ndarray:
-        return self.ids[self.starts[place] : self.starts[place + 1]]
-
 
 def word_counts(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
-    """``(word, n)`` over all rows: how often each piece (a word with its leading space) occurs.
+    """``(word, n)`` over all rows: how often each word of letters alone, up to 64 of them, stands between spaces.
 
-    Pieces longer than 64 bytes stay out, as no lexicon holds them.
+    A word carries the space before it, as in the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +133,7 @@ def word_counts(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame
         held: Counter = Counter()
 
         def hand_on() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in held.items() if len(w) <= 64]
+            kept = [(w, n) for w, n in held.items() if len(w) <= 64 and w.removeprefix(" ").isalpha()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -152,10 +149,19 @@ def word_counts(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame
     return df.select(df[text].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(df: DataFrame, vocab_path: str, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` frequent words of all rows, ties by word; a bounded list."""
-    top = word_counts(df, vocab_path, text).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
+def frequent_words(df: DataFrame, vocab_path: str, text: str = "text", most: int = LEXICON_WORDS, least: int = 4) -> list[str]:
+    """The most frequent words of all rows: at most ``most``, each at least ``least`` times.
+
+    Words of about one frequency (within a twelfth) are taken all or none, so that no sort is needed.
+    """
+    counts = cut(word_counts(df, vocab_path, text).where(F.col("n") >= least).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    lowest, held = 1 << 30, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        lowest = r["level"]
+    return [r["word"] for r in counts.where(F.col("level") >= lowest).select("word").collect()]
 
 
 def build_lexicon(words: list[str], vocab_path: str) -> Automaton:
@@ -170,21 +176,57 @@ def _mapped(name: str) -> Automaton:
 
 
 class Coder:
-    """Encodes and decodes texts; remembers the words that this process has met."""
+    """Encodes and decodes texts; remembers the words that this process has met.
+
+    ``seen`` gives a word's place in the flat arrays of tokens: first those of the lexicon, then
+    those of words merged here.
+    """
 
     def __init__(self, vocab_path: str, lexicon: Automaton):
-        self.vocab, self.lexicon, self.seen = bpe.vocabulary(vocab_path), lexicon, {}
+        self.vocab, self.lexicon = bpe.vocabulary(vocab_path), lexicon
+        self.decimals = {i: str(i) for i in self.vocab.bytes_of}
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.starts, self.ids = np.array(self.lexicon.starts), np.array(self.lexicon.ids)
 
     def learn(self, new: list[str]) -> None:
         """Tokens of new words: from the lexicon, or by exact merging."""
-        if len(self.seen) > bpe.MEMORY // 2:
-            self.seen.clear()
-        places = self.lexicon.find([w.encode() for w in new])
-        unseen = [w for w, p in zip(new, places, strict=True) if p < 0]
-        merged = dict(zip(unseen, bpe.encode_pieces(self.vocab, unseen), strict=True))
-        for word, place in zip(new, places, strict=True):
-            ids = (merged[word] if place < 0 else self.lexicon.tokens(place)).tolist()
-            self.seen[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        coded = [w.encode() for w in new]
+        places = self.lexicon.find(coded)
+        unseen = np.flatnonzero(places < 0)
+        ids, counts = self.vocab.merge_flat([coded[i] for i in unseen])
+        places[unseen] = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(unseen))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.seen.update(zip(new, places.tolist(), strict=True))
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if any(mark in text for mark in self.vocab.special):
+            return [w for p in self.vocab.split_special(text) for w in ([p] if p in self.vocab.special else bpe.pre_tokens(self.vocab, p))]
+        return bpe.pre_tokens(self.vocab, text)
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The token ids of each text."""
+        parts = [self.words(t) for t in texts]
+        words = set().union(*parts)
+        if len(self.seen) + len(words) > bpe.MEMORY:
+            self.clear()
+        new = words - self.seen.keys() - self.vocab.special.keys()
+        self.learn(list(new))
+        special = self.vocab.special
+        for part in parts:
+            if special.keys() & set(part):
+                yield [i for w in part for i in ([special[w]] if w in special else self.ids[self.starts[self.seen[w]] : self.starts[self.seen[w] + 1]].tolist())]
+                continue
+            place = np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))
+            count = self.starts[place + 1] - self.starts[place]
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[place] - ends + count, count)
+            yield self.ids[at].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the tokens stand for, special ones included."""
@@ -192,16 +234,8 @@ class Coder:
 
     def run(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """For each text its token count, its ids as decimals with commas, and the bytes decoded from them."""
-        parts = [bpe.pieces(self.vocab, t) if t else [] for t in texts]
-        words = set().union(*parts) if parts else set()
-        new = list(words - self.seen.keys())
-        if len(self.seen) + len(new) > bpe.MEMORY // 2:
-            self.seen.clear()
-            new = list(words)
-        self.learn(new)
-        for part in parts:
-            found = [self.seen[p] for p in part]
-            yield sum(x[0] for x in found), ",".join([x[1] for x in found]), b"".join([x[2] for x in found])
+        for ids in self.encode(texts):
+            yield len(ids), ",".join(map(self.decimals.__getitem__, ids)), self.decode(ids)
 
 
 _coders: dict[tuple[str, str], Coder] = {}

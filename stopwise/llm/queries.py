@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stopwise.llm.decontaminate import contamination
 from stopwise.llm.language import identify
 from stopwise.llm.lexicon import encode_corpus
+from stopwise.llm import licences
+from stopwise.llm.licences import licence_scan
 from stopwise.llm.neighbours import nearest
 from stopwise.llm.shards import shard_documents
 from stopwise.llm.simhash import simhash_groups
@@ -47,9 +49,17 @@ def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op9_licences": licences.oracle()}
