@@ -13,6 +13,7 @@ from stopwise.llm.lexicon import encode_corpus
 from stopwise.llm import licences
 from stopwise.llm.licences import licence_scan
 from stopwise.llm.neighbours import nearest
+from stopwise.llm.passages import repeated_passages
 from stopwise.llm.shards import shard_documents
 from stopwise.llm.simhash import simhash_groups
 from stopwise.llm.token_counts import token_counts
@@ -45,6 +46,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
