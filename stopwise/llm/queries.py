@@ -17,6 +17,7 @@ from stopwise.llm.passages import repeated_passages
 from stopwise.llm.shards import shard_documents
 from stopwise.llm.simhash import simhash_groups
 from stopwise.llm.token_counts import token_counts
+from stopwise.llm.toxicity import learn, toxicity
 
 #: Name of the vocabulary file of the token queries.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
