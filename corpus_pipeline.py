@@ -1,3 +1,69 @@
-"""A corpus-cleaning pipeline of five stages over ``documents``."""
+"""A corpus-cleaning pipeline of five stages over ``documents``.
 
-STAGES = []
+Language identification, SimHash near-dedup, repeated passages, benchmark decontamination, and BPE
+encoding. Every stage but the last gives rows of documents; what a stage drops or cuts is gone for
+those after it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stopwise.llm.common import cut
+from stopwise.llm.decontaminate import contamination
+from stopwise.llm.language import fold, predict, prototypes
+from stopwise.llm.lexicon import encode_corpus
+from stopwise.llm.passages import remove_passages
+from stopwise.llm.simhash import simhash_groups
+
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without a letter go."""
+    learned = prototypes(docs.where(fold(docs["doc_id"], 5) != 0))
+    return predict(docs, learned).where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the document with the smallest id; of rows that share it, one."""
+    groups = simhash_groups(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those left without words go."""
+    return remove_passages(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(docs, items).where(~F.col("contaminated")).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and the decoded text."""
+    return encode_corpus(docs, public_tokenizers.path(BYTE_BPE))
+
+
+STAGES = [
+    ("language", language),
+    ("simhash", near_copies),
+    ("passages", passages),
+    ("decontamination", decontamination),
+    ("bpe", encoding),
+]
+#: SQL expresses neither the vectors, the fingerprints nor the token merges.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
