@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import cut
+from stopwise.llm.common import cut, measured
 from stopwise.llm.decontaminate import contamination
 from stopwise.llm.language import fold, predict, prototypes
 from stopwise.llm.lexicon import encode_corpus
@@ -28,10 +28,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id; of rows that share it, one."""
-    groups = simhash_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each SimHash group the document with the smallest id; of rows that share an id, one. Rows without id stay."""
+    groups = cut(simhash_groups(docs))
+    later = measured(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), 16)
+    shared = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    shared = measured(cut(shared), 16)
+    first = docs.join(later, "doc_id", "left_anti")
+    again = first.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.join(shared, "doc_id", "left_anti").union(again).select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
