@@ -44,8 +44,8 @@ FEATURES = DAYS | {
   window w as (partition by trip_key order by stop_seq), upto as (partition by trip_key order by stop_seq rows unbounded preceding), prev as (partition by trip_key order by stop_seq rows between unbounded preceding and 1 preceding)""",
     "feat": f"""select l.operating_day, l.trip_key, l.stop_seq, l.horizon_min, {SPLIT.format('l.operating_day')} as split, l.delta_min, l.in_common_subset, p.pred_historical, coalesce(f.is_disruption_day, false) as is_disruption_day,
   l.line_name, l.station_id, l.target_seq, l.d0_min, c.arr_delay_min as arr_delay_now_min, c.dep_delay_min - c.arr_delay_min as dwell_excess_now_min, c.lag1 as delay_lag1_min, l.d0_min - c.lag1 as delta_last1_min,
-  c.lag3 as delay_lag3_min, l.d0_min - c.lag3 as delta_last3_min, c.lag5 as delay_lag5_min, l.d0_min - c.lag5 as delta_last5_min, 10 * (l.d0_min - c.lag3) / nullif(gap3, 0) as trend3_per10min,
-  10 * (l.d0_min - c.lag5) / nullif(gap5, 0) as trend5_per10min, c.max_prev_delay_min, c.n_observed_prev, (t.run_before - c.run_before) + (t.dwell_before - c.dwell_before - c.dr) as slack_to_target_min,
+  c.lag3 as delay_lag3_min, l.d0_min - c.lag3 as delta_last3_min, c.lag5 as delay_lag5_min, l.d0_min - c.lag5 as delta_last5_min, 10 * (l.d0_min - c.lag3) / nullif(c.gap3, 0) as trend3_per10min,
+  10 * (l.d0_min - c.lag5) / nullif(c.gap5, 0) as trend5_per10min, c.max_prev_delay_min, c.n_observed_prev, (t.run_before - c.run_before) + (t.dwell_before - c.dwell_before - c.dr) as slack_to_target_min,
   t.run_before - c.run_before as run_reserve_to_target_min, t.dwell_before - c.dwell_before - c.dr as dwell_reserve_to_target_min, l.sched_gap_min, l.target_seq - l.stop_seq as n_stops_to_target,
   c.n_stops - l.stop_seq as stops_remaining, l.stop_seq / c.n_stops as frac_journey, c.minutes_since_origin, c.dwell_plan as planned_dwell_now_min, l.hour, isodow(l.operating_day) as weekday, l.day_type, l.category,
   l.operator_abbr, c.enters_from_abroad, c.is_extra_trip from lab l join st2 c on c.trip_key = l.trip_key and c.stop_seq = l.stop_seq join st2 t on t.trip_key = l.trip_key and t.stop_seq = l.target_seq
