@@ -10,6 +10,7 @@ adding weights. A text's score is a logistic function of its most suspicious wor
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ SPREAD = 6
 LETTERS = 40
 LANDMARKS = 160
 #: Labelled rows to learn from, at most, of each label.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
+TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
 #: Signs that stand for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_]\s){2,}[^\W\d_](?=\s|$)")
@@ -88,7 +89,9 @@ def _norms(words: list[str], parts: list) -> np.ndarray:
 
 
 def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's decision for each word."""
+    """The machine's decision for each word, some thousand words at a time."""
+    if len(words) > 20_000:
+        return np.concatenate([margins(words[i : i + 20_000], weights, bias) for i in range(0, len(words), 20_000)])
     total = np.zeros(len(words))
     parts = list(subsequences(words))
     for unit, code, weight in parts:
@@ -107,7 +110,7 @@ def embed(words: list[str]) -> np.ndarray:
 
 def _kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of words with landmark rows."""
-    return np.concatenate([embed(words[i : i + 500]) @ landmarks.T for i in range(0, len(words), 500)])
+    return np.concatenate([embed(words[i : i + 250]) @ landmarks.T for i in range(0, len(words), 250)])
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -135,8 +138,7 @@ class Model:
     def features(self, texts: list[list[str]], known: dict[str, float]) -> np.ndarray:
         """A row for each text: the largest margins, and how many words and what part of them are suspicious."""
         new = list(set().union(*texts) - known.keys())
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], margins(new[i : i + 20_000], self.weights, self.bias).tolist(), strict=True))
+        known.update(zip(new, margins(new, self.weights, self.bias).tolist(), strict=True))
         out = np.zeros((len(texts), FEATURES))
         out[:, :2] = -2
         for row, words in zip(out, texts, strict=True):
@@ -170,7 +172,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 5) -> Model:
     then each toxic text's most suspicious words take their place. Texts that repeat count once.
     """
     rng = np.random.default_rng(seed)
-    pos, neg = ([words_of(t) for t in sorted(set(x))] for x in (toxic, clean))
+    pos, neg = ([[*map(sys.intern, words_of(t))] for t in sorted(set(x))] for x in (toxic, clean))
     nothing = Model(np.zeros(SYMBOLS**3), -1.0, np.r_[np.zeros(FEATURES), -30.0])
     if not pos or not neg:
         return nothing
