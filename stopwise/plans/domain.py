@@ -74,11 +74,11 @@ def window_sql(column: str, width: int) -> str:
 
 
 def q(name: str, sql: str, extra: dict, f, upto: str = "labels_") -> None:
-    query(name, oracle(sql, upto, extra))(f)
+    query(name, oracle(sql, upto, extra) if sql else None)(f)
 
 
-def rounded(df, skip: tuple = ()):
-    return df.select(*[F.round(c, R).alias(c) if t == "double" and c not in skip else c for c, t in df.dtypes])
+def rounded(df, digits: int = R):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 def r_sql(columns: str, source: str, doubles: str) -> str:

@@ -45,11 +45,11 @@ _b5 = PRED | LONG | {k: v for k, v in _b5.items() if k not in PRED} | {"ex": "se
 q("M05_evaluate", f"select horizon_min, model, {CI}, days, round(p90, 6) as p90 from tot join ci using (horizon_min, model) join ex using (horizon_min, model)", _b5, lambda s, d: rounded(ev.evaluate(pred(s, d), "y", ["p50", "base"], ["horizon_min"], draws=DRAWS)))
 q("M06_stratified_diff", f"select d0_bucket, {CI}, lo > 0 or hi < 0 as significant from tot join ci using (d0_bucket)", boot("abs(y - p50) - abs(y - base)", "d0_bucket"),
   lambda s, d: rounded(ev.mae_diff_ci(pred(s, d).withColumn("d0_bucket", ev.d0_bucket("d0_min", C)), "y", "p50", "base", ["d0_bucket"], draws=DRAWS)))
-IM = "count(*) as n, round(avg((y between q10 and q90)::int), 6) as coverage, round(avg((y < q10)::int), 6) as below, round(avg((y > q90)::int), 6) as above, round(avg(q90 - q10), 6) as width_mean, round(median(q90 - q10), 6) as width_median, " \
-    "round(avg((q10 > q90)::int), 6) as crossing, round(avg(greatest(0.1 * (y - q10), -0.9 * (y - q10))), 6) as pinball_lo, round(avg(greatest(0.9 * (y - q90), -0.1 * (y - q90))), 6) as pinball_hi"
-q("M07_interval_metrics", f"select horizon_min, {IM} from pred where p50 is not null group by all", PRED, lambda s, d: rounded(ev.interval_metrics(pred(s, d).where("p50 is not null"), "y", "q10", "q90", ["horizon_min"])))
+IM = "count(*) as n, round(avg((y between q10 and q90)::int), 8) as coverage, round(avg((y < q10)::int), 8) as below, round(avg((y > q90)::int), 8) as above, round(avg(q90 - q10), 8) as width_mean, round(median(q90 - q10), 8) as width_median, " \
+    "round(avg((q10 > q90)::int), 8) as crossing, round(avg(greatest(0.1 * (y - q10), -0.9 * (y - q10))), 8) as pinball_lo, round(avg(greatest(0.9 * (y - q90), -0.1 * (y - q90))), 8) as pinball_hi"
+q("M07_interval_metrics", f"select horizon_min, {IM} from pred where p50 is not null group by all", PRED, lambda s, d: rounded(ev.interval_metrics(pred(s, d).where("p50 is not null"), "y", "q10", "q90", ["horizon_min"]), 8))
 q("M08_interval_report", f"select horizon_min, d0_bucket, {IM} from (select * from pred where p50 is not null union all select * replace ('all' as d0_bucket) from pred where p50 is not null) group by all", PRED,
-  lambda s, d: rounded(ev.interval_report(pred(s, d).where("p50 is not null"), "y", "q10", "q90", C)))
+  lambda s, d: rounded(ev.interval_report(pred(s, d).where("p50 is not null"), "y", "q10", "q90", C), 8))
 
 
 def hq(x: str, c: float, by: str, source: str = "pred") -> str:
