@@ -114,8 +114,8 @@ def contamination(
     A word is hit if it lies inside an occurrence of a window of an item; a row is contaminated if
     at least a twentieth of its words, and at least one, are hit. items_sha256 is of the ids of the
     items that occur, sorted as text and joined by commas. Null texts and null items have no words;
-    empty tables and texts work; repeated rows each get their result. The result's five names may
-    not be among ``keep``.
+    empty tables and texts work; repeated rows each get their result. Columns of ``docs``
+    with one of the five names give way to the result.
     """
     windows = cut(windows_of(items, item, item_text, width))
     matches = cut(phrase_matches(docs, windows, key, text))
@@ -125,7 +125,8 @@ def contamination(
     named = matches.select("row", F.explode("items").alias("item")).distinct()
     ids = named.groupBy("row").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("ids"))
     found = cut(hit.join(ids, "row"))
-    keep = docs.columns if keep is None else keep
+    made = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
+    keep = [c for c in docs.columns if c not in made] if keep is None else keep
     rows = docs.select(*keep, F.xxhash64(docs[key], docs[text]).alias("_row"), F.size(words_of(docs[text], lowered=False)).cast("long").alias("n_words"))
     joined = rows.join(measured(found, 256), rows["_row"] == found["row"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -154,15 +154,22 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        new = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (y - p) - 0.05 * w)
-        if np.allclose(new, w, atol=1e-6):
-            break
-        w = new
-    return w
+    """Weights of a logistic function, none of them negative, so that more evidence never lowers a score; the last is the bias."""
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.c_[x[:, used], np.ones(len(x))]
+        w = np.zeros(z.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            new = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w)), z.T @ (y - p) - 0.05 * w)
+            if np.allclose(new, w, atol=1e-6):
+                break
+            w = new
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[used], out[-1] = w[:-1], w[-1]
+            return out
+        used = [u for u, v in zip(used, w[:-1], strict=True) if v >= 0]
 
 
 def fit(toxic: list[str], clean: list[str], seed: int = 5) -> Model:
