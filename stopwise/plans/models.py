@@ -14,7 +14,7 @@ KEYS = ["trip_key", "stop_seq", "horizon_min"]
 
 
 def _parts(s, d):
-    f = features(s, d).where("horizon_min = 15")
+    f = features(s, d).where("horizon_min = 15").persist()
     return f.where("split = 'train'"), f.where("split = 'valid'"), f.where("split = 'test'")
 
 
