@@ -31,7 +31,7 @@ def trip(name, stations, late=1, gap=20, **flags):
 
 @pytest.fixture(scope="module")
 def journeys(spark):
-    rows = trip("a", [8500001, 8500002, 8500003, 8500004, 8500005])[::-1] + trip("b", [8000001, 8500001, 8500002]) + trip("c", [8500001, 8500001, 8500003]) + trip("d", [8500001, 8500002, 8500003], late=-9) + trip("e", [8500001, 8500002, 8500003], cancelled=1)
+    rows = trip("a", [8500001, 8500002, 8500003, 8500004, 8500005])[::-1] + trip("b", [8000001, 8500001, 8500002]) + trip("c", [8500001, 8500001, 8500003]) + trip("d", [8500001, 8500002, 8500003], late=-9) + trip("e", [8500001, 8500002, 8500003], cancelled=1) + trip("f", [8500005, 8500001])
     t = spark.createDataFrame(rows, SCHEMA)
     return jn.reconstruct_journeys(t, jn.station_quality(t, C), C)
 
@@ -61,7 +61,7 @@ def test_window_edges(spark):
 
 def test_higher_quantile(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(1, 11)], "g string, x double")
-    assert higher_quantile(df, df["x"], 0.8, ["g"]).first()["offset"] == 9.0  # level 0.9, rank ceil(8.1) + 1
+    assert higher_quantile(df, df["x"], 0.8, ["g"]).first()["offset"] == 10.0  # level 0.9, place ceil(8.1) from 0
 
 
 def test_ingest(spark, tmp_path):
