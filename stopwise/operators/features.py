@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from stopwise.config import Config
 from stopwise.functions.columns import date_split, day_type, elapsed_min, iso_weekday, ratio
 
-BY_STOP = Window.partitionBy("trip_key").orderBy("stop_seq")
+def by_stop():
+    """The stops of a trip in order."""
+    return Window.partitionBy("trip_key").orderBy("stop_seq")
+
 
 
 def _train_days(df: DataFrame, cfg: Config) -> DataFrame:
@@ -18,8 +21,8 @@ def _train_days(df: DataFrame, cfg: Config) -> DataFrame:
 def segment_reference(journeys: DataFrame, cfg: Config) -> DataFrame:
     """Fast running time and median planned time of each pair of neighbouring stations, on training days."""
     s = _train_days(journeys, cfg).select(
-        F.col("station_id").alias("from_station_id"), F.lead("station_id").over(BY_STOP).alias("to_station_id"),
-        elapsed_min("dep_planned", F.lead("arr_planned").over(BY_STOP)).alias("plan"), (F.lead("arr_delay_min").over(BY_STOP) - F.col("dep_delay_min")).alias("gain"),
+        F.col("station_id").alias("from_station_id"), F.lead("station_id").over(by_stop()).alias("to_station_id"),
+        elapsed_min("dep_planned", F.lead("arr_planned").over(by_stop())).alias("plan"), (F.lead("arr_delay_min").over(by_stop()) - F.col("dep_delay_min")).alias("gain"),
     ).where("to_station_id is not null and plan is not null and gain is not null")
     return s.groupBy("from_station_id", "to_station_id").agg(
         F.count("*").alias("n"), F.median("plan").alias("planned_run_median_min"), F.percentile(F.col("plan") + F.col("gain"), cfg.reference_quantile).alias("run_ref_min")
@@ -36,10 +39,10 @@ def dwell_reference(journeys: DataFrame, cfg: Config) -> DataFrame:
 def stop_states(journeys: DataFrame, segments: DataFrame, dwells: DataFrame) -> DataFrame:
     """Each stop with its reserves, their sums before it, and what was seen before it. One shuffle by trip."""
     trip = Window.partitionBy("trip_key")
-    before = BY_STOP.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_stop().rowsBetween(Window.unboundedPreceding, -1)
     s = journeys.select(
         "trip_key", "stop_seq", "n_stops", "station_id", "category", "arr_delay_min", "dep_delay_min", "dep_planned", "enters_from_abroad", "is_extra_trip", "operator_abbr", "operating_day",
-        F.lead("station_id").over(BY_STOP).alias("next_station_id"), elapsed_min("dep_planned", F.lead("arr_planned").over(BY_STOP)).alias("planned_run_min"),
+        F.lead("station_id").over(by_stop()).alias("next_station_id"), elapsed_min("dep_planned", F.lead("arr_planned").over(by_stop())).alias("planned_run_min"),
         elapsed_min("arr_planned", "dep_planned").alias("planned_dwell_min"),
     )
     run = segments.select(F.col("from_station_id").alias("station_id"), F.col("to_station_id").alias("next_station_id"), "run_ref_min")
@@ -47,8 +50,8 @@ def stop_states(journeys: DataFrame, segments: DataFrame, dwells: DataFrame) ->
     s = s.withColumn("run_reserve", F.col("planned_run_min") - F.col("run_ref_min")).withColumn("dwell_reserve", F.col("planned_dwell_min") - F.col("dwell_ref_min"))
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0.0))).over(before), F.lit(0.0))
     return s.select(
-        "*", total("run_reserve").alias("run_before"), total("dwell_reserve").alias("dwell_before"), *[F.lag("dep_delay_min", k).over(BY_STOP).alias(f"lag{k}") for k in (1, 3, 5)],
-        *[elapsed_min(F.lag("dep_planned", k).over(BY_STOP), "dep_planned").alias(f"gap{k}") for k in (3, 5)], F.max("dep_delay_min").over(before).alias("max_prev_delay_min"),
+        "*", total("run_reserve").alias("run_before"), total("dwell_reserve").alias("dwell_before"), *[F.lag("dep_delay_min", k).over(by_stop()).alias(f"lag{k}") for k in (1, 3, 5)],
+        *[elapsed_min(F.lag("dep_planned", k).over(by_stop()), "dep_planned").alias(f"gap{k}") for k in (3, 5)], F.max("dep_delay_min").over(before).alias("max_prev_delay_min"),
         F.count("dep_delay_min").over(before).alias("n_observed_prev"), elapsed_min(F.min("dep_planned").over(trip), "dep_planned").alias("minutes_since_origin"),
     )
 

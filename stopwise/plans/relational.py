@@ -20,8 +20,12 @@ def q(name: str, sql: str, upto: str | None, f) -> None:
 
 
 T, J, L = "trains", "journeys", "labels_"
-#: Relative order of stops and of labelled points.
-BY_STOP = Window.partitionBy("trip_key").orderBy("stop_seq")
+
+
+def by_stop():
+    """The stops of a trip in order."""
+    return Window.partitionBy("trip_key").orderBy("stop_seq")
+
 
 # B: projections, filters, predicates
 q("B02_mode_filter", "select count(*) as n from trains where upper(transport_mode) = 'ZUG'", T, lambda s, d: trains(s, d).where(F.upper("transport_mode") == "ZUG").agg(F.count("*").alias("n")))
@@ -116,11 +120,11 @@ q("D21_complete_groups", "select trip_key, stop_seq, horizon_min from (select *,
 q("E01_row_number", "select trip_key, station_id, full_seq from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "station_id", "full_seq"))
 q("E02_partition_count", "select trip_key, full_seq, full_n from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "full_seq", "full_n"))
 q("E03_lead_lag", "select trip_key, stop_seq, lead(station_id) over w as next_station, lag(dep_delay_min, 1) over w as lag1, lag(dep_delay_min, 3) over w as lag3, lag(dep_delay_min, 5) over w as lag5 from journeys window w as (partition by trip_key order by stop_seq)", J,
-  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.lead("station_id").over(BY_STOP).alias("next_station"), *[F.lag("dep_delay_min", k).over(BY_STOP).alias(f"lag{k}") for k in (1, 3, 5)]))
+  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.lead("station_id").over(by_stop()).alias("next_station"), *[F.lag("dep_delay_min", k).over(by_stop()).alias(f"lag{k}") for k in (1, 3, 5)]))
 q("E04_before_current", "select trip_key, stop_seq, max(dep_delay_min) over w as max_prev, count(dep_delay_min) over w as n_prev from journeys window w as (partition by trip_key order by stop_seq rows between unbounded preceding and 1 preceding)", J,
-  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.max("dep_delay_min").over(BY_STOP.rowsBetween(Window.unboundedPreceding, -1)).alias("max_prev"), F.count("dep_delay_min").over(BY_STOP.rowsBetween(Window.unboundedPreceding, -1)).alias("n_prev")))
+  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.max("dep_delay_min").over(by_stop().rowsBetween(Window.unboundedPreceding, -1)).alias("max_prev"), F.count("dep_delay_min").over(by_stop().rowsBetween(Window.unboundedPreceding, -1)).alias("n_prev")))
 q("E05_running_total", "select trip_key, stop_seq, round(sum(coalesce(dep_delay_min, 0)) over (partition by trip_key order by stop_seq rows unbounded preceding), 6) as total from journeys", J,
-  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.round(F.sum(F.coalesce("dep_delay_min", F.lit(0.0))).over(BY_STOP.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("total")))
+  lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.round(F.sum(F.coalesce("dep_delay_min", F.lit(0.0))).over(by_stop().rowsBetween(Window.unboundedPreceding, 0)), 6).alias("total")))
 q("E06_partition_min", "select trip_key, stop_seq, min(dep_planned) over (partition by trip_key) as origin, bool_and(is_eligible_stop) over (partition by trip_key) as all_eligible from journeys", J,
   lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.min("dep_planned").over(Window.partitionBy("trip_key")).alias("origin"), F.bool_and("is_eligible_stop").over(Window.partitionBy("trip_key")).alias("all_eligible")))
 q("E07_share_of_total", "select category, line_name, count(*) as n, count(*) / sum(count(*)) over () as share, count(*) / sum(count(*)) over (partition by category) as in_category from journeys group by category, line_name", J,
