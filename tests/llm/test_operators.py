@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stopwise.llm import bpe, licences, passages
 from stopwise.llm.decontaminate import contamination, proximity_matches, windows_of
 from stopwise.llm.language import identify
@@ -123,6 +124,25 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_of_all_scripts(spark):
+    texts = ["a 漢字 b", "nice 😀 day", "ab漢字cd e", "한국어 かな　カナ ＡＢ 𐐀 x", "😀", "漢字。" * 40]
+    assert [w for t in texts for _, _, said in passages.paragraphs(t, 1) for w in said] == [w for t in texts for w in t.lower().split()]
+    p = passages.Paragraphs(texts, 1)
+    assert [t[a:b].lower().split() for t, a, b in zip([texts[i] for i in p.text], p.start, p.end)] == [s.split() for s in p.said()]
+    shared = " ".join(f"漢字{i} 😀 語{i * 7} 仮名{i + 3} かな{i * 5} x{i}." for i in range(20))
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate([*texts, f"一 二 三 {shared}", f"{shared} four 五"])], SCHEMA)
+    assert sorted(r["doc_id"] for r in passages.repeated_passages(docs).collect()) == [6, 7]
+    kept = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
+    assert all(kept[i] == t for i, t in enumerate(texts)) and kept[6].startswith("一 二 三") and len(kept[7]) < len(shared)
+
+
+def test_pipeline_of_all_scripts(spark, tmp_path):
+    texts = ["a 漢字 b", "nice 😀 day", "ab漢字cd e", "plain words of the day", "noch ein paar Worte", "한국어 😀 かな　カナ"]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "what is the answer to a question that nobody asked before")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(len(texts)))
+
+
 def test_similar_pairs():
     said = ["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o p q", "z y x w v u t s r q p o"]
     assert passages.similar_pairs(said, np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
