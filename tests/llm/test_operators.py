@@ -136,6 +136,29 @@ def test_passages_of_all_scripts(spark):
     assert all(kept[i] == t for i, t in enumerate(texts)) and kept[6].startswith("一 二 三") and len(kept[7]) < len(shared)
 
 
+def test_passages_cut_anywhere(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    texts, expected = [], {}
+    for i in range(40):
+        size = [50, 51, 60, 51][i % 4]
+        source = " ".join(sentence(rng.choice([16, 20, 30])) for _ in range(8)).split()
+        at = rng.randrange(len(source) - size)
+        shared = source[at : at + size]
+        texts += [" ".join(source), " ".join([sentence(20), *shared, sentence(17)])]
+        if size > 50:
+            expected |= {2 * i: size, 2 * i + 1: size}
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = passages.repeated_passages(docs).collect()
+    assert {r["doc_id"]: r["n_words"] for r in got} == expected and len(got) == len(expected)
+    for r in got:
+        said = texts[r["doc_id"]][r["start"] : r["end"]].split()
+        assert len(said) == r["n_words"] and (r["removed_words"], r["first_keys"]) == ((0, []) if r["doc_id"] % 2 == 0 else (r["n_words"], [r["doc_id"] - 1]))
+    kept = {r["doc_id"]: r["text"] for r in passages.remove_passages(docs).collect()}
+    assert all(len(kept[i].split()) == len(t.split()) - (expected.get(i, 0) if i % 2 else 0) for i, t in enumerate(texts))
+
+
 def test_pipeline_of_all_scripts(spark, tmp_path):
     texts = ["a 漢字 b", "nice 😀 day", "ab漢字cd e", "plain words of the day", "noch ein paar Worte", "한국어 😀 かな　カナ"]
     spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
