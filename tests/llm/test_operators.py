@@ -159,6 +159,17 @@ def test_passages_cut_anywhere(spark):
     assert all(len(kept[i].split()) == len(t.split()) - (expected.get(i, 0) if i % 2 else 0) for i, t in enumerate(texts))
 
 
+def test_passages_stand_in_one_other_row(spark):
+    rng = random.Random(6)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8)).capitalize() + "." for _ in range(40)]
+    rows = [" ".join(lines[:8])] + [f"{lines[i]} {lines[20 + i]}" for i in range(8)]  # stitched from eight rows
+    whole = lines[10:18]
+    rows += [" ".join(whole), " ".join([lines[18], *whole]), " ".join(whole[:4] + ["other"] + whole[4:])]
+    rows += [rows[9], None, ""]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    assert {r["doc_id"]: (r["n_words"], r["removed_words"]) for r in passages.repeated_passages(docs).collect()} == {9: (64, 0), 10: (64, 64), 12: (64, 64)}
+
+
 def test_pipeline_of_all_scripts(spark, tmp_path):
     texts = ["a 漢字 b", "nice 😀 day", "ab漢字cd e", "plain words of the day", "noch ein paar Worte", "한국어 😀 かな　カナ"]
     spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
