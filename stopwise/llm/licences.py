@@ -1,8 +1,9 @@
 """Licence recognition by sentences and ordered rules, in DataFrame expressions only.
 
 A text is cut into sentences, each is reduced to lower-case letters, digits and single spaces, and
-the sentences that some licence is made of become their numbers. A rule is a sequence of numbers; it
-matches where they follow one another, with few unknown sentences between.
+the sentences that some licence is made of become their numbers, also where line ends or colons cut
+them into several. A rule is a sequence of numbers; it matches where they follow one another, with
+few unknown sentences between.
 """
 
 from __future__ import annotations
@@ -75,9 +76,27 @@ def sentences_of(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "")
 
 
+def numbered(found: Column, known: list[str]) -> Column:
+    """The sentences ``found`` with each known one as ``<n>``, whether it is one of them or several in a row.
+
+    Longer known sentences go first, as a line end may leave a shorter one at their beginning.
+    """
+    order = sorted((n for n, k in enumerate(known, 1) if k), key=lambda n: (-len(known[n - 1]), n))
+    table = F.array(
+        *[F.struct(F.lit(known[n - 1]).alias("said"), F.lit("\n" + known[n - 1].replace(" ", "[ \n]") + "(?=\n)").alias("pattern"), F.lit(f"\n<{n}>").alias("shown")) for n in order]
+    )
+    # filter's list is taken from the text once, so that most texts meet no pattern at all
+    said = F.array_join(found, " ")
+    held = F.filter(table, lambda x: F.contains(said, x["said"]))
+    lines = F.concat(F.lit("\n"), F.array_join(found, "\n"), F.lit("\n"))
+    shown = F.aggregate(held, lines, lambda a, x: F.regexp_replace(a, x["pattern"], x["shown"]))
+    return F.array_remove(F.split(shown, "\n"), "")
+
+
 def licence_scan(df: DataFrame, text: str = "text", key: str = "doc_id", sentences: list[str] | None = None, rules: list | None = None, gap: int = GAP) -> DataFrame:
     """``(key, n_sentences, sentence_ids, rules, licences)`` for every row of ``df``.
 
+    n_sentences counts what marks and line ends cut; a known sentence may take up several of these.
     sentence_ids shows the known sentences in order, ``<n>`` each, with ``|`` where more than
     ``gap`` unknown ones lie between; rules names the matching rules, in rule order, without those
     whose sentences are all part of another matching rule; licences are theirs, sorted, each once.
@@ -88,7 +107,8 @@ def licence_scan(df: DataFrame, text: str = "text", key: str = "doc_id", sentenc
     known = [normal(s) for s in (SENTENCES if sentences is None else sentences)]
     rules = RULES if rules is None else rules
     found = df.select(df[key].alias("key"), F.coalesce(sentences_of(df[text]), F.array().cast("array<string>")).alias("all"))
-    numbers = F.transform("all", lambda s, i: F.struct(F.array_position(F.array(*map(F.lit, known)), s).cast("int").alias("n"), i.alias("at")))
+    found = found.select("key", "all", F.when(F.size("all") > 0, numbered(F.col("all"), known)).otherwise(F.col("all")).alias("named"))
+    numbers = F.transform("named", lambda s, i: F.struct(F.when(s.startswith("<"), F.substring_index(F.substring(s, 2, 12), ">", 1).cast("int")).alias("n"), i.alias("at")))
     hits = found.select("key", F.size("all").cast("long").alias("n_sentences"), F.filter(numbers, lambda x: x["n"] > 0).alias("hits"))
     shown = F.expr(
         "aggregate(hits, named_struct('last', -1, 'shown', ''), (a, x) -> named_struct('last', x.at, 'shown', "

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -202,6 +203,23 @@ def test_licences(spark):
     assert got[1]["rules"] == "mit-notice" and got[2]["rules"] == "mit-text" and got[2]["licences"] == "MIT" and got[3]["rules"] == got[4]["rules"] == ""
 
 
+def test_licences_wrapped(spark):
+    texts, names, whole = [], [], {"break_long_words": False, "break_on_hyphens": False}
+    for name, _, ids in licences.RULES:
+        said = [licences.SENTENCES[n - 1] for n in ids]
+        texts.append("\n".join(said))
+        for width in (40, 72, 79):
+            texts.append("Copyright 2020 A\n\n" + "\n".join(textwrap.fill(s, width, **whole) for s in said) + "\n\nMore text.")
+            texts.append("/*\n" + "\n *\n".join(textwrap.fill(s, width, initial_indent=" * ", subsequent_indent=" * ", **whole) for s in said) + "\n */")
+        texts.append("\n".join(said).replace(" at http", " at\n\n    http"))
+        names += [name] * (len(texts) - len(names))
+    cut = licences.SENTENCES[5].replace("2.0 (", "2.0\n(")  # its first line is sentence 5
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate([*texts, cut])], SCHEMA)
+    got = {r["doc_id"]: r for r in licences.licence_scan(docs).collect()}
+    assert {(names[i], got[i]["rules"]) for i in range(len(texts)) if got[i]["rules"] != names[i]} == set()
+    assert got[len(texts)]["sentence_ids"] == "<6>"
+
+
 def test_shards(spark, docs):
     many = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i % 80}", "", "") for i in range(400)], SCHEMA).union(docs)
     got = shard_documents(many, shards=8).collect()
