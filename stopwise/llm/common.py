@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: A key that holds one of so many rows, or more, is hot.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,12 +59,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows of about ``row_bytes`` fit in ``most`` bytes.
+def measured(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, measured one by one, fit in ``most`` bytes together.
 
-    Beyond the bound the frame is returned unmarked, and Spark shuffles both sides.
+    A row counts as its fields written out, and 8 bytes for each and 16 for itself. Beyond the
+    bound the frame is returned unmarked, and Spark shuffles both sides. ``df`` should be cut, as
+    it is read twice.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
+    fields = F.octet_length(F.to_json(F.struct("*"))) + F.lit(8 * len(df.columns) + 16)
+    size = df.agg(F.sum(fields.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def join_counted(big: DataFrame, counted: DataFrame, by: str, hot: int = HOT) -> DataFrame:
+    """Inner join of ``big`` with ``counted``, which has one row a key and says in ``n`` how many rows of ``big`` hold it.
+
+    Keys with a part of 1/``hot`` of all those rows or more, at most ``hot`` of them by
+    arithmetic, are broadcast, so that no key's rows meet in one task; the rest is shuffled.
+    ``counted`` should be cut.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * F.lit(hot) >= F.lit(total)
+    many, few = counted.where(often).drop("n"), counted.where(~often).drop("n")
+    others = big.join(F.broadcast(many.select(by)), by, "left_anti").join(few, by)
+    return big.join(F.broadcast(many), by).unionByName(others)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -121,8 +140,3 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
             joined.where("v = m").select("u", F.col("m").alias("v"))
         )
     return out.where("u <> v").distinct()
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks for reuse within one job; Spark recomputes lost blocks."""
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -65,7 +65,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, key: str = "doc_id", tex
     """
     rows = _rows(docs, key, text)
     terms = cut(windows.select(F.explode("words").alias("term")).distinct())
-    seen = rows.select(F.explode("words").alias("term")).join(measured(terms, 64), "term", "left_semi")
+    seen = rows.select(F.explode("words").alias("term")).join(measured(terms), "term", "left_semi")
     frequency = seen.groupBy("term").agg(F.count("*").alias("n"))
     placed = windows.select("window", "words", "items", F.posexplode("words").alias("offset", "term"))
     rarest = placed.join(frequency, "term").groupBy("window").agg(
@@ -75,7 +75,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, key: str = "doc_id", tex
     anchors = cut(rarest.where(F.col("found") == F.size("words")).select("window", F.col("least.term").alias("term"), F.col("least.offset").alias("offset"), "words", "items"))
     near = _near(rows, anchors.select("term").distinct(), anchors)
     begin = F.col("position") - F.col("offset")
-    there = near.join(measured(anchors, 640), "term").where(begin >= 0)
+    there = near.join(measured(anchors), "term").where(begin >= 0)
     hits = there.where(F.slice("near", (begin - F.col("low") + 1).cast("int"), F.size("words")) == F.col("words"))
     return hits.select("row", (begin + 1).alias("start"), "words", "items")
 
@@ -90,9 +90,9 @@ def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int, key: str
     firsts = windows.select("window", "words", F.element_at("words", 1).alias("term"))
     reach = (windows.agg(F.max(F.size("words"))).first()[0] or 0) + slack
     places = rows.select("row", F.posexplode("words").alias("position", "term"), F.col("words").alias("all"))
-    near = places.join(measured(firsts.select("term").distinct(), 64), "term", "left_semi")
+    near = places.join(measured(firsts.select("term").distinct()), "term", "left_semi")
     near = near.select("row", "term", "position", F.slice("all", F.col("position") + 1, F.lit(reach)).alias("near"))
-    tried = near.join(measured(firsts, 640), "term")
+    tried = near.join(measured(firsts), "term")
 
     def step(at: Column, word: Column) -> Column:
         rest = F.slice("near", at + 1, F.greatest(F.lit(0), F.size("near") - at))
@@ -128,10 +128,10 @@ def contamination(
     made = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     keep = [c for c in docs.columns if c not in made] if keep is None else keep
     rows = docs.select(*keep, F.xxhash64(docs[key], docs[text]).alias("_row"), F.size(words_of(docs[text], lowered=False)).cast("long").alias("n_words"))
-    joined = rows.join(measured(found, 256), rows["_row"] == found["row"], "left")
+    joined = rows.join(measured(found), rows["_row"] == found["row"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         *keep, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit(""))).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

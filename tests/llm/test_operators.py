@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stopwise.llm import bpe, licences, passages
+from stopwise.llm.common import connected_components
 from stopwise.llm.decontaminate import contamination, proximity_matches, windows_of
 from stopwise.llm.language import identify
 from stopwise.llm.lexicon import Automaton, encode_corpus
@@ -127,9 +128,10 @@ def test_passages(spark):
 
 def test_passages_of_all_scripts(spark):
     texts = ["a 漢字 b", "nice 😀 day", "ab漢字cd e", "한국어 かな　カナ ＡＢ 𐐀 x", "😀", "漢字。" * 40]
-    assert [w for t in texts for _, _, said in passages.paragraphs(t, 1) for w in said] == [w for t in texts for w in t.lower().split()]
-    p = passages.Paragraphs(texts, 1)
-    assert [t[a:b].lower().split() for t, a, b in zip([texts[i] for i in p.text], p.start, p.end)] == [s.split() for s in p.said()]
+    w = passages.Words(texts)
+    assert w.words == [x for t in texts for x in t.lower().split()]
+    start, end = w.chars(np.arange(len(w.words)), np.arange(1, len(w.words) + 1))
+    assert [texts[i][a:b].lower().strip() for i, a, b in zip(w.text_of, start, end)] == w.words
     shared = " ".join(f"漢字{i} 😀 語{i * 7} 仮名{i + 3} かな{i * 5} x{i}." for i in range(20))
     docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate([*texts, f"一 二 三 {shared}", f"{shared} four 五"])], SCHEMA)
     assert sorted(r["doc_id"] for r in passages.repeated_passages(docs).collect()) == [6, 7]
@@ -168,7 +170,7 @@ def test_passages_stand_in_one_other_row(spark):
     rows += [" ".join(whole), " ".join([lines[18], *whole]), " ".join(whole[:4] + ["other"] + whole[4:])]
     rows += [rows[9], None, ""]
     docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
-    assert {r["doc_id"]: (r["n_words"], r["removed_words"]) for r in passages.repeated_passages(docs).collect()} == {9: (64, 0), 10: (64, 64), 12: (64, 64)}
+    assert {r["doc_id"]: (r["n_words"], r["removed_words"]) for r in passages.repeated_passages(docs).collect()} == {9: (64, 0), 10: (64, 64), 11: (65, 65), 12: (64, 64)}
 
 
 def test_pipeline_of_all_scripts(spark, tmp_path):
@@ -178,10 +180,54 @@ def test_pipeline_of_all_scripts(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(len(texts)))
 
 
-def test_similar_pairs():
-    said = ["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o p q", "z y x w v u t s r q p o"]
-    assert passages.similar_pairs(said, np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
-    assert [(int(i), int(j)) for i, j in zip(*passages.similar(said)[0])] == [(0, 1)]
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(4))
+    pool = [[word() for _ in range(rng.choice([40, 51, 70, 120]))] for _ in range(6)]
+    texts = [" ".join(w for _ in range(3) for w in (rng.choice(pool) if rng.random() < 0.5 else [word() for _ in range(30)])) for _ in range(40)]
+    texts += [texts[0], None, "", texts[1].upper().replace(" ", " \n ")]
+    windows: dict = {}
+    split = [(t or "").lower().split() for t in texts]
+    for i, w in enumerate(split):
+        for p in range(len(w) - 50):
+            windows.setdefault(tuple(w[p : p + 51]), set()).add(i)
+    want = {(i, p + j) for i, w in enumerate(split) for p in range(len(w) - 50) if len(windows[tuple(w[p : p + 51])]) > 1 for j in range(51)}
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    spans = passages.repeated_spans(docs, threshold=1.01).collect()
+    assert {(r["key"], p) for r in spans for p in range(r["pos"], r["pos"] + r["n"] + 50)} == want
+    # what stays holds every passage once, and nothing else is lost
+    kept = {r["doc_id"]: (r["text"] or "").lower().split() for r in passages.remove_passages(docs, threshold=1.01).collect()}
+    left = {tuple(w[p : p + 51]) for w in kept.values() for p in range(len(w) - 50)}
+    assert all(split[i] == kept[i] for i in range(len(texts)) if not any(d == i for d, _ in want))
+    assert 0 not in kept or 40 not in kept  # one of two equal texts goes
+    assert sum(map(len, kept.values())) < sum(map(len, split)) and left
+
+
+def test_alike_paragraphs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        said = [word() for _ in range(60)]
+        other = list(said)
+        other[rng.randrange(60)] = word()
+        rows += [" ".join(said), " ".join(other)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    blocks = passages.cut(passages._blocks(docs, "doc_id", "text", 51))
+    held: dict = {}
+    for r in blocks.collect():
+        held[r["block"]] = rows[r["key"]].split()[r["pos"] : r["pos"] + r["n"] + 50]
+    sets = {b: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for b, w in held.items()}
+    by_row: dict = {}
+    for r in blocks.collect():
+        by_row.setdefault(r["key"], []).append(r["block"])
+    links = {frozenset((r["block"], r["rep"])) for df in passages.alike(docs, blocks) for r in df.collect()}
+    assert links and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in map(tuple, links))
+    true = {frozenset((a, b)) for i in range(0, 120, 2) for a in by_row[i] for b in by_row[i + 1] if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    groups = spark.createDataFrame([tuple(x) for x in links], "src long, dst long")
+    root = {r["node"]: r["component"] for r in connected_components(groups).collect()}
+    met = sum(a in root and root[a] == root.get(b) for a, b in map(tuple, true))
+    assert true and met >= 0.9 * len(true)
 
 
 def test_toxicity_sees_gaps(spark):
