@@ -26,6 +26,8 @@ SYMBOLS = 128
 PARTS = 10_000
 #: Trigram vectors that a process keeps; beyond that they are made anew.
 KEPT = 40_000
+#: Pairs of a text and a trigram that are bundled at once.
+TOGETHER = 8192
 #: Sharpness of the score.
 SHARP = 12.0
 
@@ -76,13 +78,16 @@ class Trigrams:
         if not len(middle):
             return out
         codes = (s[middle - 1] * SYMBOLS + s[middle]) * SYMBOLS + s[middle + 1]
-        distinct, at = np.unique(codes, return_inverse=True)
-        width = len(distinct)
-        pair, count = np.unique(doc[middle] * width + at, return_counts=True)
-        weights = np.zeros((len(texts), width), np.float32)
-        weights[pair // width, pair % width] = np.rint(16 * np.sqrt(count))
-        rows = self.rows(distinct)
-        out = weights @ self.vectors[rows]
+        pair, count = np.unique(doc[middle] * SYMBOLS**3 + codes, return_counts=True)
+        weight = np.rint(16 * np.sqrt(count)).astype(np.float32)
+        # so many pairs of text and trigram at a time, whatever the texts' lengths; their sums are whole numbers
+        for lo in range(0, len(pair), TOGETHER):
+            of, code = np.divmod(pair[lo : lo + TOGETHER], SYMBOLS**3)
+            distinct, at = np.unique(code, return_inverse=True)
+            weights = np.zeros((of[-1] - of[0] + 1, len(distinct)), np.float32)
+            weights[of - of[0], at] = weight[lo : lo + TOGETHER]
+            rows = self.rows(distinct)
+            out[of[0] : of[-1] + 1] += weights @ self.vectors[rows]
         norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))
         return out / np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
 
@@ -124,7 +129,8 @@ def predict(df: DataFrame, learned: dict[str, np.ndarray], text: str = "text", k
 
     The score is the softmax share of the best cosine. ``und`` with score and cosine 0 for null
     texts, texts without a letter, and if nothing has been learned; ties go to the first language
-    by name. ``keep`` may not hold the three result names. Repeated rows stay; an empty table gives none.
+    by name. ``keep`` may not hold the three result names. Repeated rows stay; an empty table gives
+    none. A very long text is read whole, in a task by itself if need be.
     """
     names, matrix = sorted(learned), np.array([learned[k] for k in sorted(learned)]).reshape(-1, DIMENSIONS)
     keep = df.columns if keep is None else keep
