@@ -59,16 +59,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_size(df: DataFrame) -> int:
+    """Bytes of all rows of ``df``, measured one by one: the fields written out, and 8 for each and 16 for the row."""
+    fields = F.octet_length(F.to_json(F.struct("*"))) + F.lit(8 * len(df.columns) + 16)
+    return df.agg(F.sum(fields.cast("long"))).first()[0] or 0
+
+
 def measured(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its rows, measured one by one, fit in ``most`` bytes together.
+    """``df`` marked for broadcast if its ``written_size`` is within ``most``.
 
-    A row counts as its fields written out, and 8 bytes for each and 16 for itself. Beyond the
-    bound the frame is returned unmarked, and Spark shuffles both sides. ``df`` should be cut, as
-    it is read twice.
+    Beyond the bound the frame is returned unmarked, and Spark shuffles both sides. ``df`` should
+    be cut, as it is read twice.
     """
-    fields = F.octet_length(F.to_json(F.struct("*"))) + F.lit(8 * len(df.columns) + 16)
-    size = df.agg(F.sum(fields.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if written_size(df) <= most else df
 
 
 def join_counted(big: DataFrame, counted: DataFrame, by: str, hot: int = HOT) -> DataFrame:

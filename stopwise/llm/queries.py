@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stopwise.llm import decontaminate, licences
 from stopwise.llm.decontaminate import contamination
 from stopwise.llm.language import identify
 from stopwise.llm.lexicon import encode_corpus
-from stopwise.llm import licences
 from stopwise.llm.licences import licence_scan
 from stopwise.llm.neighbours import nearest
 from stopwise.llm.passages import repeated_passages
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licences": licences.oracle()}
+    return {"op5_decontamination": decontaminate.oracle(), "op9_licences": licences.oracle()}

@@ -108,6 +108,18 @@ def test_contamination(spark):
     got = {r["doc_id"]: r for r in contamination(docs, items).collect()}
     assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (16, 13, 1, True)
     assert got[2]["n_hit"] == 0 and got[3]["n_hit"] == 3 and got[3]["items_sha256"] == hashlib.sha256(b"12").hexdigest() and got[4]["n_words"] == got[5]["n_words"] == 0
+    many = spark.createDataFrame([(1, item), (2, "é É twice twice é"), (3, "x"), (4, "never seen here")], "item_id long, text string")
+    rng = random.Random(7)
+    long = [rng.choice(["a", "b", "twice", "é", "x"]) for _ in range(3000)]
+    texts = [(i, " ".join(rng.choice(words[:4]) for _ in range(60)) + " " + item, "", "n") for i in range(20)] + [(20, " ".join(long), "", "n"), (None, item, "", "n"), (20, "x", "", "n"), (20, "x", "", "n")]
+    table = spark.createDataFrame(texts, "doc_id long, text string, n_hit string, own string")
+    got = contamination(table, many)
+    assert got.columns == ["doc_id", "text", "own", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] and got.count() == 24
+    split = [("é", "É", "twice", "twice", "é"), ("x",)]  # É is no A to Z and stays
+    hit = {p + j for p in range(3000) for w in split for j in range(len(w)) if tuple(long[p : p + len(w)]) == w}
+    by = {(r["doc_id"], r["text"]): r for r in got.collect()}
+    assert by[20, " ".join(long)]["n_hit"] == len(hit) and by[None, item]["n_hit"] == 15 and by[20, "x"]["n_hit"] == 1
+    assert contamination(table.limit(0), many).count() == 0 and {r["n_hit"] for r in contamination(table, many.limit(0)).collect()} == {0}
     near = proximity_matches(spark.createDataFrame([(1, "a short red item here")], "doc_id long, text string"), windows_of(items), 1).collect()
     assert [(r["start"], r["span"]) for r in near] == [(2, 4)]
 
