@@ -7,24 +7,66 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Penalties tried, as multiples of a row's weight.
+PENALTIES = (0.1, 1.0, 10.0, 100.0, 1000.0, 10_000.0, 100_000.0)
+
+
 def flagged(df: DataFrame, numbers: list[str]) -> DataFrame:
-    """A 0/1 column for each number that is missing."""
-    return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numbers])
+    """Numbers as doubles, and a 0/1 column for each that is missing."""
+    kept = [F.col(c).cast("double").alias(c) if c in numbers else F.col(c) for c in df.columns]
+    return df.select(*kept, *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numbers])
+
+
+def common_names(df: DataFrame, names: list[str], least: int = 100) -> dict[str, list[str]]:
+    """Of each category the values with ``least`` rows or more; all others count as one."""
+    counts = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "name", "value").groupBy("name", "value").count()
+    kept = counts.where((F.col("count") >= least) & F.col("value").isNotNull()).orderBy("name", "value").collect()
+    return {c: [r["value"] for r in kept if r["name"] == c] for c in names}
+
+
+def folded(df: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """Rare values of each category as ``infrequent``; null stays null, which the models take as unknown."""
+    return df.withColumns({c: F.when(F.col(c).cast("string").isin(v), F.col(c).cast("string")).when(F.col(c).isNotNull(), "infrequent") for c, v in common.items()})
+
+
+def number_stats(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """``(name, median, std)`` of each number over the rows where it is known; a deviation of 0 counts as 1."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "name", "v")
+    std = F.stddev_pop("v")
+    return long.groupBy("name").agg(F.median("v").alias("median"), F.when(std > 0, std).otherwise(1.0).alias("std"))
+
+
+def category_codes(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(name, value, code)``: the values of each category numbered from 1 by their order; 0 is left for unknown ones."""
+    values = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "name", "value").where("value is not null").distinct()
+    return values.withColumn("code", F.dense_rank().over(Window.partitionBy("name").orderBy("value")))
+
+
+def coded(df: DataFrame, stats: DataFrame, codes: DataFrame, numbers: list[str], names: list[str], clip: float = 10.0) -> DataFrame:
+    """Numbers as clipped distances from the median in deviations, 0 where missing, and categories as codes. Both tables have a row a feature or value."""
+    s = {r["name"]: (r["median"], r["std"]) for r in stats.collect()}
+    maps = {r["name"]: r["m"] for r in codes.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("value", "code"))).alias("m")).collect()}
+    z = {c: F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(c) - s[c][0]) / s[c][1])), F.lit(0.0)) if c in s and s[c][0] is not None else F.lit(0.0) for c in numbers}
+    n = {c: F.coalesce(F.create_map(*[F.lit(x) for kv in maps.get(c, {"": 0}).items() for x in kv])[F.col(c).cast("string")], F.lit(0)) for c in names}
+    return df.withColumns(z | n)
 
 
 def preparation(numbers: list[str], names: list[str], scale: bool) -> list:
     """Stages: medians for missing numbers with flags, categories indexed with unknowns kept, scaled and one-hot for linear models."""
-    filled = [f"{c}_filled" for c in numbers]
-    stages = [Imputer(strategy="median", inputCols=numbers, outputCols=filled), StringIndexer(inputCols=names, outputCols=[f"{c}_ix" for c in names], handleInvalid="keep")]
-    flags = [f"{c}_missing" for c in numbers]
+    filled, flags = [f"{c}_filled" for c in numbers], [f"{c}_missing" for c in numbers]
+    stages = [Imputer(strategy="median", inputCols=numbers, outputCols=filled)]
+    if names:
+        stages.append(StringIndexer(inputCols=names, outputCols=[f"{c}_ix" for c in names], handleInvalid="keep", stringOrderType="alphabetAsc"))
     if not scale:
         return [*stages, VectorAssembler(inputCols=[*filled, *flags, *[f"{c}_ix" for c in names]], outputCol="features")]
+    if names:
+        stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in names], outputCols=[f"{c}_hot" for c in names], handleInvalid="keep"))
     return [
-        *stages, OneHotEncoder(inputCols=[f"{c}_ix" for c in names], outputCols=[f"{c}_hot" for c in names], handleInvalid="keep"), VectorAssembler(inputCols=filled, outputCol="raw"),
+        *stages, VectorAssembler(inputCols=filled, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), VectorAssembler(inputCols=["scaled", *flags, *[f"{c}_hot" for c in names]], outputCol="features"),
     ]
 
@@ -33,7 +75,7 @@ def mae(df: DataFrame, y: str) -> float:
     return df.agg(F.avg(F.abs(F.col(y) - F.col("prediction")))).first()[0]
 
 
-def fit_ridge(train: DataFrame, tune: DataFrame, y: str, numbers: list[str], names: list[str], penalties: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> tuple[PipelineModel, float]:
+def fit_ridge(train: DataFrame, tune: DataFrame, y: str, numbers: list[str], names: list[str], penalties: tuple[float, ...] = PENALTIES) -> tuple[PipelineModel, float]:
     """Ridge with the penalty of least error on the tuning rows, fitted again on both."""
     a, b = flagged(train, numbers), flagged(tune, numbers)
     n = a.count()

@@ -1,41 +1,201 @@
-"""Queries that fit Spark ML models on the features of ``events``."""
+"""Queries that fit Spark ML models on the features of ``events``, one model a horizon."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.config import EVENTS
+from stopwise.operators import calibrate as cb
 from stopwise.operators import learn as ln
-from stopwise.plans.domain import features
+from stopwise.plans.domain import FEATURES, features
+from stopwise.plans.oracles import oracle
 from stopwise.plans.registry import query
+from stopwise.sources.shared import shared_folder, stored
 
-NUMBERS = ["d0_min", "delay_lag1_min", "delay_lag3_min", "slack_to_target_min", "sched_gap_min", "minutes_since_origin"]
-NAMES = ["category", "day_type"]
+NOW = ["d0_min", "arr_delay_now_min", "dwell_excess_now_min"]
+HISTORY = ["delay_lag1_min", "delta_last1_min", "delay_lag3_min", "delta_last3_min", "delay_lag5_min", "delta_last5_min", "trend3_per10min", "trend5_per10min", "max_prev_delay_min", "n_observed_prev"]
+TIMETABLE = ["n_stops_to_target", "stops_remaining", "sched_gap_min", "frac_journey", "minutes_since_origin", "planned_dwell_now_min"]
+SLACK = ["slack_to_target_min", "run_reserve_to_target_min", "dwell_reserve_to_target_min"]
+NUMBERS = [*NOW, *HISTORY, *TIMETABLE, *SLACK]
+NAMES = ["hour", "weekday", "day_type", "category", "operator_abbr", "enters_from_abroad", "is_extra_trip"]
+#: Feature sets of the ablation: each adds a group or leaves one out.
+SETS = {
+    "now": (NOW, []), "now_history": (NOW + HISTORY, []), "now_timetable": (NOW + TIMETABLE, []), "now_slack": (NOW + SLACK, []), "now_context": (NOW, NAMES),
+    "no_history": (NOW + TIMETABLE + SLACK, NAMES), "no_slack": (NOW + HISTORY + TIMETABLE, NAMES), "all": (NUMBERS, NAMES),
+}
+GROUPS = {c: g for g, cs in (("now", NOW), ("history", HISTORY), ("timetable", TIMETABLE), ("slack", SLACK), ("context", NAMES)) for c in cs}
 KEYS = ["trip_key", "stop_seq", "horizon_min"]
+HORIZONS = EVENTS.horizons
+#: Settings of the registered trees, the most trees and the depth: the tuning error stops them; see the README.
+MOST, DEPTH = 8, 4
+
+
+def rows(s, d) -> DataFrame:
+    """Labelled points with their features, rare categories folded as on the training days; stored, as every fit reads it."""
+    f = features(s, d)
+    f = f.select(*KEYS, "split", "delta_min", *[F.col(c).cast("double").alias(c) for c in NUMBERS], *[F.col(c).cast("string").alias(c) for c in NAMES])
+    f = stored(f.where("delta_min is not null"), "features")
+    return ln.folded(f, ln.common_names(f.where("split = 'train'"), NAMES))
+
+
+def parts(f: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    h = f.where(F.col("horizon_min") == horizon)
+    return h.where("split = 'train'"), h.where("split = 'valid'"), h.where("split = 'test'")
+
+
+def each(jobs: list, run) -> list:
+    """``run`` of all jobs, a few at a time, as Spark's own model search does."""
+    with ThreadPoolExecutor(3) as pool:
+        return list(pool.map(lambda job: run(*job), jobs))
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def predicted(s, d, fit) -> DataFrame:
+    f = rows(s, d)
+
+    def one(horizon: int) -> DataFrame:
+        a, b, t = parts(f, horizon)
+        model, chosen = fit(a, b)
+        return model.transform(ln.flagged(t, NUMBERS)).select(*KEYS, F.lit(float(chosen)).alias("chosen"), F.round("prediction", 6).alias("prediction"))
+
+    return union(each([(h,) for h in HORIZONS], one))
+
+
+def ridge(a, b, numbers=NUMBERS, names=NAMES):
+    return ln.fit_ridge(a, b, "delta_min", numbers, names)
+
+
+def trees(a, b, numbers=NUMBERS, names=NAMES):
+    return ln.fit_trees(a, b, "delta_min", numbers, names, MOST, DEPTH)
+
+
+def refit(s, d) -> DataFrame:
+    """Of each horizon the number of trees that the tuning days choose, a tenth more fitted on all, and the errors on the test days."""
+    f = rows(s, d)
+
+    def one(horizon: int) -> tuple:
+        a, b, t = parts(f, horizon)
+        model, n = trees(a, b)
+        return horizon, n, len(model.stages[-1].trees), ln.mae(model.transform(ln.flagged(t, NUMBERS)), "delta_min")
+
+    return s.createDataFrame(each([(h,) for h in HORIZONS], one), "horizon_min int, chosen int, trees int, test_mae double")
+
+
+def ablation(s, d) -> DataFrame:
+    """Error on the test days of each horizon, feature set and model."""
+    f = rows(s, d)
+
+    def one(horizon: int, name: str, kind: str) -> tuple:
+        a, b, t = parts(f, horizon)
+        numbers, names = SETS[name]
+        if kind == "ridge":
+            model, _ = ln.fit_ridge(a, b, "delta_min", numbers, names, (10.0,))
+        else:
+            model, _ = ln.fit_trees(a, b, "delta_min", numbers, names, 3, 3)
+        return horizon, name, kind, t.count(), ln.mae(model.transform(ln.flagged(t, numbers)), "delta_min")
+
+    jobs = [(h, n, k) for h in HORIZONS for n in SETS for k in ("ridge", "trees")]
+    return s.createDataFrame(each(jobs, one), "horizon_min int, feature_set string, model string, n long, test_mae double")
+
+
+def leaf_quantiles(s, d) -> DataFrame:
+    f = rows(s, d)
+
+    def one(horizon: int) -> DataFrame:
+        a, _, t = parts(f, horizon)
+        model, leaves = ln.fit_leaf_quantiles(a, "delta_min", NUMBERS, NAMES)
+        return model.transform(ln.flagged(t, NUMBERS)).join(F.broadcast(leaves), "leaf").select(*KEYS, "q10", "q90")
+
+    return union(each([(h,) for h in HORIZONS], one))
+
+
+def importance(s, d) -> DataFrame:
+    f = rows(s, d)
+
+    def one(horizon: int) -> DataFrame:
+        a, b, _ = parts(f, horizon)
+        return ln.importance_by_group(trees(a, b)[0], ln.flagged(a, NUMBERS), GROUPS).select(F.lit(horizon).alias("horizon_min"), "feature_group", F.round("share", 6).alias("share"))
+
+    return union(each([(h,) for h in HORIZONS], one))
+
+
+def scored(s, d) -> DataFrame:
+    """The frozen scorer: median model, leaf quantiles and calibrated offsets, all from before the test days."""
+    f = rows(s, d)
+
+    def one(horizon: int) -> DataFrame:
+        a, b, t = parts(f, horizon)
+        model, _ = ridge(a, b)
+        tree, leaves = ln.fit_leaf_quantiles(a, "delta_min", NUMBERS, NAMES)
+        held = tree.transform(ln.flagged(b, NUMBERS)).join(F.broadcast(leaves), "leaf")
+        offsets = cb.conformal_offset(held, "delta_min", "q10", "q90", ["horizon_min"])
+        return ln.score(t, model, tree, leaves, offsets, NUMBERS).select(*KEYS, "d0_min", "p50", "q10", "q90", "lo", "hi")
+
+    return union(each([(h,) for h in HORIZONS], one))
+
+
+def reloaded(s, d) -> DataFrame:
+    f = rows(s, d)
 
+    def one(horizon: int) -> tuple:
+        a, b, t = parts(f, horizon)
+        most = ln.verify_reload(ridge(a, b)[0], shared_folder(s, "model"), t, NUMBERS)
+        return horizon, most, most <= 1e-3
 
-def _parts(s, d):
-    f = features(s, d).where("horizon_min = 15").persist()
-    return f.where("split = 'train'"), f.where("split = 'valid'"), f.where("split = 'test'")
+    return s.createDataFrame(each([(h,) for h in HORIZONS], one), "horizon_min int, largest_difference double, same boolean")
 
 
-def ridge(s, d):
-    a, b, t = _parts(s, d)
-    model, _ = ln.fit_ridge(a, b, "delta_min", NUMBERS, NAMES, (1.0, 100.0))
-    return model.transform(ln.flagged(t, NUMBERS)).select(*KEYS, F.round("prediction", 6).alias("prediction"))
+def answered(s, d) -> DataFrame:
+    """Requests, some with an unknown horizon or without a delay, against the scorer: answers and rejections in one table."""
+    known = stored(scored(s, d), "scored")
+    odd = F.pmod(F.xxhash64("trip_key", "stop_seq"), F.lit(50))
+    asked = known.select("trip_key", "stop_seq", F.when(odd == 0, 45).otherwise(F.col("horizon_min")).alias("horizon_min"), F.when(odd != 1, F.col("d0_min")).alias("d0_min"))
+    good, bad = ln.predict_requests(asked, known.drop("d0_min"), ["d0_min"], HORIZONS)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select(*KEYS, "reason"), allowMissingColumns=True)
 
 
-def leaf_quantiles(s, d):
-    a, _, t = _parts(s, d)
-    model, leaves = ln.fit_leaf_quantiles(a, "delta_min", NUMBERS, NAMES)
-    return model.transform(ln.flagged(t, NUMBERS)).join(F.broadcast(leaves), "leaf").select(*KEYS, "q10", "q90")
+def prepared(s, d) -> DataFrame:
+    """What the linear models see, by feature: rows, how many are missing or rare, and the mean after filling in the median."""
+    f = rows(s, d)
+    a = f.where("split = 'train'")
+    filled = {r["name"]: r["median"] for r in ln.number_stats(a, NUMBERS).collect()}
+    x = ln.flagged(a, NUMBERS).na.fill({c: v for c, v in filled.items() if v is not None})
+    wide = x.agg(F.count("*").alias("n"), *[F.struct(F.sum(f"{c}_missing").cast("long").alias("marked"), F.round(F.avg(c), 6).alias("mean")).alias(c) for c in NUMBERS],
+                 *[F.struct(F.count_if(F.col(c) == "infrequent").alias("marked"), F.lit(None).cast("double").alias("mean")).alias(c) for c in NAMES])
+    return wide.unpivot(["n"], [*NUMBERS, *NAMES], "feature", "v").select("feature", "n", "v.*")
 
 
-def trees(s, d):
-    a, b, t = _parts(s, d)
-    model, _ = ln.fit_trees(a, b, "delta_min", NUMBERS, NAMES, most=5, depth=3)
-    return model.transform(ln.flagged(t, NUMBERS)).select(*KEYS, F.round("prediction", 6).alias("prediction"))
+def coded(s, d) -> DataFrame:
+    """Test rows in the form for networks: clipped deviations from training medians, and category codes."""
+    f = rows(s, d)
+    a, numbers, names = f.where("split = 'train'"), NOW + SLACK, ["category", "operator_abbr"]
+    x = ln.coded(f.where("split = 'test'"), ln.number_stats(a, numbers), ln.category_codes(a, names), numbers, names)
+    return x.select(*KEYS, *[(F.round(c, 6) + 0.0).alias(c) for c in numbers], *names)
 
 
-query("L03_ridge")(ridge)
-query("L04_boosted_trees")(trees)
+_known = FEATURES | {"lf": "select * from feat where delta_min is not null", "tr": "select * from lf where split = 'train'"}
+_filled = " union all ".join(
+    [f"select '{c}' as feature, count(*) as n, count_if({c} is null)::bigint as marked, round(avg(coalesce({c}, (select median({c}) from tr))), 6) as mean from tr" for c in NUMBERS]
+    + [f"select '{c}', sum(c), coalesce(sum(c) filter (where c < 100 and v is not null), 0)::bigint, null from (select {c}::varchar as v, count(*) as c from tr group by all)" for c in NAMES]
+)
+query("L01_preparation", oracle(_filled, "labels_", _known))(prepared)
+_z = lambda c: f"round(coalesce(greatest(-10, least(10, ({c} - (select median({c}) from tr)) / (select if(stddev_pop({c}) > 0, stddev_pop({c}), 1) from tr))), 0), 6) + 0 as {c}"
+_fold = lambda c: f"if({c} in (select {c} from tr group by all having count(*) >= 100), {c}, if({c} is null, null, 'infrequent'))"
+_code = lambda c: f"coalesce((select r from (select v, row_number() over (order by v) as r from (select distinct {_fold(c)} as v from tr) where v is not null) where v = {_fold('t.' + c).replace('select t.', 'select ')}), 0)::int as {c}"
+query("L02_codes", oracle(f"select trip_key, stop_seq, horizon_min, {', '.join(map(_z, NOW + SLACK))}, {_code('category')}, {_code('operator_abbr')} from lf t where split = 'test'", "labels_", _known))(coded)
+query("L03_ridge")(lambda s, d: predicted(s, d, ridge))
+query("L04_boosted_trees")(lambda s, d: predicted(s, d, trees))
+query("L05_refit")(refit)
+query("L06_ablation")(ablation)
 query("L07_leaf_quantiles")(leaf_quantiles)
+query("L08_importance")(importance)
+query("L09_scorer")(scored)
+query("L10_reload")(reloaded)
+query("L11_predict")(answered)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,13 +29,26 @@ def check_columns(found: list[str]) -> list[str]:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """All files under a path as text, with the date in each file's name as ``file_date``."""
-    names = spark.read.option("sep", ";").option("header", True).csv(path).columns
-    check_columns(names)
-    schema = StructType([StructField(n, StringType()) for n in names])
-    raw = spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return raw.select("*", F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date").alias("file_date"))
+    """All files under a path as text, by column name, with the date in each file's path as ``file_date``.
+
+    The header of every file is read and checked. Files of one header are scanned together, and
+    what a file does not have is null, so that order and additional columns may change from day to day.
+    """
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles()):
+        found = spark.read.option("sep", ";").option("header", True).csv(file).columns
+        check_columns(found)
+        headers.setdefault(tuple(found), []).append(file)
+    out = None
+    for names, files in headers.items():
+        schema = StructType([StructField(n, StringType()) for n in names])
+        raw = spark.read.schema(schema).option("sep", ";").option("header", True).csv(files)
+        date = F.regexp_extract(F.col("_metadata.file_path"), r".*(\d{4}-\d{2}-\d{2})", 1)
+        raw = raw.select("*", date.try_cast("date").alias("file_date"), F.lit(",".join(check_columns(list(names)))).alias("extra_columns"))
+        out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no files under {path}")
+    return out
 
 
 def _typed(raw: str, kind: str) -> Column:
@@ -80,7 +95,7 @@ def audit(raw: DataFrame, mode: str = "ZUG") -> DataFrame:
     day = _typed("BETRIEBSTAG", "day")
     days = raw.groupBy(day.alias("day")).agg(F.count("*").alias("raw_rows"), F.count_if(F.upper("PRODUKT_ID") == mode).alias("train_rows"))
     return days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
-        F.count("*").alias("days"), F.sum("raw_rows").alias("raw_rows"), F.sum("train_rows").alias("train_rows"), F.map_from_entries(F.collect_list(F.struct("day", "train_rows"))).alias("by_day")
+        F.count("*").alias("days"), F.sum("raw_rows").alias("raw_rows"), F.sum("train_rows").alias("train_rows"), F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("string"), "train_rows"))).alias("by_day")
     )
 
 
@@ -92,16 +107,32 @@ def months_to_build(requested: list[str], done: DataFrame, force: bool = False)
     return [m for m in requested if m not in there]
 
 
-def publish(trains: DataFrame, path: str) -> int:
-    """Write by month, replacing the months present; fails if the rows written are not the rows given. Their number."""
+def publish(trains: DataFrame, path: str, expected: dict[str, int] | None = None) -> int:
+    """Write by month and put each month in the place of the one there; the number of rows.
+
+    All is written aside and counted first. If a month's rows are not those given (or ``expected``,
+    as counted at the source), nothing that was there has changed.
+    """
+    spark = trains.sparkSession
     month = trains.withColumn("month", F.date_format("operating_day", "yyyy-MM"))
-    given = {r["month"]: r["count"] for r in month.groupBy("month").count().collect()}
-    month.repartition("month", "operating_day").sortWithinPartitions("operating_day", "trip_id").write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(
-        "month"
-    ).mode("overwrite").parquet(path)
-    written = {r["month"]: r["count"] for r in trains.sparkSession.read.parquet(path).groupBy("month").count().collect() if r["month"] in given}
+    given = expected or {r["month"]: r["count"] for r in month.groupBy("month").count().collect()}
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    month.repartition("month", "operating_day").sortWithinPartitions("operating_day", "trip_id").write.option("compression", "zstd").partitionBy("month").parquet(f"{aside}/new")
+    written = {r["month"]: r["count"] for r in spark.read.parquet(f"{aside}/new").groupBy("month").count().collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if written != given:
+        files.delete(at(aside), True)
         raise ValueError(f"rows differ: given {given}, written {written}")
+    files.mkdirs(at(path))
+    files.mkdirs(at(f"{aside}/old"))
+    for name in sorted(given):
+        place = at(f"{path}/month={name}")
+        if files.exists(place):
+            files.rename(place, at(f"{aside}/old/month={name}"))
+        if not files.rename(at(f"{aside}/new/month={name}"), place):
+            raise OSError(f"could not publish {place}")
+    files.delete(at(aside), True)
     return sum(given.values())
 
 
@@ -114,5 +145,19 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def day_files(trains: DataFrame, path: str) -> None:
+    """Write stop records as daily CSV files in the form that ``scan`` reads, one folder a ``file_date``; text columns as they are."""
+    shape = {"day": "dd.MM.yyyy", "minute": "dd.MM.yyyy HH:mm", "second": "dd.MM.yyyy HH:mm:ss"}
+
+    def text(name: str, kind: str) -> Column:
+        plain = kind not in shape or isinstance(trains.schema[name].dataType, StringType)
+        return F.col(name).cast("string") if plain else F.date_format(name, shape[kind])
+
+    raw = trains.select(*[(text(n, k) if n in trains.columns else F.lit(None).cast("string")).alias(r) for r, (n, k) in COLUMNS.items()], *[c for c in trains.columns if c in ("file_date", "NOTE")])
+    if "NOTE" in raw.columns:  # an additional first column
+        raw = raw.select("NOTE", *[c for c in raw.columns if c != "NOTE"])
+    raw.write.mode("append").partitionBy("file_date").option("sep", ";").option("header", True).csv(path)
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str = "month string, days long, raw_rows long, train_rows long, by_day map<string, long>") -> DataFrame:
     return spark.read.schema(schema).json(path)
