@@ -14,7 +14,7 @@ def day_sums(df: DataFrame, error: Column, by: list[str], day: str = "operating_
     return df.where(error.isNotNull()).groupBy(*by, day).agg(F.sum(error).alias("err"), F.count("*").alias("n"))
 
 
-def bootstrap_ci(days: DataFrame, by: list[str], draws: int = 200, level: float = 0.95, seed: int = 1, day: str = "operating_day") -> DataFrame:
+def bootstrap_ci(days: DataFrame, by: list[str], draws: int = 1000, level: float = 0.95, seed: int = 1, day: str = "operating_day") -> DataFrame:
     """Ratio of sums of each group, with the interval from resampling whole days.
 
     Draw b, place j of a group with D days takes day md5(seed|b|j) mod D, in order of the days. Only

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.config import Config
-from stopwise.functions.columns import elapsed_min, hash_bucket
+from stopwise.functions.columns import d0_bucket, elapsed_min, hash_bucket
 from stopwise.operators.network import trailing_sums
 
 POINT = ["trip_key", "stop_seq"]
@@ -27,61 +27,123 @@ def static_stations(ordered: DataFrame) -> DataFrame:
 def subgraph_nodes(points: DataFrame, journeys: DataFrame, edges: DataFrame, stations: DataFrame, cfg: Config) -> DataFrame:
     """Stations of each point: its route first (role 0 current, 1 between, 2 target), then neighbours of the route (role 3) by traffic, up to the cap.
 
-    ``pos`` numbers them from 0. A point is ``(trip_key, stop_seq, target_seq)``.
+    ``pos`` numbers them from 0, ``hop`` counts the stops from the current one and ``planned_min``
+    the planned minutes to it, and ``found`` is how many there were before the cap. A point is
+    ``(trip_key, stop_seq, target_seq)``. Edges and stations are broadcast if Spark finds them small.
     """
-    at = journeys.select("trip_key", F.col("stop_seq").alias("k"), "station_id")
-    p = points.select(*POINT, "target_seq")
+    at = journeys.select("trip_key", F.col("stop_seq").alias("k"), "station_id", F.coalesce("arr_planned", "dep_planned").alias("there"))
+    now = journeys.select("trip_key", "stop_seq", F.col("dep_planned").alias("here"))
+    p = points.select(*POINT, "target_seq").join(now, POINT)
     route = p.withColumn("k", F.explode(F.sequence("stop_seq", "target_seq"))).join(at, ["trip_key", "k"])
     role = F.when(F.col("k") == F.col("stop_seq"), 0).when(F.col("k") == F.col("target_seq"), 2).otherwise(1)
-    route = route.select(*POINT, "station_id", role.alias("role"), (F.col("k") - F.col("stop_seq")).cast("int").alias("hop"))
+    ahead = F.when(F.col("k") == F.col("stop_seq"), F.lit(0.0)).otherwise(elapsed_min("here", "there"))
+    route = route.select(*POINT, "station_id", role.alias("role"), (F.col("k") - F.col("stop_seq")).cast("int").alias("hop"), ahead.alias("planned_min"))
     near = edges.select(F.col("from_station_id").alias("station_id"), F.col("to_station_id").alias("other"))
-    near = F.broadcast(near.union(near.select("other", "station_id")).distinct())
+    near = near.union(near.select("other", "station_id")).distinct()
     around = route.join(near, "station_id").select(*POINT, F.col("other").alias("station_id")).distinct().join(route.select(*POINT, "station_id"), [*POINT, "station_id"], "left_anti")
-    nodes = route.unionByName(around.withColumn("role", F.lit(3)).withColumn("hop", F.lit(None).cast("int")))
-    nodes = nodes.join(F.broadcast(stations), "station_id", "left")
+    nodes = route.unionByName(around.select("*", F.lit(3).alias("role"), F.lit(None).cast("int").alias("hop"), F.lit(None).cast("double").alias("planned_min")))
+    nodes = nodes.join(stations, "station_id", "left")
     order = [(F.col("role") == 3).cast("int"), F.col("hop").asc_nulls_last(), F.desc_nulls_last(F.round("daily_stops", 6)), F.col("station_id")]
-    pos = F.row_number().over(Window.partitionBy(*POINT).orderBy(*order)) - 1
-    return nodes.withColumn("pos", pos).where(F.col("pos") < cfg.max_nodes).select(*POINT, "pos", "station_id", "role", "hop", "daily_stops")
+    w = Window.partitionBy(*POINT)
+    ranked = nodes.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("found", F.count("*").over(w))
+    return ranked.where(F.col("pos") < cfg.max_nodes).select(*POINT, "pos", "station_id", "role", "hop", "planned_min", "daily_stops", "found")
 
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
     """Static edges between nodes of a point: those along the route first, then by runs, up to the cap."""
     a = nodes.select(*POINT, F.col("pos").alias("from_pos"), F.col("station_id").alias("from_station_id"), F.col("role").alias("ra"), F.col("hop").alias("ha"))
     b = nodes.select(*POINT, F.col("pos").alias("to_pos"), F.col("station_id").alias("to_station_id"), F.col("role").alias("rb"), F.col("hop").alias("hb"))
-    e = a.join(F.broadcast(edges), "from_station_id").join(b, [*POINT, "to_station_id"])
+    e = a.join(edges, "from_station_id").join(b, [*POINT, "to_station_id"])
     on_route = (F.col("ra") < 3) & (F.col("rb") < 3) & (F.col("hb") == F.col("ha") + 1)
     e = e.withColumn("on_route", F.coalesce(on_route, F.lit(False)))
-    eid = F.row_number().over(Window.partitionBy(*POINT).orderBy(F.desc("on_route"), F.desc("n_runs"), "from_pos", "to_pos")) - 1
-    return e.withColumn("eid", eid).where(F.col("eid") < cfg.max_edges).select(*POINT, "eid", "from_pos", "to_pos", "on_route", "n_runs", "run_planned_min")
+    w = Window.partitionBy(*POINT)
+    eid = F.row_number().over(w.orderBy(F.desc("on_route"), F.desc("n_runs"), "from_pos", "to_pos")) - 1
+    ranked = e.withColumn("eid", eid).withColumn("found", F.count("*").over(w)).where(F.col("eid") < cfg.max_edges)
+    return ranked.select(*POINT, "eid", "from_pos", "to_pos", "from_station_id", "to_station_id", "on_route", "n_runs", "run_planned_min", "found")
 
 
-def node_windows(nodes: DataFrame, points: DataFrame, stations: DataFrame) -> DataFrame:
-    """Count and mean delay at each node over 10, 30 and 60 minutes; the mean of nothing is 0."""
-    n = nodes.join(points.select(*POINT, "m_end"), POINT)
-    s = trailing_sums(stations, n, {"station_id": "station_id"}, [*POINT, "pos"], (10, 30, 60), ("n", "s"))
-    return s.select(*POINT, "pos", *[c for w in (10, 30, 60) for c in (F.col(f"n_{w}").cast("long").alias(f"n_{w}"), F.when(F.col(f"n_{w}") > 0, F.col(f"s_{w}") / F.col(f"n_{w}")).otherwise(0.0).alias(f"mean_{w}"))])
-
+#: Roles of a node by number.
+ROLES = ("current", "route", "target", "neighbour")
+NODE_FEATURES = [f"{c}_{w}" for w in (10, 30, 60) for c in ("log_n", "mean_delay", "share_late")] + [f"is_{r}" for r in ROLES] + ["route_offset", "planned_min", "log_traffic"]
+EDGE_FEATURES = ["log_runs", "run_planned_min", "on_route"] + [f"{c}_{w}" for w in (10, 30) for c in ("log_n", "mean_gain")]
 
-def pack_nodes(nodes: DataFrame, cfg: Config) -> DataFrame:
-    """One row a point: the stations in order, filled up with zeros, and how many are real."""
-    v = F.sort_array(F.collect_list(F.struct("pos", "station_id")))
-    got = nodes.groupBy(*POINT).agg(v.alias("v"))
-    ids = F.slice(F.concat(F.transform("v", lambda x: x["station_id"]), F.array_repeat(F.lit(0), cfg.max_nodes)), 1, cfg.max_nodes)
-    return got.select(*POINT, F.size("v").alias("n_nodes"), ids.alias("stations"))
 
+def _share(part: str, of: str, name: str) -> Column:
+    """A ratio in which nothing counts as 0."""
+    return F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0).alias(name)
 
-def hop_distances(nodes: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    """Fewest undirected steps from each point's current station to its nodes; ``most`` + 1 beyond.
 
-    One join a step over what is newly reached; the fixed number of steps bounds the plan.
+def node_features(nodes: DataFrame, points: DataFrame, stations: DataFrame) -> DataFrame:
+    """The 16 features of each node: what happened there in the last 10, 30 and 60 minutes, its role and place, and its traffic."""
+    keys = [*POINT, "pos"]
+    n = nodes.join(points.select(*POINT, "m_end"), POINT)
+    s = trailing_sums(stations, n, {"station_id": "station_id"}, keys, (10, 30, 60), ("n", "s", "l"))
+    seen = [c for w in (10, 30, 60) for c in (F.log1p(f"n_{w}").alias(f"log_n_{w}"), _share(f"s_{w}", f"n_{w}", f"mean_delay_{w}"), _share(f"l_{w}", f"n_{w}", f"share_late_{w}"))]
+    own = [(F.col("role") == i).cast("double").alias(f"is_{r}") for i, r in enumerate(ROLES)]
+    own += [F.coalesce("hop", F.lit(0)).cast("double").alias("route_offset"), F.coalesce("planned_min", F.lit(0.0)).alias("planned_min"), F.log1p("daily_stops").alias("log_traffic")]
+    return s.select(*keys, *seen).join(nodes.select(*keys, *own), keys)
+
+
+def edge_features(edges: DataFrame, points: DataFrame, segments: DataFrame) -> DataFrame:
+    """The 7 features of each edge: its runs and planned time, whether it is on the route, and the delay gained there in the last 10 and 30 minutes."""
+    keys = [*POINT, "eid"]
+    e = edges.join(points.select(*POINT, "m_end"), POINT)
+    s = trailing_sums(segments, e, {"from_station_id": "from_station_id", "to_station_id": "to_station_id"}, keys, (10, 30), ("n", "s"))
+    seen = [c for w in (10, 30) for c in (F.log1p(f"n_{w}").alias(f"log_n_{w}"), _share(f"s_{w}", f"n_{w}", f"mean_gain_{w}"))]
+    own = [F.log1p("n_runs").alias("log_runs"), "run_planned_min", F.col("on_route").cast("double").alias("on_route")]
+    return s.select(*keys, *seen).join(edges.select(*keys, *own), keys)
+
+
+def pack_subgraphs(nodes: DataFrame, edges: DataFrame, node_x: DataFrame, edge_x: DataFrame, cfg: Config) -> DataFrame:
+    """One row a point: stations, ends of edges and features in order, filled up to the caps, with how many are real and how many the caps dropped."""
+
+    def filled(of: str, field: str, fill: Column, size: int) -> Column:
+        return F.slice(F.concat(F.transform(of, lambda x: x[field]), F.array_repeat(fill, size)), 1, size).alias(f"{of}_{field}")
+
+    nx = node_x.select(*POINT, "pos", F.array(*NODE_FEATURES).alias("x"))
+    ex = edge_x.select(*POINT, "eid", F.array(*EDGE_FEATURES).alias("x"))
+    n = nodes.join(nx, [*POINT, "pos"]).groupBy(*POINT).agg(F.sort_array(F.collect_list(F.struct("pos", "station_id", "x"))).alias("node"), F.max("found").alias("node_found"))
+    e = edges.join(ex, [*POINT, "eid"]).groupBy(*POINT).agg(F.sort_array(F.collect_list(F.struct("eid", "from_pos", "to_pos", "x"))).alias("edge"), F.max("found").alias("edge_found"))
+    both = n.join(e, POINT, "left").withColumn("edge", F.coalesce("edge", F.array().cast(e.schema["edge"].dataType)))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return both.select(
+        *POINT, F.size("node").alias("n_nodes"), F.size("edge").alias("n_edges"), (F.col("node_found") - F.size("node")).alias("dropped_nodes"),
+        (F.coalesce("edge_found", F.lit(0)) - F.size("edge")).alias("dropped_edges"), filled("node", "station_id", F.lit(0), cfg.max_nodes), filled("edge", "from_pos", F.lit(-1), cfg.max_edges),
+        filled("edge", "to_pos", F.lit(-1), cfg.max_edges), filled("node", "x", zeros(len(NODE_FEATURES)), cfg.max_nodes), filled("edge", "x", zeros(len(EDGE_FEATURES)), cfg.max_edges),
+    )
+
+
+def hop_distances(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """Fewest undirected steps between all pairs of a point's nodes; ``most`` + 1 for those farther apart or not connected.
+
+    A point's edges are gathered into one row, where the nodes within so many steps of each are
+    kept as the bits of a number, so there is one shuffle whatever the number of steps. A point
+    may have up to 63 nodes.
     """
-    e = edges.select(*POINT, F.col("from_pos").alias("pos"), F.col("to_pos").alias("other"))
-    e = e.union(e.select(*POINT, "other", "pos")).distinct()
-    reached = nodes.where("role = 0").select(*POINT, "pos", F.lit(0).alias("hops"))
-    for step in range(1, most + 1):
-        new = reached.where(F.col("hops") == step - 1).join(e, [*POINT, "pos"]).select(*POINT, F.col("other").alias("pos"), F.lit(step).alias("hops"))
-        reached = reached.union(new).groupBy(*POINT, "pos").agg(F.min("hops").alias("hops"))
-    return nodes.select(*POINT, "pos").join(reached, [*POINT, "pos"], "left").select(*POINT, "pos", F.coalesce("hops", F.lit(most + 1)).alias("hops"))
+    ends = edges.groupBy(*POINT).agg(F.collect_set(F.struct("from_pos", "to_pos")).alias("ends"))
+    bit = lambda i: F.expr("1L") if i is None else F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    p = nodes.groupBy(*POINT).agg((F.max("pos") + 1).cast("int").alias("n")).join(ends, POINT, "left")
+    p = p.withColumn("ends", F.coalesce("ends", F.array().cast("array<struct<from_pos: int, to_pos: int>>")))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def beside(i: Column) -> Column:
+        """The bits of a node and its neighbours."""
+        other = lambda e: F.when(e["from_pos"] == i, bit(e["to_pos"])).when(e["to_pos"] == i, bit(e["from_pos"])).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("ends", bit(i), lambda acc, e: acc.bitwiseOR(other(e)))
+
+    def farther(reached: str) -> Column:
+        """One step more: the neighbours of all that is reached."""
+        grown = lambda m: F.aggregate("places", m, lambda acc, i: F.when(m.bitwiseAND(bit(i)) != 0, acc.bitwiseOR(F.get("near", i))).otherwise(acc))
+        return F.transform(reached, grown)
+
+    p = p.withColumn("places", places).withColumn("near", F.transform("places", beside)).withColumn("d0", F.transform("places", bit)).withColumn("d1", F.col("near"))
+    for step in range(2, most + 1):
+        p = p.withColumn(f"d{step}", farther(f"d{step - 1}"))
+    pairs = p.withColumn("from_pos", F.explode("places")).withColumn("to_pos", F.explode("places"))
+    hops = F.lit(most + 1)
+    for step in range(most, -1, -1):
+        hops = F.when(F.get(f"d{step}", F.col("from_pos")).bitwiseAND(bit(F.col("to_pos"))) != 0, step).otherwise(hops)
+    return pairs.select(*POINT, "from_pos", "to_pos", hops.alias("hops"))
 
 
 def rewire_edges(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -92,5 +154,27 @@ def rewire_edges(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
 
 
 def feature_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and population deviation of each column."""
-    return df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    """``(feature, mean, std)``: mean and population deviation, a millionth more, of each column over all rows."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
+    return long.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_pop("v") + 1e-6).alias("std"))
+
+
+def showcase(labels: DataFrame, journeys: DataFrame, predictions: DataFrame, cfg: Config, most: int = 5, seed: int = 9) -> DataFrame:
+    """Example departures of each delay bucket, all of whose horizons are known: a row for each example and horizon.
+
+    One departure a day and one a line of a bucket may be shown, the first by a hash, and ``most``
+    of each bucket: a diverse pick without a sequential search.
+    """
+    known = labels.where("in_common_subset and line_name is not null")
+    one = known.select("operating_day", "category", "line_name", *POINT, "d0_min").distinct().withColumn("d0_bucket", d0_bucket("d0_min", cfg))
+    one = one.withColumn("_h", hash_bucket(F.concat_ws("|", "trip_key", F.col("stop_seq").cast("string")), seed, 1 << 30))
+    for by in (["operating_day"], ["d0_bucket", "category", "line_name"], ["d0_bucket"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h", *POINT))
+        one = one.withColumn("_r", rank).where(F.col("_r") <= (most if by == ["d0_bucket"] else 1))
+    names = journeys.groupBy("station_id").agg(F.mode("station_name", True).alias("name"))
+    rows = one.select("d0_bucket", *POINT).join(known, POINT).join(predictions, [*POINT, "horizon_min"], "left")
+    rows = rows.join(names.select("station_id", F.col("name").alias("origin")), "station_id", "left").join(names.select(F.col("station_id").alias("target_station_id"), F.col("name").alias("target")), "target_station_id", "left")
+    return rows.select(
+        "d0_bucket", *POINT, "horizon_min", F.concat_ws(" ", "category", "line_name").alias("train"), "train_number", F.date_format("operating_day", "EEEE").alias("weekday"), "origin",
+        F.date_format("dep_planned", "HH:mm").alias("planned"), "d0_min", "target", F.date_format("target_arr_planned", "HH:mm").alias("target_planned"), "target_delay_min", "delta_min", "prediction",
+    )

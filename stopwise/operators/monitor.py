@@ -40,6 +40,15 @@ def daily_scores(df: DataFrame, y: str, pred: str, base: str, lo: str, hi: str)
     return out.withColumn("skill", 1 - ratio("mae", "mae_base")).drop("mae_base")
 
 
+def trailing_median(scores: DataFrame, value: str, window: int = 14, least: int = 7) -> DataFrame:
+    """``(operating_day, horizon_min, n_before, median_before)``: how many days of the last ``window`` are known, and their median if ``least`` are."""
+    w = Window.partitionBy("horizon_min").orderBy("operating_day").rowsBetween(-window, -1)
+    past = scores.select("operating_day", "horizon_min", F.array_sort(F.collect_list(value).over(w)).alias("_past"))
+    n = F.size("_past")
+    middle = (F.get("_past", F.floor((n - 1) / 2).cast("int")) + F.get("_past", F.floor(n / 2).cast("int"))) / 2
+    return past.select("operating_day", "horizon_min", n.alias("n_before"), F.when(n >= least, middle).alias("median_before"))
+
+
 def alerts(scores: DataFrame, psi_limit: float = 0.25, coverage_limit: float = 0.7, jump: float = 1.25, window: int = 14, least: int = 7) -> DataFrame:
     """Scores with ``alerts``: drift, low coverage, and a MAE far above the median of the days before."""
     w = Window.partitionBy("horizon_min").orderBy("operating_day").rowsBetween(-window, -1)

@@ -12,7 +12,7 @@ from stopwise.plans.domain import DAYS, K, R, flags, prior, q, rounded
 
 BUCKET = "case when d0_min < 1 then '<1' when d0_min < 3 then '1-3' when d0_min < 10 then '3-10' else '>10' end"
 PRED = DAYS | {"pred": f"select {K}, operating_day, split, d0_min, delta_min as y, pred_historical as p50, pred_offset as base, pred_historical - 3 as q10, pred_historical + 3 as q90, {BUCKET} as d0_bucket from prior"}
-DRAWS = 50
+DRAWS = 1000
 
 
 def pred(s, d):
@@ -111,8 +111,8 @@ def alerted(s, d):
 
 q("M17_daily_scores", f"select operating_day, horizon_min, n, {SC} from score", SCORE, lambda s, d: rounded(scores(s, d)))
 q("M18_alerts", "select operating_day, horizon_min, alerts from alerted", SCORE, lambda s, d: alerted(s, d).select("operating_day", "horizon_min", "alerts"))
-q("E11_trailing_median", "select operating_day, horizon_min, len(coalesce(before, []))::int as n_before from past", SCORE, lambda s, d: scores(s, d).select("operating_day", "horizon_min", F.size(F.collect_list("mae").over(
-    __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("horizon_min").orderBy("operating_day").rowsBetween(-14, -1))).alias("n_before")))
+q("E11_trailing_median", "select operating_day, horizon_min, len(coalesce(before, []))::int as n_before, round(if(len(before) >= 7, (before[(len(before) - 1) // 2 + 1] + before[len(before) // 2 + 1]) / 2, null), 6) as median_before from past", SCORE,
+  lambda s, d: rounded(mo.trailing_median(scores(s, d), "mae")))
 W4 = ", ".join(f"round(sum(n * {c}) / sum(n), 6) as {c}" for c in ("mae", "skill", "coverage", "width"))
 q("M19_replay_summary", f"select horizon_min, is_disruption_day, count(*) as days, sum(n)::bigint as n, {W4} from score join flags using (operating_day) group by all", SCORE,
   lambda s, d: rounded(mo.replay_summary(scores(s, d).join(F.broadcast(flags(s, d).select("operating_day", "is_disruption_day")), "operating_day"), ["horizon_min", "is_disruption_day"])))
