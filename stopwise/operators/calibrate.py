@@ -54,6 +54,13 @@ def trailing_days(df: DataFrame, days: int, day: str = "operating_day") -> DataF
     return out.join(F.broadcast(later), "_rank").drop("_r", "_rank")
 
 
+def offsets_of(df: DataFrame, y: str, lo: str, hi: str, least: int = 7) -> DataFrame:
+    """``(horizon_min, days, offset, lo_offset, hi_offset)`` from all rows given; horizons known on less than ``least`` days have none."""
+    days = df.groupBy("horizon_min").agg(F.count_distinct("operating_day").alias("days")).where(F.col("days") >= least)
+    both = conformal_offset(df, y, lo, hi, ["horizon_min"]).drop("n")
+    return days.join(both, "horizon_min").join(tail_offsets(df, y, lo, hi, ["horizon_min"]).drop("n"), "horizon_min")
+
+
 def rolling_offsets(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, window: int = 14, least: int = 7) -> DataFrame:
     """Offsets of each day and horizon from the days before: both sides together, and by tail. Days with too little history have none."""
     t = trailing_days(df, window)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stopwise.config import Config
-from stopwise.operators.calibrate import rolling_offsets
+from stopwise.operators.calibrate import offsets_of
 
 
 def minute_counts(events: DataFrame, key: str, late_min: float, delay: str = "2 minutes") -> DataFrame:
@@ -32,30 +31,49 @@ def trains_ahead(departures: DataFrame, points: DataFrame, lag: str = "2 minutes
     return p.join(d, near).select("p.point_id", "p.point_time", "d.dep_time", "d.d")
 
 
-def daily_replay(days: DataFrame, state: str, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], cfg: Config, window: int = 14, least: int = 7) -> StreamingQuery:
-    """Score each batch of days with offsets of the days before, then add it to the state.
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _put(df: DataFrame, path: str) -> None:
+    """Write by day, replacing the days that ``df`` holds."""
+    df.write.partitionBy("operating_day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def _prune(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove all but the last ``keep`` days of a table."""
+    days = sorted(r[0] for r in spark.read.parquet(path).select("operating_day").distinct().collect())
+    for day in days[:-keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/operating_day={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def daily_replay(days: DataFrame, state: str, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], window: int = 14, least: int = 7) -> StreamingQuery:
+    """Score each day with offsets of the days before, then add it to the state and publish the offsets for the next day.
 
     ``days`` streams rows with y, q10, q90, d0_min, horizon_min and operating_day, a file a day.
-    The state table holds the residual rows by day; a batch that is run again replaces its own days,
-    so a restart gives the same result. ``out`` gets scores, ``out``-offsets the offsets for the next day.
+    The state holds the rows of the last ``window`` days, older ones are removed, so that a day
+    reads and writes no more than these. A day that is run again replaces its own rows and
+    learns from those before it alone, so a restart gives the same result. ``out`` gets scores and
+    ``out``-offsets the offsets published after each day; with less than ``least`` days there are none.
     """
 
+    def one_day(rows: DataFrame, day: object) -> None:
+        spark = rows.sparkSession
+        past = spark.read.schema(rows.schema).parquet(state) if _exists(spark, state) else rows.limit(0)
+        past = past.where(F.col("operating_day") < F.lit(day))
+        scored = score(rows.join(F.broadcast(offsets_of(past, "y", "q10", "q90", least)), "horizon_min", "left"))
+        _put(scored, out)
+        _put(rows, state)
+        _prune(spark, state, window)
+        kept = spark.read.schema(rows.schema).parquet(state).where(F.col("operating_day") <= F.lit(day))
+        _put(offsets_of(kept, "y", "q10", "q90", least).withColumn("operating_day", F.lit(day)), f"{out}-offsets")
+
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        rows = df.select("operating_day", "horizon_min", "d0_min", "y", "q10", "q90").persist()
-        try:
-            past = spark.read.schema(rows.schema).parquet(state)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            past = rows.limit(0)
-        known = past.join(rows.select("operating_day").distinct(), "operating_day", "left_anti").unionByName(rows)
-        offsets = rolling_offsets(known, "y", "q10", "q90", cfg, window, least).withColumnRenamed("for_day", "operating_day")
-        scored = score(rows.join(F.broadcast(offsets), ["operating_day", "horizon_min"], "left"))
-        put = lambda x, path: x.write.partitionBy("operating_day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-        put(scored, out)
-        put(offsets, f"{out}-offsets")
-        put(rows, state)
+        rows = df.select("horizon_min", "d0_min", "y", "q10", "q90", "operating_day").persist()
+        for day in sorted(r[0] for r in rows.select("operating_day").distinct().collect()):
+            one_day(rows.where(F.col("operating_day") == F.lit(day)), day)
         rows.unpersist()
 
     return days.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
