@@ -1,9 +1,11 @@
 """Balanced sharding of linked documents by label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. Every document begins in a shard by a hash. In each round the
-groups that still lie in several shards ask to move to the shard where most of their members are;
-requests are granted up to each shard's quota, and shards that are too full give their least linked
-rows away. Groups are moved as counts; documents are placed at the end.
+Documents with equal texts are linked. Every document begins in a shard by a hash, and a group of
+linked documents takes the label that most of its members have. In each round the groups ask for
+the shard of their label; requests are granted, whole groups only and large ones first, while the
+shard's quota lasts, and what is denied takes the label of another shard with room. Unlinked
+documents fill the shards up at the end, so that they never stand in a group's way. Groups are
+moved as counts; documents are placed once.
 """
 
 from __future__ import annotations
@@ -11,13 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import cut
+from stopwise.llm.common import cut, join_counted
 
 #: Pieces that a queue is dealt in, so that no task holds a whole one; more beyond a million rows a piece.
 PIECES = 32
-ROUNDS = 3
-#: Part of a shard's share that it may hold in excess while rounds go on.
-SLACK = 0.05
 
 
 def running(df: DataFrame, by: list[str], order: list[Column], amount: Column, name: str, piece: Column | None = None, pieces: int = PIECES) -> DataFrame:
@@ -36,107 +35,97 @@ def running(df: DataFrame, by: list[str], order: list[Column], amount: Column, n
     return out.withColumn(name, F.col("_base") + F.col("_within")).drop("_piece", "_amount", "_base", "_within")
 
 
-def _loads(held: DataFrame, shards: int) -> list[int]:
-    """Rows in each shard: one number a shard."""
-    found = {r["s"]: r["n"] for r in held.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
+def propagate(units: DataFrame, aims: list[int]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Units ``(g, part, n, s)`` with label s under quotas: those placed, those that fit nowhere whole, and the rows left free in each shard.
 
-
-def propagate(held: DataFrame, shards: int, share: int) -> DataFrame | None:
-    """One round on ``(g, s, n)``, n rows of group g in shard s; None if nothing moves.
-
-    A group's homes are the shards with most of its rows, as many as it fills. Its rows elsewhere
-    ask to move there. A shard takes in as many as ask to leave it, and more while it has room.
+    Every round writes what it grants and what it denies; rounds end when nothing more is granted.
     """
-    per_group = held.groupBy("g").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), F.xxhash64("g", "s").alias("tie"), "s"))).alias("parts"), F.sum("n").alias("size"))
-    homes = F.ceil(F.col("size") / share).cast("int")
-    spread = per_group.where(F.size("parts") > homes).select("g", "parts", homes.alias("homes"))
-    # a shard list has at most one entry a shard; the rows outside the homes are dealt over the homes in turn
-    asked = spread.select("g", F.posexplode("parts").alias("place", "from"), "parts", "homes").where("place >= homes")
-    to = F.get("parts", F.pmod(F.col("place"), F.col("homes")))
-    asked = asked.select("g", F.col("from.s").alias("s"), to["s"].alias("to"), (-F.col("from.less")).alias("n"))
-    asked = cut(asked)
-    flow = {(r["s"], r["to"]): r["n"] for r in asked.groupBy("s", "to").agg(F.sum("n").alias("n")).collect()}
-    room = [max(0, int(share * (1 + SLACK)) - x) for x in _loads(held, shards)]
-    leaving = [sum(n for (a, _), n in flow.items() if a == s) for s in range(shards)]
-    quota = [(s, room[s] + leaving[s]) for s in range(shards)]
-    if not flow:
-        return None
-    quotas = held.sparkSession.createDataFrame(quota, "to int, quota long")
-    queue = running(asked, ["to"], [F.col("g"), F.col("s")], F.col("n"), "before").join(F.broadcast(quotas), "to")
-    moved = cut(queue.select("g", "s", "to", F.least(F.col("n"), F.greatest(F.lit(0), F.col("quota") - F.col("before"))).alias("n")).where("n > 0"))
-    changed = held.union(moved.select("g", "s", -F.col("n"))).union(moved.select("g", F.col("to").alias("s"), "n"))
-    return cut(changed.groupBy("g", "s").agg(F.sum("n").alias("n")).where("n > 0"))
-
-
-def even_out(held: DataFrame, shards: int) -> DataFrame:
-    """``(g, s, n)`` with shard sizes at most one apart: overfull shards give up unlinked rows first, then small parts of groups."""
-    loads = _loads(held, shards)
-    total = sum(loads)
-    aim = [total // shards + (s < total % shards) for s in range(shards)]
-    excess = [max(0, x - a) for x, a in zip(loads, aim, strict=True)]
-    wanted, places = 0, []
-    for s in range(shards):
-        if (gap := aim[s] - loads[s]) > 0:
-            places.append((s, wanted, wanted + gap))
-            wanted += gap
-    if not wanted:
-        return held
-    given = [(s, n, sum(excess[:s])) for s, n in enumerate(excess) if n]
-    limits = held.sparkSession.createDataFrame(given, "s int, excess long, base long")
-    over = held.join(F.broadcast(limits), "s")
-    # unlinked rows, then larger and larger parts; among equals by hash
-    piece = F.ceil(F.log2("n")).cast("int") * PIECES + F.pmod(F.xxhash64("g"), F.lit(PIECES)).cast("int")
-    queue = running(over, ["s"], [F.col("n"), F.col("g")], F.col("n"), "before", piece)
-    out = queue.select("g", "s", F.least(F.col("n"), F.greatest(F.lit(0), F.col("excess") - F.col("before"))).alias("n"), (F.col("base") + F.col("before")).alias("lo"))
-    out = cut(out.where("n > 0"))
-    slots = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for s, lo, hi in places])
-    end = F.col("lo") + F.col("n")
-    parts = out.select("g", "lo", end.alias("end"), F.explode(F.filter(slots, lambda x: (x["lo"] < F.col("lo") + F.col("n")) & (x["hi"] > F.col("lo")))).alias("to"))
-    into = parts.select("g", F.col("to.s").alias("s"), (F.least("end", "to.hi") - F.greatest("lo", "to.lo")).alias("n"))
-    changed = held.union(out.select("g", "s", -F.col("n"))).union(into)
-    return cut(changed.groupBy("g", "s").agg(F.sum("n").alias("n")).where("n > 0"))
-
-
-def shard_documents(df: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    free, todo, placed = list(aims), cut(units), []
+    spark = units.sparkSession
+    for turn in range(1, 10_000):
+        quotas = spark.createDataFrame(list(enumerate(free)), "s int, free long")
+        # larger units first; among those of about one size by hash
+        size = F.ceil(F.log2(F.col("n"))).cast("int")
+        piece = (40 - size) * PIECES + F.pmod(F.xxhash64("g", "part"), F.lit(PIECES)).cast("int")
+        queue = running(todo, ["s"], [F.desc("n"), F.col("g"), F.col("part")], F.col("n"), "before", piece).join(F.broadcast(quotas), "s")
+        asked = cut(queue.withColumn("granted", F.col("before") + F.col("n") <= F.col("free")))
+        taken = {r["s"]: r["n"] for r in asked.where("granted").groupBy("s").agg(F.sum("n").alias("n")).collect()}
+        rest = asked.where("not granted").select("g", "part", "n")
+        if not taken:
+            return _union(placed, units), rest, free
+        placed.append(asked.where("granted").select("g", "part", "n", "s"))
+        free = [f - taken.get(s, 0) for s, f in enumerate(free)]
+        rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(f).cast("long").alias("free")) for s, f in enumerate(free)])
+        fits = F.filter(rooms, lambda x: x["free"] >= F.col("n"))
+        label = F.get(fits, F.pmod(F.xxhash64("g", "part", F.lit(turn)), F.greatest(F.size(fits), F.lit(1))).cast("int"))["s"]
+        # without a shard that could take it a unit keeps asking the first, and is denied
+        todo = cut(rest.withColumn("s", F.coalesce(label, F.lit(0))))
+    raise RuntimeError("labels did not settle")
+
+
+def _union(frames: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.select("g", "part", "n", "s").limit(0)
+    for f in frames:
+        out = out.union(f)
+    return out
+
+
+def fill(units: DataFrame, free: list[int], pieces: int) -> DataFrame:
+    """``(g, s, n)``: units laid end to end over the free places of the shards; only those at a border, or larger than a gap, are split."""
+    ends = [sum(free[: s + 1]) for s in range(len(free))]
+    slots = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e - f).cast("long").alias("lo"), F.lit(e).cast("long").alias("hi")) for s, (e, f) in enumerate(zip(ends, free, strict=True))])
+    # linked units first, so that a border splits as few of them as can be
+    piece = F.when(F.col("n") > 1, 0).otherwise(pieces) + F.pmod(F.xxhash64("g", "part"), F.lit(pieces)).cast("int")
+    lo, end = F.col("lo"), F.col("lo") + F.col("n")
+    laid = running(units, [], [F.col("g"), F.col("part")], F.col("n"), "lo", piece)
+    parts = laid.select("g", "lo", end.alias("end"), F.explode(F.filter(slots, lambda x: (x["lo"] < end) & (x["hi"] > lo))).alias("to"))
+    return parts.select("g", F.col("to.s").alias("s"), (F.least("end", "to.hi") - F.greatest("lo", "to.lo")).alias("n"))
+
+
+def shard_documents(df: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, size, text_crc32, law, shard, slot, grown_shard)`` for every row, under the law ``rows``.
 
     Shard sizes in rows differ by one at most; ``slot`` numbers a shard's rows without gaps from 0;
     grown_shard is null under this law. size is the text's UTF-8 bytes plus 16, text_crc32 that of
-    its bytes (0 for null). Rows of equal text are linked and lie in as few shards as balance
-    allows; null texts are not linked. A group may hold any part of all rows: it moves as counts,
-    and its rows are numbered in pieces. Repeated rows stay, each with its own slot; an empty table
-    gives none; other columns are ignored.
+    its bytes (0 for null). Rows of equal text are linked and lie in one shard; a group larger than
+    a shard lies in as few as hold it, and one is split otherwise only if no shard has room for it.
+    Null texts are linked to none but those of an equal key. A group may hold any part of all rows:
+    it moves as counts, and its rows are numbered in pieces. Very long texts are hashed whole;
+    repeated rows stay, each with its own slot; an empty table gives none; other columns are ignored.
     """
     t = F.coalesce(df[text], F.lit(""))
     # a null text is a group by itself, named after its key
-    group = F.when(df[text].isNull(), F.concat(F.lit("null "), F.coalesce(df[key].cast("string"), F.lit("")))).otherwise(F.sha2(df[text], 256))
+    group = F.when(df[text].isNull(), F.concat(F.lit("null "), F.coalesce(df[key].cast("string"), F.lit("")))).otherwise(F.substring(F.sha2(df[text], 256), 1, 32))
     rows = df.select(
-        df[key].alias("key"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.substring(group, 1, 32).alias("g"),
-        F.pmod(F.xxhash64(df[key], df[text]), F.lit(shards)).cast("int").alias("s"),
+        df[key].alias("key"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), group.alias("g"), F.pmod(F.xxhash64(df[key], df[text]), F.lit(shards)).cast("int").alias("s"),
     )
     rows = cut(rows)
-    pieces = max(PIECES, rows.count() // (shards * 1_000_000) + 1)
-    held = cut(rows.groupBy("g", "s").agg(F.count("*").alias("n")))
-    share = max(1, -(-rows.count() // shards))
-    for _ in range(rounds):
-        after = propagate(held, shards, share)
-        if after is None:
-            break
-        held = after
-    held = even_out(held, shards)
+    total = rows.count()
+    aims = [total // shards + (s < total % shards) for s in range(shards)]
+    pieces = max(PIECES, total // (shards * 1_000_000) + 1)
+    votes = rows.groupBy("g", "s").agg(F.count("*").alias("n"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), F.xxhash64("g", "s").alias("tie"), "s")))
+    groups = cut(votes.groupBy("g").agg(ranked.alias("votes"), F.sum("n").alias("size")))
+    # a group beyond a shard's share is as many units as it fills, with the labels of its next votes
+    k = F.ceil(F.col("size") / max(1, min(aims))).cast("int")
+    units = groups.where("size > 1").select("g", "votes", "size", k.alias("k"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"))
+    n = F.floor(F.col("size") / F.col("k")) + (F.col("part") < F.col("size") % F.col("k")).cast("long")
+    units = units.select("g", "part", n.alias("n"), F.get("votes", F.pmod(F.col("part"), F.size("votes")))["s"].alias("s"))
+    placed, rest, free = propagate(units, aims)
+    single = groups.where("size = 1").select("g", F.lit(0).alias("part"), F.lit(1).cast("long").alias("n"))
+    held = placed.select("g", "s", "n").union(fill(rest.select("g", "part", "n").union(single), free, pieces))
+    held = held.groupBy("g", "s").agg(F.sum("n").alias("n"))
     # a group in one shard needs no ranks; the rows of the others go by rank to the intervals of their shards
-    homes = held.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("parts"))
+    homes = held.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("parts"), F.sum("n").alias("n"))
     ends = F.expr("transform(parts, (x, i) -> aggregate(slice(parts, 1, i + 1), 0L, (a, y) -> a + y.n))")
-    homes = cut(homes.select("g", ends.alias("ends"), F.col("parts.s").alias("parts")))
-    body = rows.drop("s")
-    whole = body.join(homes.where(F.size("parts") == 1).select("g", F.get("parts", F.lit(0)).alias("shard")), "g")
-    split = homes.where(F.size("parts") > 1)
-    ranked = running(body.join(split.select("g"), "g", "left_semi"), ["g"], [F.col("key"), F.col("size")], F.lit(1), "rank", pieces=pieces)
-    at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
-    parted = ranked.join(split, "g").select(*body.columns, F.get("parts", at).alias("shard"))
-    placed = cut(whole.select(*body.columns, "shard").union(parted))
-    numbered = running(placed, ["shard"], [F.col("key"), F.col("text_crc32")], F.lit(1), "slot", pieces=pieces)
+    homes = cut(homes.select("g", "n", ends.alias("ends"), F.col("parts.s").alias("parts")))
+    body = join_counted(rows.drop("s"), homes, "g")
+    columns = ["key", "size", "text_crc32"]
+    whole = body.where(F.size("parts") == 1).select(*columns, F.get("parts", F.lit(0)).alias("shard"))
+    split = running(body.where(F.size("parts") > 1), ["g"], [F.col("key"), F.col("size")], F.lit(1), "rank", pieces=pieces)
+    parted = split.select(*columns, F.get("parts", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).alias("shard"))
+    placed_rows = cut(whole.union(parted))
+    numbered = running(placed_rows, ["shard"], [F.col("key"), F.col("text_crc32")], F.lit(1), "slot", pieces=pieces)
     return numbered.select(
         F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
