@@ -20,8 +20,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer pre-tokens are merged one by one with a heap, as rounds over them would cost their square.
 LONG = 400
-#: Entries of a worker's memory of pre-tokens; a full memory is emptied, which changes no result.
-MEMORY = 400_000
+#: Entries of a worker's memory of pieces, and letters of each at most, so that it is bounded in bytes; a full memory is emptied, which changes no result.
+MEMORY, LETTERS = 400_000, 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -176,8 +176,9 @@ def vocabulary(path: str) -> Vocabulary:
 
 #: Letters and signs on which all versions of the Unicode tables agree; other texts go to the library's own splitter.
 USUAL = regex.compile(r"[\x00-ɏͰ-ͷЀ-ԯ‐-⁯€]*+").fullmatch
-#: A space before white space or the end: there the text cannot be cut at each space.
+#: A space before white space or the end: there no pre-token begins, for one begins just where a visible letter follows.
 ODD_SPACE = regex.compile(r" (?:\s|\Z)").search
+FIRST_SPACE = regex.compile(r" (?=\S)")
 
 
 @lru_cache(maxsize=1)
@@ -198,7 +199,7 @@ def pieces(vocab: Vocabulary, text: str) -> list[str]:
     """A text cut into pieces that can be encoded each by itself; joined they are the text.
 
     Special tokens are pieces. Elsewhere a pre-token always begins at a space that a visible letter
-    follows, so the pieces are words with their leading space; a part with other spacing is one piece.
+    follows, so the pieces are words with their leading space and what white space follows them.
     """
     if any(mark in text for mark in vocab.special):
         return [p for part in vocab.split_special(text) if part for p in ([part] if part in vocab.special else _cut(part))]
@@ -208,9 +209,11 @@ def pieces(vocab: Vocabulary, text: str) -> list[str]:
 def _cut(text: str) -> list[str]:
     if not text:
         return []
-    if "\0" in text or ODD_SPACE(text):
-        return [text]
-    out = text.replace(" ", "\0 ").split("\0")
+    if "\0" in text:
+        at = [0, *(m.start() for m in FIRST_SPACE.finditer(text)), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+    spaced = FIRST_SPACE.sub("\0 ", text) if ODD_SPACE(text) else text.replace(" ", "\0 ")
+    out = spaced.split("\0")
     return out if out[0] else out[1:]
 
 

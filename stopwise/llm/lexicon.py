@@ -133,14 +133,14 @@ def word_counts(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame
         held: Counter = Counter()
 
         def hand_on() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in held.items() if len(w) <= 64 and w.removeprefix(" ").isalpha()]
+            kept = [(w, n) for w, n in held.items() if w.removeprefix(" ").isalpha()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
         for part in text_chunks(batches, "text"):
             for t in part.column("text").to_pylist():
                 if t:
-                    held.update(bpe.pieces(vocab, t))
+                    held.update(w for w in bpe.pieces(vocab, t) if len(w) <= bpe.LETTERS)
             if len(held) > COUNTED:
                 yield hand_on()
         if held:
@@ -209,18 +209,27 @@ class Coder:
             return [w for p in self.vocab.split_special(text) for w in ([p] if p in self.vocab.special else bpe.pre_tokens(self.vocab, p))]
         return bpe.pre_tokens(self.vocab, text)
 
+    def tokens(self, word: str) -> list[int]:
+        """The ids of one word; a long one is merged each time, and not kept."""
+        if word in self.vocab.special:
+            return [self.vocab.special[word]]
+        if word not in self.seen:
+            return self.vocab.merge_flat([word.encode()])[0].tolist()
+        place = self.seen[word]
+        return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
+
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The token ids of each text."""
         parts = [self.words(t) for t in texts]
-        words = set().union(*parts)
+        words = {w for w in set().union(*parts) if len(w) <= bpe.LETTERS}
         if len(self.seen) + len(words) > bpe.MEMORY:
             self.clear()
         new = words - self.seen.keys() - self.vocab.special.keys()
         self.learn(list(new))
         special = self.vocab.special
         for part in parts:
-            if special.keys() & set(part):
-                yield [i for w in part for i in ([special[w]] if w in special else self.ids[self.starts[self.seen[w]] : self.starts[self.seen[w] + 1]].tolist())]
+            if special.keys() & set(part) or max(map(len, part), default=0) > bpe.LETTERS:
+                yield [i for w in part for i in self.tokens(w)]
                 continue
             place = np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))
             count = self.starts[place + 1] - self.starts[place]

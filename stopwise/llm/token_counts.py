@@ -23,7 +23,11 @@ def count_tokens(vocab_path: str, texts: list[str | None]) -> list[int]:
     parts = [bpe.pieces(vocab, t) if t else [] for t in texts]
     new = list(set().union(*parts) - seen.keys()) if parts else []
     seen |= {p: len(ids) for p, ids in zip(new, bpe.encode_pieces(vocab, new), strict=True)}
-    return [sum(map(seen.__getitem__, p)) for p in parts]
+    counts = [sum(map(seen.__getitem__, p)) for p in parts]
+    for p in new:
+        if len(p) > bpe.LETTERS:
+            del seen[p]
+    return counts
 
 
 def token_counts(df: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", limit: int = 1024) -> DataFrame:
