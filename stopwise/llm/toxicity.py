@@ -41,8 +41,8 @@ FEATURES = 5
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x3000 in lower case, -1 for what is dropped."""
-    table = np.full(0x3000, -1, np.int8)
+    """Symbol of each code point in lower case, -1 for what is dropped."""
+    table = np.full(0x110000, -1, np.int8)
     for cp in range(len(table)):
         c = STAND_INS.get(chr(cp), chr(cp))
         if c.isalpha():
@@ -66,7 +66,7 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, flo
     """For each step pattern: word number and three-letter code of every subsequence, and its weight over the norm is the kernel's."""
     lengths = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
-    s = _table[np.minimum(points, len(_table) - 1)].astype(np.int32)
+    s = _table[points].astype(np.int32)
     unit = np.repeat(np.arange(len(words)), lengths)
     unit, s = unit[s >= 0], s[s >= 0]
     counts = np.bincount(unit, minlength=len(words))

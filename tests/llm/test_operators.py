@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import zlib
 
 import numpy as np
 import pytest
@@ -59,6 +60,21 @@ def test_merging_of_long_and_repeated_pairs():
     assert [list(x) for x in v.merge([w.encode() for w in words])] == [t.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_odd_spacing_and_bounded_memory():
+    from stopwise.llm import lexicon
+    from stopwise.llm.token_counts import _seen, count_tokens
+
+    rng, t = random.Random(11), library()
+    parts = [" ", "  ", "\n", " \n ", "\t", "\x1c", "\u3000", "\x85", "a", "Bc", "12", "!?", "é", "漢字", "<|endoftext|>", "\0", "x" * 100]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["word  " * 20_000, "a" * 5000 + "  b"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    _seen.clear()
+    assert count_tokens(VOCAB, texts) == list(map(len, want))
+    assert max(map(len, _seen[VOCAB])) <= bpe.LETTERS and sum(map(len, _seen[VOCAB])) < 100_000
+    coder = lexicon.Coder(VOCAB, lexicon.build_lexicon([" word", "a", " b"], VOCAB))
+    assert list(coder.encode(texts)) == want and max(map(len, coder.seen)) <= bpe.LETTERS
+
+
 def test_automaton():
     words = sorted([b"a", b"ab", b"cab", b"cabs", b"tab", b"tabs"])
     a = Automaton.compile(words, [np.array([i]) for i in range(len(words))])
@@ -255,6 +271,18 @@ def test_toxicity_sees_gaps(spark):
     assert got[0]["predicted"] == got[1]["predicted"] == 1 and got[2]["predicted"] == got[3]["predicted"] == got[4]["predicted"] == 0
 
 
+def test_toxicity_of_all_scripts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("漢字仮名交文한국어") for _ in range(3))
+    clean, bad = [" ".join(word() for _ in range(20)) for _ in range(120)], "悪口雑言"
+    toxic = [" ".join([*(word() for _ in range(12)), bad]) for _ in range(60)]
+    model = fit(toxic, clean)
+    docs = spark.createDataFrame([(1, f"{word()} {bad} {word()}", "", ""), (2, clean[0], "", ""), (3, "😀 𐐀", "", ""), (3, "😀 𐐀", "", "")], SCHEMA)
+    got = toxicity(docs, model).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == 4 and score[1] > score[2] and score[1] > score[3] and toxicity(empty(spark), model).count() == 0
+
+
 def test_licences(spark):
     full = " ".join(licences.SENTENCES[1:4])
     docs = spark.createDataFrame([(1, "Hello. Released under the  MIT license.", "", ""), (2, full, "", ""), (3, None, "", ""), (4, "", "", "")], SCHEMA)
@@ -288,3 +316,22 @@ def test_shards(spark, docs):
     sizes = sorted(map(len, by.values()))
     assert len(got) == 409 and len(by) == 8 and sizes[-1] - sizes[0] <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert shard_documents(empty(spark)).count() == 0
+
+
+def test_shards_cut_no_group_that_fits(spark):
+    rng = random.Random(12)
+    texts = [f"g{i}" for i in range(90) for _ in range(rng.randint(2, 9))] + ["giant"] * 130 + [f"one {i}" for i in range(60)] + [None] * 5
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i % 600, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, shard string, g string")
+    got = shard_documents(docs, shards=10).collect()
+    share = -(-len(texts) // 10)
+    sizes, homes = {}, {}
+    by_crc = {zlib.crc32((t or "").encode()): t for t in texts}
+    for r in got:
+        sizes.setdefault(r["shard"], []).append(r["slot"])
+        if by_crc[r["text_crc32"]]:
+            homes.setdefault(by_crc[r["text_crc32"]], set()).add(r["shard"])
+    assert sorted(map(len, sizes.values()))[-1] - min(map(len, sizes.values())) <= 1 and all(sorted(v) == list(range(len(v))) for v in sizes.values())
+    assert len(homes.pop("giant")) <= -(-130 // (share - 1)) + 1
+    assert all(len(s) == 1 for s in homes.values())
+    assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((i % 600, len((t or "").encode()) + 16) for i, t in enumerate(texts))
