@@ -34,8 +34,8 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
 
 query("B01_trains", oracle("select * from trains", "trains"))(trains)
 query("K01_station_quality", oracle("select * from quality", "quality"))(quality)
-query("K02_journey_order", oracle("select trip_key, full_seq, full_n, station_id, next_station_id, next_arr_planned from ordered", "ordered"))(
-    lambda s, d: ordered(s, d).select("trip_key", "full_seq", "full_n", "station_id", "next_station_id", "next_arr_planned")
+query("K02_journey_order", oracle("select trip_key, place, places, station_id, next_station_id, next_arr_planned from ordered", "ordered"))(
+    lambda s, d: ordered(s, d).select("trip_key", "place", "places", "station_id", "next_station_id", "next_arr_planned")
 )
 query("K03_journey_checks", oracle("select * from checks", "checks"))(lambda s, d: jn.journey_checks(ordered(s, d)))
 query("K04_enters_from_abroad", oracle("select trip_key, enters_from_abroad from checks", "checks"))(lambda s, d: jn.journey_checks(ordered(s, d)).select("trip_key", "enters_from_abroad"))

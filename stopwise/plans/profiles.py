@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stopwise.functions.columns import in_country
+from stopwise.operators import journeys as jn
 from stopwise.operators import relational as rel
 from stopwise.plans import quality as ql
 from stopwise.plans.core import journeys, labels, ordered, trains
@@ -33,11 +34,12 @@ q("N07_cancellations", "select operating_day, round(avg(a::int), 6) as full_shar
 q("N08_delay_distribution", "select category, round(avg(dep_delay_min), 6) as mean, min(dep_delay_min) as lo, round(quantile_cont(dep_delay_min, 0.01), 6) as p01, round(quantile_cont(dep_delay_min, 0.99), 6) as p99, max(dep_delay_min) as hi, round(avg((dep_delay_min > 3)::int), 6) as late3 from journeys where dep_delay_min is not null group by all", E,
   lambda s, d: journeys(s, d).where("dep_delay_min is not null").groupBy("category").agg(F.round(F.avg("dep_delay_min"), 6).alias("mean"), F.min("dep_delay_min").alias("lo"), F.round(F.percentile("dep_delay_min", 0.01), 6).alias("p01"), F.round(F.percentile("dep_delay_min", 0.99), 6).alias("p99"), F.max("dep_delay_min").alias("hi"), share(F.col("dep_delay_min") > 3).alias("late3")))
 q("N09_impossible", "select count(*) filter (where dep_status = 'REAL' and dep_delay_min is null) as out_of_range, count(*) filter (where arr_planned > dep_planned) as plan_backwards, count(*) filter (where arr_actual > dep_actual) as real_backwards, count(*) filter (where is_cancelled and dep_status = 'REAL') as cancelled_measured from journeys", E,
-  lambda s, d: journeys(s, d).agg(F.count_if((F.col("dep_status") == "REAL") & F.col("dep_delay_min").isNull()).alias("out_of_range"), F.count_if("arr_planned > dep_planned" if False else F.col("arr_planned") > F.col("dep_planned")).alias("plan_backwards"), F.count_if(F.col("arr_actual") > F.col("dep_actual")).alias("real_backwards"), F.count_if(F.col("is_cancelled") & (F.col("dep_status") == "REAL")).alias("cancelled_measured")))
+  lambda s, d: journeys(s, d).agg(F.count_if((F.col("dep_status") == "REAL") & F.col("dep_delay_min").isNull()).alias("out_of_range"), F.count_if(F.col("arr_planned") > F.col("dep_planned")).alias("plan_backwards"), F.count_if(F.col("arr_actual") > F.col("dep_actual")).alias("real_backwards"), F.count_if(F.col("is_cancelled") & (F.col("dep_status") == "REAL")).alias("cancelled_measured")))
 q("N10_negative_dwell", "select category, count(*) as n, round(quantile_cont(x, 0.1), 6) as p10, round(median(x), 6) as p50, round(quantile_cont(x, 0.9), 6) as p90 from (select category, (epoch(dep_actual) - epoch(arr_actual)) / 60.0 as x from journeys where arr_actual > dep_actual) group by all", E,
   lambda s, d: (lambda x: rounded(x.groupBy("category").agg(F.count("*").alias("n")).join(rel.quantiles(x, ["category"], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "category")))(journeys(s, d).where("arr_actual > dep_actual").select("category", __import__("stopwise.functions.columns", fromlist=["elapsed_min"]).elapsed_min("arr_actual", "dep_actual").alias("x"))))
-q("N11_integrity", "select count(*) as trips, count_if(n_stations < n_all)::bigint as repeated, count_if(first_has_arr)::bigint as first_has_arr, count_if(last_has_dep)::bigint as last_has_dep, count_if(order_violation)::bigint as order_violation, count_if(consecutive_duplicate)::bigint as duplicate, count_if(not is_valid_journey)::bigint as invalid from checks", E,
-  lambda s, d: __import__("stopwise.operators.journeys", fromlist=["journey_checks"]).journey_checks(ordered(s, d)).agg(F.count("*").alias("trips"), F.count_if(F.col("n_stations") < F.col("n_all")).alias("repeated"), *[F.count_if(c).alias(c) for c in ("first_has_arr", "last_has_dep", "order_violation")], F.count_if("consecutive_duplicate").alias("duplicate"), F.count_if(~F.col("is_valid_journey")).alias("invalid")))
+_faults = ("repeats", "doubled", "backwards", "open_start", "open_end")
+q("N11_integrity", f"select count(*) as trips, {', '.join(f'count_if({f} > 0)::bigint as {f}' for f in _faults)}, count_if(not is_valid_journey)::bigint as invalid from checks", E,
+  lambda s, d: jn.journey_checks(ordered(s, d)).agg(F.count("*").alias("trips"), *[F.count_if(F.col(f) > 0).alias(f) for f in _faults], F.count_if(~F.col("is_valid_journey")).alias("invalid")))
 q("N12_stops_per_journey", "select least(n, 40) as stops, count(*) as trips from (select trip_key, count(*) as n from journeys group by all) group by all", E, lambda s, d: journeys(s, d).groupBy("trip_key").agg(F.count("*").alias("n")).groupBy(F.least("n", F.lit(40)).alias("stops")).agg(F.count("*").alias("trips")))
 q("N12_delay_by_stop", "select stop_seq, count(dep_delay_min) as n, round(avg(dep_delay_min), 6) as mean from journeys group by all", E, lambda s, d: journeys(s, d).groupBy("stop_seq").agg(F.count("dep_delay_min").alias("n"), F.round(F.avg("dep_delay_min"), 6).alias("mean")))
 q("N13_departures_points", "select strftime(operating_day, '%Y-%m') as month, count(*) filter (where dep_planned is not null) as departures, count(*) filter (where is_prediction_point) as points from journeys group by all", E,

@@ -54,8 +54,8 @@ q("B17_flags_to_int", "select trip_key, stop_seq, is_cancelled::int as is_cancel
   lambda s, d: rel.flags_to_int(journeys(s, d).select("trip_key", "stop_seq", "is_cancelled", "is_extra_trip")))
 
 # C: joins
-q("C01_inner_join", "select j.trip_key, j.stop_seq, n_stations from journeys j join checks c on c.trip_key = j.trip_key", J,
-  lambda s, d: journeys(s, d).select("trip_key", "stop_seq").join(jn.journey_checks(ordered(s, d)).select("trip_key", "n_stations"), "trip_key"))
+q("C01_inner_join", "select j.trip_key, j.stop_seq, repeats from journeys j join checks c on c.trip_key = j.trip_key", J,
+  lambda s, d: journeys(s, d).select("trip_key", "stop_seq").join(jn.journey_checks(ordered(s, d)).select("trip_key", "repeats"), "trip_key"))
 q("C02_left_join", "select t.station_id, count(*) as n, max(share_real) as share_real from trains t left join quality q on q.station_id = t.station_id group by all", "quality",
   lambda s, d: trains(s, d).groupBy("station_id").agg(F.count("*").alias("n")).join(F.broadcast(quality(s, d).select("station_id", "share_real")), "station_id", "left"))
 q("C03_self_join_sequence", "select l.trip_key, l.stop_seq, l.horizon_min, a.dep_planned as now_dep, b.arr_planned as then_arr, b.station_id as then_station from labels_ l "
@@ -73,8 +73,8 @@ q("C12_induced_edges", "with e as (select distinct station_id as a, next_station
   "select x.trip_key, a, b from v x join e on e.a = x.station_id join v y on y.trip_key = x.trip_key and y.station_id = e.b", J, lambda s, d: rel.induced_edges(journeys(s, d).select("trip_key", "station_id"), ordered(s, d)))
 q("C13_prediction_join", "select a.trip_key, a.stop_seq, a.d0_min as x, b.delta_min as y, c.delta_min as z from labels_ a join labels_ b using (trip_key, stop_seq) join labels_ c using (trip_key, stop_seq) "
   "where a.horizon_min = 15 and b.horizon_min = 30 and c.horizon_min = 60 and a.in_common_subset", L, lambda s, d: rel.across_horizons(labels(s, d)))
-q("C14_complete_join", "select j.trip_key, j.stop_seq, c.n_all from journeys j join checks c on c.trip_key = j.trip_key", J,
-  lambda s, d: rel.complete_join(journeys(s, d).select("trip_key", "stop_seq"), jn.journey_checks(ordered(s, d)).select("trip_key", "n_all"), ["trip_key"]))
+q("C14_complete_join", "select j.trip_key, j.stop_seq, c.places from journeys j join checks c on c.trip_key = j.trip_key", J,
+  lambda s, d: rel.complete_join(journeys(s, d).select("trip_key", "stop_seq"), jn.journey_checks(ordered(s, d)).select("trip_key", "places"), ["trip_key"]))
 q("C15_flag_join", "select l.trip_key, l.stop_seq, l.horizon_min, coalesce(f.bad, false) as bad from labels_ l left join (select operating_day, count(*) > 150 as bad from journeys where is_cancelled or dep_delay_min > 4 group by 1) f using (operating_day)", L,
   lambda s, d: labels(s, d).select("operating_day", "trip_key", "stop_seq", "horizon_min").join(
       F.broadcast(journeys(s, d).where("is_cancelled or dep_delay_min > 4").groupBy("operating_day").agg((F.count("*") > 150).alias("bad"))), "operating_day", "left"
@@ -117,8 +117,8 @@ q("D21_complete_groups", "select trip_key, stop_seq, horizon_min from (select *,
   lambda s, d: rel.complete_groups(labels(s, d).where("label_status = 'ok'"), ["trip_key", "stop_seq"], "horizon_min", 3).select("trip_key", "stop_seq", "horizon_min"))
 
 # E: windows
-q("E01_row_number", "select trip_key, station_id, full_seq from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "station_id", "full_seq"))
-q("E02_partition_count", "select trip_key, full_seq, full_n from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "full_seq", "full_n"))
+q("E01_row_number", "select trip_key, station_id, place from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "station_id", "place"))
+q("E02_partition_count", "select trip_key, place, places from ordered", "ordered", lambda s, d: ordered(s, d).select("trip_key", "place", "places"))
 q("E03_lead_lag", "select trip_key, stop_seq, lead(station_id) over w as next_station, lag(dep_delay_min, 1) over w as lag1, lag(dep_delay_min, 3) over w as lag3, lag(dep_delay_min, 5) over w as lag5 from journeys window w as (partition by trip_key order by stop_seq)", J,
   lambda s, d: journeys(s, d).select("trip_key", "stop_seq", F.lead("station_id").over(by_stop()).alias("next_station"), *[F.lag("dep_delay_min", k).over(by_stop()).alias(f"lag{k}") for k in (1, 3, 5)]))
 q("E04_before_current", "select trip_key, stop_seq, max(dep_delay_min) over w as max_prev, count(dep_delay_min) over w as n_prev from journeys window w as (partition by trip_key order by stop_seq rows between unbounded preceding and 1 preceding)", J,
