@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
 Unit vectors are rotated by rounds of random signs and a fast Hadamard transform; the signed axis
-nearest to the result is the bucket. Every row is in one bucket of each table. A query looks into
-its nearest buckets of each table, and the rows there are ranked by their exact inner product.
+nearest to the result is a hash. A table's bucket is as many such hashes as keep buckets near
+``FILL`` rows, so their number grows with the logarithm of the rows. Every row is in one bucket of
+each table. A query looks into its nearest buckets of each table, those whose axes together lose
+least, and the rows there are ranked by their exact inner product.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import cut
+from stopwise.llm.common import cut, measured
 
 TABLES = 8
 #: Queries of the sample on which the number of probes is chosen, and the recall to reach there.
@@ -22,14 +25,18 @@ SAMPLE, AIM = 256, 0.95
 #: Rows of a bucket that one task holds; larger buckets are dealt over several tasks.
 SPLIT = 100_000
 ROUNDS = 3
+#: Rows that a bucket holds on average at most.
+FILL = 1000
+#: Buckets of a table that are probed at most; if the aim needs more, a hash less is taken, and with one hash all buckets may be.
+PROBES = 64
 
 
 class Rotation:
     """Pseudo-rotations of one table; vectors are padded with zeros to a power of two."""
 
-    def __init__(self, dims: int, table: int, seed: int = 7):
+    def __init__(self, dims: int, table: int, part: int = 0, seed: int = 7):
         self.width = 1 << max(1, (dims - 1).bit_length())
-        self.signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (ROUNDS, self.width))
+        self.signs = np.random.default_rng([seed, table, part]).choice([-1.0, 1.0], (ROUNDS, self.width))
 
     def turn(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
@@ -44,11 +51,36 @@ class Rotation:
             out /= np.sqrt(self.width)
         return out
 
-    def buckets(self, x: np.ndarray, probes: int = 1) -> np.ndarray:
-        """The nearest signed axes of each row, nearest first; axis i is i, its opposite ``width + i``."""
+    def axes(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest signed axes of each row, nearest first, and how much each loses to the first; axis i is i, its opposite ``width + i``."""
         turned = self.turn(x)
         both = np.concatenate([-turned, turned], axis=1)
-        return np.argsort(both, axis=1, kind="stable")[:, :probes]
+        order = np.argsort(both, axis=1, kind="stable")[:, :most]
+        length = np.take_along_axis(both, order, axis=1)
+        return order, length - length[:, :1]
+
+
+class Table:
+    """Hashes of one table: a bucket is the sequence of their axes, read as one number."""
+
+    def __init__(self, dims: int, table: int, hashes: int):
+        self.parts = [Rotation(dims, table, i) for i in range(hashes)]
+        self.base = 2 * self.parts[0].width
+        self.size = self.base**hashes
+
+    def buckets(self, x: np.ndarray, probes: int = 1) -> np.ndarray:
+        """The nearest buckets of each row, nearest first: those whose axes lose least in all."""
+        found, loss = self.parts[0].axes(x, probes)
+        found = found.astype(np.int64)
+        for part in self.parts[1:]:
+            axes, more = part.axes(x, min(probes, self.base))
+            # the best of all combinations with the best so far
+            total = (loss[:, :, None] + more[:, None, :]).reshape(len(x), -1)
+            order = np.argsort(total, axis=1, kind="stable")[:, :probes]
+            loss = np.take_along_axis(total, order, axis=1)
+            first, second = order // axes.shape[1], order % axes.shape[1]
+            found = np.take_along_axis(found, first, axis=1) * self.base + np.take_along_axis(axes, second, axis=1)
+        return found
 
 
 def lifted(x: np.ndarray, longest: float, flat: bool, query: bool) -> np.ndarray:
@@ -85,7 +117,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[place < k], col[place < k]
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key: str = "vec_id", tables: int = TABLES, aim: float = AIM) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key: str = "vec_id", tables: int = TABLES, aim: float = AIM, hashes: int | None = None) -> DataFrame:
     """``(query_id, rank, key, score)``: for each row for which ``is_query(key column)`` holds, its k nearest others.
 
     Nearest first, ties to the smaller key; score is the inner product in double precision. Rows
@@ -116,8 +148,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
     nodes = cut(nodes.select(F.get("ids", F.lit(0)).alias("node"), "ids", "vec", "asks", norm.alias("norm")))
     reach = nodes.agg(F.min("norm").alias("least"), F.max("norm").alias("most")).first()
     longest, flat = reach["most"], reach["least"] > reach["most"] * (1 - 1e-6)
-    turns = [Rotation(dims + (not flat), t) for t in range(tables)]
-    probes = _probes(nodes, turns, k, longest, flat, aim)
+    hashes = hashes_for(nodes.count(), dims + (not flat)) if hashes is None else hashes
+    turns, probes = _probes(nodes, tables, hashes, dims + (not flat), k, longest, flat, aim)
 
     def placed(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +157,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
             if not len(x):
                 continue
             n = probes if query else 1
-            found = np.concatenate([r.buckets(x, n) for r in turns], axis=1).astype(np.int32)
+            found = np.concatenate([np.concatenate([r.buckets(x[lo : lo + 64], n) for lo in range(0, len(x), 64)]) for r in turns], axis=1)
             width = found.shape[1]
             at = pa.array(np.repeat(np.arange(len(x)), width))
             table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), n), len(x))
@@ -133,14 +165,13 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
             for lo in range(0, len(at), 20_000):
                 yield pa.RecordBatch.from_arrays([c.slice(lo, 20_000) for c in columns], ["node", "vec", "table", "bucket"])
 
-    kind = "node long, vec array<double>, table int, bucket int"
+    kind = "node long, vec array<double>, table int, bucket long"
     data = nodes.select("node", "vec").mapInArrow(lambda b: placed(b, False), kind)
     asked = nodes.where("asks = 1").select("node", "vec").mapInArrow(lambda b: placed(b, True), kind)
     sizes = data.groupBy("table", "bucket").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    # one row a bucket: twice the width of each table
     sizes = cut(sizes)
-    data = data.join(F.broadcast(sizes), ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    asked = asked.join(F.broadcast(sizes.toDF(*sizes.columns)), ["table", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    data = data.join(measured(sizes), ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    asked = asked.join(measured(sizes.toDF(*sizes.columns)), ["table", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def rank(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
@@ -171,14 +202,22 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("at.id").alias(key), (-F.col("at.less")).alias("score"))
 
 
-def _probes(nodes: DataFrame, turns: list[Rotation], k: int, longest: float, flat: bool, aim: float) -> int:
-    """The fewest buckets a table with which a sample of queries finds ``aim`` of its true neighbours.
+def hashes_for(rows: int, dims: int) -> int:
+    """Hashes of a table that keep its buckets at ``FILL`` rows or less on average."""
+    base = 2 << max(1, (dims - 1).bit_length())
+    return max(1, math.ceil(math.log(max(1.0, rows / FILL), base)))
+
+
+def _probes(nodes: DataFrame, tables: int, hashes: int, dims: int, k: int, longest: float, flat: bool, aim: float) -> tuple[list[Table], int]:
+    """The tables, and the fewest buckets of each with which a sample of queries finds ``aim`` of its true neighbours.
 
-    The sample is bounded; its true neighbours come from all rows, block by block.
+    The sample is bounded; its true neighbours come from all rows, block by block. If no number
+    within ``PROBES`` does, the tables get a hash less.
     """
+    plain = [Table(dims, t, hashes) for t in range(tables)]
     sample = nodes.where("asks = 1").select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     if not sample:
-        return 1
+        return plain, 1
     q, own = np.array([r["vec"] for r in sample]), np.array([r["node"] for r in sample])
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +235,21 @@ def _probes(nodes: DataFrame, turns: list[Rotation], k: int, longest: float, fla
     order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
     true = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where("score > double('-inf')").select("q", "vec").collect()
     if not true:
-        return 1
+        return plain, 1
     x, of = lifted(np.array([r["vec"] for r in true]), longest, flat, False), np.array([r["q"] for r in true])
     asked = lifted(q, longest, flat, True)
-    needed = np.full(len(x), 2 * turns[0].width)
-    for r in turns:
-        order = r.buckets(asked, 2 * r.width)
-        needed = np.minimum(needed, (order[of] == r.buckets(x)).argmax(axis=1) + 1)
-    return int(np.sort(needed)[int(np.ceil(aim * len(needed))) - 1])
+    for h in range(hashes, 0, -1):
+        turns = [Table(dims, t, h) for t in range(tables)]
+        most = min(turns[0].size, PROBES if h > 1 else turns[0].size)
+        needed = np.full(len(x), most + 1)
+        for r in turns:
+            theirs = r.buckets(x)
+            # a sampled query at a time, as each has a long list of buckets
+            for i in range(len(asked)):
+                mine = np.flatnonzero(of == i)
+                met = r.buckets(asked[i : i + 1], most)[0][None, :] == theirs[mine]
+                needed[mine] = np.minimum(needed[mine], np.where(met.any(axis=1), met.argmax(axis=1) + 1, most + 1))
+        fewest = int(np.sort(needed)[int(np.ceil(aim * len(needed))) - 1])
+        if fewest <= most:
+            return turns, fewest
+    raise RuntimeError("one hash reaches every bucket")

@@ -116,6 +116,25 @@ def test_neighbours_equal_brute_force(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+@pytest.mark.parametrize("hashes", [1, 2, None])
+def test_neighbours_recall(spark, hashes):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 1200)] + 0.3 * rng.normal(size=(1200, 16))
+    x[:100] *= 3  # lengths differ
+    docs = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, score int")
+    got: dict = {}
+    for r in nearest(docs, lambda key: key % 20 == 0, hashes=hashes).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    found = 0
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s)[:20]) & set(got[q]))
+    assert len(got) == 60 and found >= 0.9 * 60 * 20
+    assert nearest(docs.limit(0), lambda key: key % 20 == 0).count() == 0
+
+
 def test_contamination(spark):
     words = [f"w{i}" for i in range(40)]
     item, other = " ".join(words[:15]), "Short ITEM here"
