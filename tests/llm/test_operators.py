@@ -312,7 +312,7 @@ def test_licences(spark):
 def test_licences_wrapped(spark):
     texts, names, whole = [], [], {"break_long_words": False, "break_on_hyphens": False}
     for name, _, ids in licences.RULES:
-        said = [licences.SENTENCES[n - 1] for n in ids]
+        said = [licences.SENTENCES[n - 1].replace("{}", "the Example Project and its Authors") for n in ids]
         texts.append("\n".join(said))
         for width in (40, 72, 79):
             texts.append("Copyright 2020 A\n\n" + "\n".join(textwrap.fill(s, width, **whole) for s in said) + "\n\nMore text.")
