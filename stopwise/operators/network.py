@@ -153,13 +153,33 @@ def corridor_state(stations: DataFrame, segments: DataFrame, points: DataFrame,
     return out.select(*KEYS, *_state(st, "cor", 30), F.col("gn").cast("long").alias("net_cor_seg_n"), ratio("gs", "gn").alias("net_cor_seg_mean_gain"), "net_cor_gain_sum", "net_cor_seg_coverage")
 
 
+def station_states(stations: DataFrame, points: DataFrame) -> DataFrame:
+    """State of a point's current, next and target stations: the three are stacked, summed in one pass, and laid side by side."""
+    roles = {"cur": "cur_station_id", "next": "next_station_id", "tgt": "target_station_id"}
+    stacked = points.select(*KEYS, "m_end", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("station_id")) for r, c in roles.items()])).alias("at"))
+    sums = trailing_sums(stations, stacked.select(*KEYS, "m_end", "at.*"), {"station_id": "station_id"}, [*KEYS, "role"], (10, 30, 60))
+    values = [f"{v}_{w}" for w in (10, 30, 60) for v in "nsl"]
+    wide = sums.groupBy(*KEYS).agg(*[F.max(F.when(F.col("role") == r, F.struct(*values))).alias(r) for r in roles])
+
+    def state(r: str) -> list:
+        side = {v: F.col(f"{r}.{v}") for v in values}
+        mean = lambda v, w: ratio(side[f"{v}_{w}"], side[f"n_{w}"])
+        out = [side["n_30"].cast("long").alias(f"net_{r}_n"), mean("s", 30).alias(f"net_{r}_mean_delay"), mean("l", 30).alias(f"net_{r}_share_late")]
+        if r != "tgt":
+            out += [side["n_10"].cast("long").alias(f"net_{r}_n_10"), mean("s", 10).alias(f"net_{r}_mean_delay_10")]
+        return [*out, mean("s", 60).alias("net_cur_mean_delay_60")] if r == "cur" else out
+
+    return wide.select(*KEYS, *[c for r in roles for c in state(r)])
+
+
+def features_of(stations: DataFrame, segments: DataFrame, departures: DataFrame, points: DataFrame, journeys: DataFrame, cfg: Config) -> DataFrame:
+    """All 33 network features of each labelled point, from the minute tables."""
+    out = station_states(stations, points).join(segment_state(segments, points), KEYS).join(network_state(network_minutes(stations), points), KEYS)
+    return out.join(corridor_state(stations, segments, points, journeys), KEYS, "left").join(last_before(departures, points, cfg), KEYS, "left")
+
+
 def network_features(trains: DataFrame, journeys: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
     """All 33 network features of each labelled point."""
     events = network_events(trains, cfg)
-    departures, stations = segment_departures(events), station_minutes(events, cfg)
-    segments, points = segment_minutes(departures), prediction_points(journeys, labels, cfg)
-    out = points.select(*KEYS)
-    for prefix, column in (("cur", "cur_station_id"), ("next", "next_station_id"), ("tgt", "target_station_id")):
-        out = out.join(station_state(stations, points, prefix, column), KEYS)
-    out = out.join(segment_state(segments, points), KEYS).join(network_state(network_minutes(stations), points), KEYS)
-    return out.join(corridor_state(stations, segments, points, journeys), KEYS, "left").join(last_before(departures, points, cfg), KEYS, "left")
+    departures = segment_departures(events)
+    return features_of(station_minutes(events, cfg), segment_minutes(departures), departures, prediction_points(journeys, labels, cfg), journeys, cfg)

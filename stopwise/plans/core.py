@@ -10,6 +10,19 @@ from stopwise.operators import labels as lb
 from stopwise.plans.oracles import oracle
 from stopwise.plans.registry import query
 from stopwise.sources.fixture import stops
+from stopwise.sources.shared import stored
+
+
+#: Tables that queries of one session share, written once: by application, folder and name.
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """The table ``make()``, written to the shared folder the first time and read from there."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _tables:
+        _tables[key] = stored(make(), name)
+    return _tables[key]
 
 
 def trains(spark: SparkSession, d: str) -> DataFrame:
@@ -20,14 +33,22 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
     return jn.station_quality(trains(spark, d), C)
 
 
-def journeys(spark: SparkSession, d: str) -> DataFrame:
+def reconstructed(spark: SparkSession, d: str) -> DataFrame:
     return jn.reconstruct_journeys(trains(spark, d), quality(spark, d), C)
 
 
-def labels(spark: SparkSession, d: str) -> DataFrame:
+def journeys(spark: SparkSession, d: str) -> DataFrame:
+    return shared(spark, d, "journeys", lambda: reconstructed(spark, d))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
     return lb.horizon_labels(journeys(spark, d), C)
 
 
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return shared(spark, d, "labels", lambda: labelled(spark, d))
+
+
 def ordered(spark: SparkSession, d: str) -> DataFrame:
     return jn.journey_order(trains(spark, d), C)
 
@@ -39,8 +60,8 @@ query("K02_journey_order", oracle("select trip_key, place, places, station_id, n
 )
 query("K03_journey_checks", oracle("select * from checks", "checks"))(lambda s, d: jn.journey_checks(ordered(s, d)))
 query("K04_enters_from_abroad", oracle("select trip_key, enters_from_abroad from checks", "checks"))(lambda s, d: jn.journey_checks(ordered(s, d)).select("trip_key", "enters_from_abroad"))
-query("K05_reconstruct_journeys", oracle("select * from journeys", "journeys"))(journeys)
-query("K06_horizon_labels", oracle("select * from labels_", "labels_"))(labels)
+query("K05_reconstruct_journeys", oracle("select * from journeys", "journeys"))(reconstructed)
+query("K06_horizon_labels", oracle("select * from labels_", "labels_"))(labelled)
 query("K07_label_coverage", oracle("select horizon_min, label_status, count(*) as n from labels_ group by all", "labels_"))(lambda s, d: lb.label_coverage(labels(s, d)))
 query(
     "A12_journey_summary",

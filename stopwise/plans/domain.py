@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from stopwise.config import EVENTS as C
 from stopwise.operators import baselines as bl
 from stopwise.operators import features as ft
 from stopwise.operators import network as nw
-from stopwise.plans.core import journeys, labels, trains
+from stopwise.plans.core import journeys, labels, shared, trains
 from stopwise.plans.oracles import DAYTYPE, SPLIT, _delay, oracle
 from stopwise.plans.registry import query
 
@@ -81,6 +83,11 @@ def rounded(df, digits: int = R):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+def unsigned(df, digits: int = R):
+    """Rounded, and no zero negative."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
 def r_sql(columns: str, source: str, doubles: str) -> str:
     return f"select {columns}, " + ", ".join(f"round({c}, {R}) as {c}" for c in doubles.split(", ")) + f" from {source}"
 
@@ -113,15 +120,15 @@ def events(s, d):
 
 
 def points(s, d):
-    return nw.prediction_points(journeys(s, d), labels(s, d), C)
+    return shared(s, d, "points", lambda: nw.prediction_points(journeys(s, d), labels(s, d), C))
 
 
 def stations(s, d):
-    return nw.station_minutes(events(s, d), C)
+    return shared(s, d, "station_minutes", lambda: nw.station_minutes(events(s, d), C))
 
 
 def segments(s, d):
-    return nw.segment_minutes(nw.segment_departures(events(s, d)))
+    return shared(s, d, "segment_minutes", lambda: nw.segment_minutes(nw.segment_departures(events(s, d))))
 
 
 DAY_D = "mean_delay_min, p90_delay_min, cancelled_runs_share"
@@ -131,7 +138,7 @@ q("K10_simple_baselines", r_sql(K, "prior", "pred_persistence, pred_offset"), DA
 q("K11_historical_median", r_sql(f"{K}, hist_level", "prior", "pred_historical"), DAYS, lambda s, d: rounded(prior(s, d).select("trip_key", "stop_seq", "horizon_min", "hist_level", "pred_historical")))
 q("C09_cascade", "select hist_level, count(*) as n from prior group by all", DAYS, lambda s, d: prior(s, d).groupBy("hist_level").agg(F.count("*").alias("n")))
 q("D10_group_medians", " union all ".join(f"select {i} as level, count(*) as groups, sum(n)::bigint as n, round(avg(value), 6) as mean_value from h{i}" for i in range(5)), DAYS,
-  lambda s, d: __import__("functools").reduce(lambda a, b: a.union(b), [t.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.lit(i).alias("level"), "groups", "n", "mean_value") for i, t in enumerate(bl.fit_medians(lab(s, d), C))]))
+  lambda s, d: reduce(lambda a, b: a.union(b), [t.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.lit(i).alias("level"), "groups", "n", "mean_value") for i, t in enumerate(bl.fit_medians(lab(s, d), C))]))
 q("K12_segment_reference", r_sql("from_station_id, to_station_id, n", "segref", "planned_run_median_min, run_ref_min"), FEATURES, lambda s, d: rounded(ft.segment_reference(journeys(s, d), C)))
 q("K13_dwell_reference", r_sql("station_id, category, n", "dwellref", "dwell_ref_min"), FEATURES, lambda s, d: rounded(ft.dwell_reference(journeys(s, d), C)))
 FEAT = {
@@ -151,7 +158,7 @@ q("K19_train_features", f"select * replace ({', '.join(f'round({c}, {R}) as {c}'
 q("K20_network_events", r_sql("trip_key, station_id, arr_actual, dep_actual", "ne", "arr_d, dep_d"), NET, lambda s, d: rounded(events(s, d).select("trip_key", "station_id", "arr_actual", "dep_actual", "arr_d", "dep_d")))
 q("K21_segment_departures", r_sql("from_station_id, to_station_id, dep_s, arr_s", "dp", "dep_d, arr_d"), NET, lambda s, d: rounded(nw.segment_departures(events(s, d))))
 q("K22_minute_tables", "select 'station' as what, count(*) as minutes, sum(n)::bigint as n, round(sum(s), 5) as s from ms union all select 'segment', count(*), sum(n)::bigint, round(sum(s), 5) from mg union all select 'all', count(*), sum(n)::bigint, round(sum(s), 5) from mn", NET,
-  lambda s, d: __import__("functools").reduce(lambda a, b: a.union(b), [t.agg(F.count("*").alias("minutes"), F.sum("n").alias("n"), F.round(F.sum("s"), 5).alias("s")).select(F.lit(k).alias("what"), "minutes", "n", "s")
+  lambda s, d: reduce(lambda a, b: a.union(b), [t.agg(F.count("*").alias("minutes"), F.sum("n").alias("n"), F.round(F.sum("s"), 5).alias("s")).select(F.lit(k).alias("what"), "minutes", "n", "s")
       for k, t in (("station", stations(s, d)), ("segment", segments(s, d)), ("all", nw.network_minutes(stations(s, d))))]))
 q("D11_minute_counts", "select station_id, minute, n, round(s, 6) as s, l from ms", NET, lambda s, d: rounded(stations(s, d)))
 q("K23_prediction_points", f"select {K}, cur_station_id, next_station_id, target_station_id, target_seq from pts", NET, lambda s, d: points(s, d).select(*nw.KEYS, "cur_station_id", "next_station_id", "target_station_id", "target_seq"))
@@ -197,5 +204,5 @@ q("K30_train_ahead", r_sql(K, "ahead", AHEAD_D), WIN, lambda s, d: rounded(nw.la
 q("C08_as_of_strict", f"select {K}, round(net_ahead_headway_min, 6) as headway from ahead where net_ahead_headway_min is not null", WIN,
   lambda s, d: nw.last_before(nw.segment_departures(events(s, d)), points(s, d), C).where("net_ahead_headway_min is not null").select(*nw.KEYS, F.round("net_ahead_headway_min", 6).alias("headway")))
 q("K31_network_features", r_sql(f"{K}, net_cur_n, net_cur_n_10, net_next_n, net_next_n_10, net_tgt_n, net_seg_n, net_seg_n_10, net_cor_n, net_cor_seg_n",
-  f"f_cur join f_next using ({K}) join f_tgt using ({K}) join f_seg using ({K}) join f_all using ({K}) left join f_cor using ({K}) left join ahead using ({K})", ", ".join([CUR_D, NEXT_D, TGT_D, SEG_D, ALL_D, COR_D, AHEAD_D])), WIN,
-  lambda s, d: rounded(nw.network_features(trains(s, d), journeys(s, d), labels(s, d), C)))
+  f"f_cur join f_next using ({K}) join f_tgt using ({K}) join f_seg using ({K}) join f_all using ({K}) left join f_cor using ({K}) left join ahead using ({K})", ", ".join([CUR_D, NEXT_D, TGT_D, SEG_D, ALL_D, COR_D, AHEAD_D])).replace(f", {R}) as", f", {R}) + 0 as"), WIN,
+  lambda s, d: unsigned(nw.features_of(stations(s, d), segments(s, d), nw.segment_departures(events(s, d)), points(s, d), journeys(s, d), C)))
