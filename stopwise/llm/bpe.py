@@ -21,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Longer pre-tokens are merged one by one with a heap, as rounds over them would cost their square.
 LONG = 400
 #: Entries of a worker's memory of pieces, and letters of each at most, so that it is bounded in bytes; a full memory is emptied, which changes no result.
-MEMORY, LETTERS = 400_000, 64
+MEMORY, LETTERS = 200_000, 64
 NONE = np.int32(2**31 - 1)
 
 

@@ -51,7 +51,7 @@ class Trigrams:
 
     def clear(self) -> None:
         self.row = np.full(SYMBOLS**3, -1, np.int32)
-        self.vectors = np.empty((0, DIMENSIONS), np.float32)
+        self.vectors = np.empty((0, DIMENSIONS), np.int8)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """The row of each distinct code in ``vectors``; new ones are made."""
@@ -62,7 +62,7 @@ class Trigrams:
             a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
             made = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
             self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
-            self.vectors = np.concatenate([self.vectors, made.astype(np.float32)])
+            self.vectors = np.concatenate([self.vectors, made])
         return self.row[codes]
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
@@ -87,7 +87,7 @@ class Trigrams:
             weights = np.zeros((of[-1] - of[0] + 1, len(distinct)), np.float32)
             weights[of - of[0], at] = weight[lo : lo + TOGETHER]
             rows = self.rows(distinct)
-            out[of[0] : of[-1] + 1] += weights @ self.vectors[rows]
+            out[of[0] : of[-1] + 1] += weights @ self.vectors[rows].astype(np.float32)
         norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))
         return out / np.where(norm > 0, norm, 1)[:, None].astype(np.float32)
 

@@ -27,7 +27,7 @@ from stopwise.llm.common import cut, text_chunks, write_shared
 #: Words that the lexicon holds at most; a bound on its size that no result depends on.
 LEXICON_WORDS = 20_000
 #: Distinct words that a worker counts before it hands them on.
-COUNTED = 300_000
+COUNTED = 150_000
 
 
 class Automaton:
