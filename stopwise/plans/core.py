@@ -10,19 +10,20 @@ from stopwise.operators import labels as lb
 from stopwise.plans.oracles import oracle
 from stopwise.plans.registry import query
 from stopwise.sources.fixture import stops
-from stopwise.sources.shared import stored
+from stopwise.sources.shared import present, shared_folder, stored
 
 
 #: Tables that queries of one session share, written once: by application, folder and name.
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def shared(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """The table ``make()``, written to the shared folder the first time and read from there."""
+    """The table ``make()``, written to the shared folder the first time, or if it has been cleared, and read from there."""
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _tables:
-        _tables[key] = stored(make(), name)
-    return _tables[key]
+    if key not in _tables or not present(spark, f"{_tables[key][0]}/_SUCCESS"):
+        path = shared_folder(spark, name)
+        _tables[key] = path, stored(make(), path=path)
+    return _tables[key][1]
 
 
 def trains(spark: SparkSession, d: str) -> DataFrame:

@@ -19,8 +19,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, whatever its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored(df: DataFrame, name: str = "stored", path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again, so that later steps neither recompute it nor depend on an executor."""
-    path = shared_folder(df.sparkSession, name)
+    path = path or shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stopwise.operators.calibrate import offsets_of
+from stopwise.sources.shared import present
 
 
 def minute_counts(events: DataFrame, key: str, late_min: float, delay: str = "2 minutes") -> DataFrame:
@@ -31,11 +32,6 @@ def trains_ahead(departures: DataFrame, points: DataFrame, lag: str = "2 minutes
     return p.join(d, near).select("p.point_id", "p.point_time", "d.dep_time", "d.d")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _put(df: DataFrame, path: str) -> None:
     """Write by day, replacing the days that ``df`` holds."""
     df.write.partitionBy("operating_day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
@@ -61,7 +57,7 @@ def daily_replay(days: DataFrame, state: str, out: str, checkpoint: str, score:
 
     def one_day(rows: DataFrame, day: object) -> None:
         spark = rows.sparkSession
-        past = spark.read.schema(rows.schema).parquet(state) if _exists(spark, state) else rows.limit(0)
+        past = spark.read.schema(rows.schema).parquet(state) if present(spark, state) else rows.limit(0)
         past = past.where(F.col("operating_day") < F.lit(day))
         scored = score(rows.join(F.broadcast(offsets_of(past, "y", "q10", "q90", least)), "horizon_min", "left"))
         _put(scored, out)
