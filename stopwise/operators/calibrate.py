@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from stopwise.config import Config
 from stopwise.functions.columns import d0_bucket
+from stopwise.operators.ranks import conformal_rank, order_statistics, trailing_order_statistics
 
 
 def higher_quantile(df: DataFrame, x: Column, coverage: float, by: list[str], name: str = "offset") -> DataFrame:
     """Of each group the order statistic at rank ceil((n - 1) * level), level = min(1, ceil((n + 1) * coverage) / n), and n."""
-    v = df.select(*by, x.alias("_x")).where("_x is not null")
-    w = Window.partitionBy(*by)
-    ranked = v.withColumn("n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("_x")))
-    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(coverage)) / F.col("n"))
-    return ranked.where(F.col("_r") == F.ceil((F.col("n") - 1) * level) + 1).select(*by, "n", F.col("_x").alias(name))
+    return order_statistics(df, by, {name: (x, conformal_rank(coverage))}).select(*by, "n", F.col("value").alias(name))
 
 
 def residual(y: str, lo: str, hi: str) -> Column:
@@ -37,10 +34,25 @@ def calibrate(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, min_points:
     return full.select("horizon_min", "d0_bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") >= min_points, F.col("offset")).otherwise(F.col("pooled")).alias("offset"))
 
 
+def tail_values(y: str, lo: str, hi: str, tail: float = 0.1) -> dict:
+    """What the offsets of the two tails are order statistics of."""
+    return {"lo_offset": (F.col(lo) - F.col(y), conformal_rank(1 - tail)), "hi_offset": (F.col(y) - F.col(hi), conformal_rank(1 - tail))}
+
+
+def both_values(y: str, lo: str, hi: str, coverage: float = 0.8) -> dict:
+    """The same for one offset of both sides."""
+    return {"offset": (residual(y, lo, hi), conformal_rank(coverage))}
+
+
+def by_name(found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """The order statistics as columns, of groups that have all of them; n is that of the last."""
+    out = found.groupBy(*by).agg(*[F.max(F.when(F.col("stat") == n, F.col("value"))).alias(n) for n in names], F.max(F.when(F.col("stat") == names[-1], F.col("n"))).alias("n"))
+    return out.dropna(subset=names)
+
+
 def tail_offsets(df: DataFrame, y: str, lo: str, hi: str, by: list[str], tail: float = 0.1) -> DataFrame:
     """One offset for each tail."""
-    low = higher_quantile(df, F.col(lo) - F.col(y), 1 - tail, by, "lo_offset").drop("n")
-    return low.join(higher_quantile(df, F.col(y) - F.col(hi), 1 - tail, by, "hi_offset"), by)
+    return by_name(order_statistics(df, by, tail_values(y, lo, hi, tail)), by, ["lo_offset", "hi_offset"]).select(*by, "lo_offset", "n", "hi_offset")
 
 
 def trailing_days(df: DataFrame, days: int, day: str = "operating_day") -> DataFrame:
@@ -57,17 +69,14 @@ def trailing_days(df: DataFrame, days: int, day: str = "operating_day") -> DataF
 def offsets_of(df: DataFrame, y: str, lo: str, hi: str, least: int = 7) -> DataFrame:
     """``(horizon_min, days, offset, lo_offset, hi_offset)`` from all rows given; horizons known on less than ``least`` days have none."""
     days = df.groupBy("horizon_min").agg(F.count_distinct("operating_day").alias("days")).where(F.col("days") >= least)
-    both = conformal_offset(df, y, lo, hi, ["horizon_min"]).drop("n")
-    return days.join(both, "horizon_min").join(tail_offsets(df, y, lo, hi, ["horizon_min"]).drop("n"), "horizon_min")
+    found = order_statistics(df, ["horizon_min"], both_values(y, lo, hi) | tail_values(y, lo, hi))
+    return days.join(by_name(found, ["horizon_min"], ["offset", "lo_offset", "hi_offset"]).drop("n"), "horizon_min")
 
 
 def rolling_offsets(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, window: int = 14, least: int = 7) -> DataFrame:
     """Offsets of each day and horizon from the days before: both sides together, and by tail. Days with too little history have none."""
-    t = trailing_days(df, window)
-    enough = t.groupBy("for_day", "horizon_min").agg(F.count_distinct("operating_day").alias("days")).where(F.col("days") >= least)
-    by = ["for_day", "horizon_min"]
-    both = conformal_offset(t, y, lo, hi, by).drop("n")
-    return enough.join(both, by).join(tail_offsets(t, y, lo, hi, by).drop("n"), by)
+    found = trailing_order_statistics(df, ["horizon_min"], both_values(y, lo, hi) | tail_values(y, lo, hi), window, least)
+    return by_name(found, ["for_day", "horizon_min", "days"], ["offset", "lo_offset", "hi_offset"]).drop("n")
 
 
 def intervals(df: DataFrame, static: DataFrame, rolling: DataFrame, p50: str, lo: str, hi: str, cfg: Config) -> DataFrame:

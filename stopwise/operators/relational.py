@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise.config import Config
 from stopwise.functions.columns import register_sql
+from stopwise.operators.ranks import numbered
 
 
 def project_sets(df: DataFrame, chosen: list[str], sets: dict[str, list[str]], keys: list[str]) -> DataFrame:
@@ -136,15 +137,8 @@ def capped(df: DataFrame, by: list[str], order: list[Column], most: int) -> Data
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys numbered from 0 in order.
-
-    Sorted partitions number their own rows; the sizes of the partitions before, one number each,
-    are added. No task sees more than its partition.
-    """
-    ranged = df.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before), "_part").select(key, (F.col("_base") + F.col("_at")).alias("idx"))
+    """Distinct keys numbered from 0 in order; see ``numbered``."""
+    return numbered(df.select(key), [F.col(key)], "idx")
 
 
 def arrivals_and_departures(journeys: DataFrame) -> DataFrame:

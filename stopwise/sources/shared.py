@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; only in local mode may a temporary folder stand in for it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         root = spark.sparkContext.getCheckpointDir()
