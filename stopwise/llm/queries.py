@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stopwise.llm import decontaminate, licences
+from stopwise.llm import decontaminate, licences, manifest, replies, resampling
 from stopwise.llm.decontaminate import contamination
 from stopwise.llm.language import identify
 from stopwise.llm.lexicon import encode_corpus
@@ -68,9 +69,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return replies.digest(replies.conversations(rows.unionByName(extra)))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = {"text": F.when(drawn, manifest.lower_ascii(docs["text"])).otherwise(docs["text"])}
+    out = manifest.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.oracle(), "op9_licences": licences.oracle()}
+    return {"op5_decontamination": decontaminate.oracle(), "op9_licences": licences.oracle()} | {"op11_resampling": resampling.oracle(), "op12_chat": replies.oracle(), "op13_manifest": manifest.oracle()}
