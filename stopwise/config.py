@@ -20,6 +20,8 @@ class Config:
     windows: tuple[int, ...] = (10, 30, 60)
     late_min: float = 3.0
     ahead_max_min: int = 60
+    period_start: str = "2025-08-01"
+    period_end: str = "2026-09-30"
     train_end: str = "2026-04-30"
     valid_end: str = "2026-05-31"
     test_end: str = "2026-06-30"
@@ -34,6 +36,6 @@ class Config:
 
 #: Binding of the ``events`` table: see ``sources.fixture``.
 EVENTS = Config(
-    scope=("click", "view", "purchase", "error"), excluded_operators=("OP6",), train_end="2024-01-18", valid_end="2024-01-22", test_end="2024-01-25",
+    scope=("click", "view", "purchase", "error"), excluded_operators=("OP6",), period_start="2024-01-01", period_end="2024-12-31", train_end="2024-01-18", valid_end="2024-01-22", test_end="2024-01-25",
     min_segment=5, min_history=5, min_edge_runs=10,
 )

@@ -49,11 +49,16 @@ def trip_key(day: Column | str, trip: Column | str) -> Column:
     return F.concat(_c(day).cast("string"), F.lit("|"), _c(trip))
 
 
-def date_split(day: Column | str, cfg: Config) -> Column:
-    """train, valid, test or production by date."""
+def date_split(day: Column | str, cfg: Config, strict: bool = False) -> Column:
+    """train, valid, test or production by date. If ``strict``, a date outside the period is an error, as is a missing one."""
     d = _c(day)
     bound = lambda x: F.lit(x).cast("date")
-    return F.when(d <= bound(cfg.train_end), "train").when(d <= bound(cfg.valid_end), "valid").when(d <= bound(cfg.test_end), "test").otherwise("production")
+    split = F.when(d <= bound(cfg.train_end), "train").when(d <= bound(cfg.valid_end), "valid").when(d <= bound(cfg.test_end), "test").otherwise("production")
+    if not strict:
+        return split
+    within = F.coalesce(d.between(bound(cfg.period_start), bound(cfg.period_end)), F.lit(False))
+    outside = F.raise_error(F.concat(F.coalesce(d.cast("string"), F.lit("a missing date")), F.lit(" is outside the study period")))
+    return F.when(within, split).otherwise(outside.cast("string"))
 
 
 def day_type(day: Column | str) -> Column:

@@ -24,14 +24,28 @@ def conformal_offset(df: DataFrame, y: str, lo: str, hi: str, by: list[str], cov
     return higher_quantile(df, residual(y, lo, hi), coverage, by)
 
 
+BUCKETS = ["<1", "1-3", "3-10", ">10"]
+POOLED = "all"
+
+
+def with_pool(df: DataFrame, cfg: Config) -> DataFrame:
+    """Each row once under its delay bucket and once under ``POOLED``."""
+    return df.withColumn("d0_bucket", F.explode(F.array(d0_bucket("d0_min", cfg), F.lit(POOLED))))
+
+
+def spread(found: DataFrame, by: list[str], names: list[str], min_points: int) -> DataFrame:
+    """``(by, d0_bucket, n, names)`` with all buckets: one with fewer than ``min_points`` takes the pooled values. n counts the bucket's own."""
+    pooled = found.where(F.col("d0_bucket") == POOLED).select(*by, *[F.col(c).alias(f"_{c}") for c in names], F.explode(F.array(*map(F.lit, BUCKETS))).alias("d0_bucket"))
+    full = pooled.join(found, [*by, "d0_bucket"], "left")
+    own = F.coalesce("n", F.lit(0)) >= min_points
+    return full.select(*by, "d0_bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[F.when(own, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in names])
+
+
 def calibrate(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, min_points: int = 200) -> DataFrame:
     """Offset of each horizon and delay bucket; a bucket with few points takes the pooled one. All buckets are there."""
-    b = df.withColumn("d0_bucket", d0_bucket("d0_min", cfg))
-    own = conformal_offset(b, y, lo, hi, ["horizon_min", "d0_bucket"])
-    pooled = conformal_offset(b, y, lo, hi, ["horizon_min"]).select("horizon_min", F.col("offset").alias("pooled"))
-    names = F.explode(F.array(*map(F.lit, ["<1", "1-3", "3-10", ">10"]))).alias("d0_bucket")
-    full = pooled.select("horizon_min", "pooled", names).join(own, ["horizon_min", "d0_bucket"], "left")
-    return full.select("horizon_min", "d0_bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") >= min_points, F.col("offset")).otherwise(F.col("pooled")).alias("offset"))
+    by = ["horizon_min", "d0_bucket"]
+    found = by_name(order_statistics(with_pool(df, cfg), by, both_values(y, lo, hi)), by, ["offset"])
+    return spread(found, ["horizon_min"], ["offset"], min_points)
 
 
 def tail_values(y: str, lo: str, hi: str, tail: float = 0.1) -> dict:
@@ -66,28 +80,49 @@ def trailing_days(df: DataFrame, days: int, day: str = "operating_day") -> DataF
     return out.join(F.broadcast(later), "_rank").drop("_r", "_rank")
 
 
-def offsets_of(df: DataFrame, y: str, lo: str, hi: str, least: int = 7) -> DataFrame:
-    """``(horizon_min, days, offset, lo_offset, hi_offset)`` from all rows given; horizons known on less than ``least`` days have none."""
-    days = df.groupBy("horizon_min").agg(F.count_distinct("operating_day").alias("days")).where(F.col("days") >= least)
-    found = order_statistics(df, ["horizon_min"], both_values(y, lo, hi) | tail_values(y, lo, hi))
-    return days.join(by_name(found, ["horizon_min"], ["offset", "lo_offset", "hi_offset"]).drop("n"), "horizon_min")
+OFFSETS = ["offset", "lo_offset", "hi_offset"]
+
 
+def offsets_of(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, least: int = 7, min_points: int = 200) -> DataFrame:
+    """``(horizon_min, d0_bucket, n, offset, lo_offset, hi_offset)`` from all rows given; none if they are of less than ``least`` days."""
+    by = ["horizon_min", "d0_bucket"]
+    enough = df.agg((F.count_distinct("operating_day") >= least).alias("enough"))
+    found = by_name(order_statistics(with_pool(df, cfg), by, both_values(y, lo, hi) | tail_values(y, lo, hi)), by, OFFSETS)
+    return spread(found, ["horizon_min"], OFFSETS, min_points).join(F.broadcast(enough.where("enough")), how="left_semi")
 
-def rolling_offsets(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, window: int = 14, least: int = 7) -> DataFrame:
-    """Offsets of each day and horizon from the days before: both sides together, and by tail. Days with too little history have none."""
-    found = trailing_order_statistics(df, ["horizon_min"], both_values(y, lo, hi) | tail_values(y, lo, hi), window, least)
-    return by_name(found, ["for_day", "horizon_min", "days"], ["offset", "lo_offset", "hi_offset"]).drop("n")
+
+def rolling_offsets(df: DataFrame, y: str, lo: str, hi: str, cfg: Config, window: int = 14, least: int = 7, min_points: int = 200) -> DataFrame:
+    """``(for_day, horizon_min, d0_bucket, days, n, offset, lo_offset, hi_offset)`` from the days before each day: both sides together, and by tail.
+
+    Days with too little history have none; a bucket with few points takes the values of its horizon.
+    """
+    by = ["for_day", "horizon_min", "d0_bucket", "days"]
+    stats = trailing_order_statistics(with_pool(df, cfg), ["horizon_min", "d0_bucket"], both_values(y, lo, hi) | tail_values(y, lo, hi), window, least)
+    return spread(by_name(stats, by, OFFSETS), ["for_day", "horizon_min", "days"], OFFSETS, min_points)
+
+
+STRATEGIES = ["static", "rolling", "rolling_tails"]
 
 
 def intervals(df: DataFrame, static: DataFrame, rolling: DataFrame, p50: str, lo: str, hi: str, cfg: Config) -> DataFrame:
-    """Bounds of each point under the fixed, rolling and by-tail offsets, sorted with the median; fixed ones where there is no history."""
+    """``df`` with ``lo_`` and ``hi_`` of each of ``STRATEGIES``: bounds under the fixed, rolling and by-tail offsets, sorted with the median; fixed ones where there is no history."""
     s = static.select("horizon_min", "d0_bucket", F.col("offset").alias("_s"))
-    r = rolling.select(F.col("for_day").alias("operating_day"), "horizon_min", F.col("offset").alias("_o"), "lo_offset", "hi_offset")
-    x = df.withColumn("d0_bucket", d0_bucket("d0_min", cfg)).join(F.broadcast(s), ["horizon_min", "d0_bucket"], "left").join(F.broadcast(r), ["operating_day", "horizon_min"], "left")
+    r = rolling.select(F.col("for_day").alias("operating_day"), "horizon_min", "d0_bucket", F.col("offset").alias("_o"), F.col("lo_offset").alias("_lo"), F.col("hi_offset").alias("_hi"))
+    own = [c for c in df.columns if c != "d0_bucket"]
+    x = df.select(*own).withColumn("d0_bucket", d0_bucket("d0_min", cfg)).join(F.broadcast(s), ["horizon_min", "d0_bucket"], "left")
+    x = x.join(F.broadcast(r), ["operating_day", "horizon_min", "d0_bucket"], "left")
 
     def bounds(name: str, down: Column, up: Column) -> list[Column]:
         three = F.array_sort(F.array(F.col(lo) - down, F.col(p50), F.col(hi) + up))
         return [F.get(three, F.lit(0)).alias(f"lo_{name}"), F.get(three, F.lit(2)).alias(f"hi_{name}")]
 
-    s_, o = F.col("_s"), F.coalesce("_o", "_s")
-    return x.select(*df.columns, *bounds("static", s_, s_), *bounds("rolling", o, o), *bounds("tails", F.coalesce("lo_offset", "_s"), F.coalesce("hi_offset", "_s")))
+    fixed = F.coalesce("_s", F.lit(0.0))
+    shifts = {"static": (fixed, fixed), "rolling": (F.coalesce("_o", fixed),) * 2, "rolling_tails": (F.coalesce("_lo", fixed), F.coalesce("_hi", fixed))}
+    return x.select(*own, "d0_bucket", *[c for name in STRATEGIES for c in bounds(name, *shifts[name])])
+
+
+def by_strategy(df: DataFrame) -> DataFrame:
+    """The rows of ``intervals`` in long form: ``strategy``, ``lo`` and ``hi`` in place of a pair of columns each."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"lo_{s}").alias("lo"), F.col(f"hi_{s}").alias("hi")) for s in STRATEGIES])
+    kept = [c for c in df.columns if c not in {f"{e}_{s}" for e in ("lo", "hi") for s in STRATEGIES}]
+    return df.select(*kept, F.explode(pairs).alias("_p")).select(*kept, "_p.*")

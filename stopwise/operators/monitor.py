@@ -29,15 +29,66 @@ def psi(df: DataFrame, x: str, reference: DataFrame, by: list[str], least: float
     return expected.groupBy(*by).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
-def daily_scores(df: DataFrame, y: str, pred: str, base: str, lo: str, hi: str) -> DataFrame:
-    """Of each day and horizon: rows, MAE, 90th percentile, skill against the base prediction, and interval quality."""
-    err, ref = F.abs(F.col(y) - F.col(pred)), F.abs(F.col(y) - F.col(base))
+def drift_references(df: DataFrame, features: list[str], by: list[str], bins: int = 10) -> DataFrame:
+    """``(by, feature, edges, shares, missing_share)`` of all features in one pass: a row for each group and feature.
+
+    Edges are the distinct inner quantiles of the known values, and a value on an edge belongs above it.
+    """
+    x = _stacked(df, features, by)
+    levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    edges = x.groupBy(*by, "feature").agg(F.array_distinct(F.percentile("x", levels)).alias("edges"), F.count("*").alias("n"), F.count("x").alias("known"))
+    counts = _binned(x, edges, by).groupBy(*by, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
+    share = lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("known")
+    shares = F.transform(F.sequence(F.lit(0), F.size("edges")), share)
+    return edges.join(counts, [*by, "feature"]).select(*by, "feature", "edges", shares.alias("shares"), (1 - F.col("known") / F.col("n")).alias("missing_share"))
+
+
+def _stacked(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """``(by, feature, x)``: the values of all features below one another."""
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    return df.select(*by, F.explode(each).alias("_f")).select(*by, "_f.*")
+
+
+def _binned(x: DataFrame, references: DataFrame, by: list[str], more: list[str] | None = None) -> DataFrame:
+    """``(more, by, feature, bin, c)``: how many known values lie in each bin. The references, a row for each group and feature, are broadcast."""
+    r = F.broadcast(references.select(*by, "feature", "edges"))
+    bin_ = F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin")
+    return x.where("x is not null").join(r, [*by, "feature"]).groupBy(*(more or []), *by, "feature", bin_).agg(F.count("*").alias("c"))
+
+
+def drift(df: DataFrame, features: list[str], references: DataFrame, by: list[str], over: str = "operating_day", least: float = 1e-4) -> DataFrame:
+    """``(over, by, psi_...)``: the population stability index of every feature in every group, in one pass; null where no value is known."""
+    binned = _binned(_stacked(df, features, [over, *by]), references, by, [over])
+    held = binned.groupBy(over, *by, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"))
+    met = held.join(F.broadcast(references.select(*by, "feature", "shares")), [*by, "feature"])
+    a = lambda i: F.greatest(F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("n"), F.lit(least))
+    e = lambda x: F.greatest(x, F.lit(least))
+    terms = F.transform("shares", lambda x, i: (a(i) - e(x)) * F.log(a(i) / e(x)))
+    psi_ = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    found = met.select(over, *by, "feature", psi_.alias("psi"))
+    return found.groupBy(over, *by).agg(*[F.max(F.when(F.col("feature") == f, F.col("psi"))).alias(f"psi_{f}") for f in features])
+
+
+def daily_scores(df: DataFrame, y: str, pred: str, base: str, strategies: list[str]) -> DataFrame:
+    """Of each day and horizon: rows, MAE, 90th percentile, skill against the base prediction, and each strategy's coverage, tails and median width.
+
+    One aggregation of the rows of ``intervals``, which are neither copied nor read again by strategy.
+    """
+    err, ref, v = F.abs(F.col(y) - F.col(pred)), F.abs(F.col(y) - F.col(base)), F.col(y)
     share = lambda c: F.avg(c.cast("int"))
-    out = df.groupBy("operating_day", "horizon_min").agg(
-        F.count("*").alias("n"), F.avg(err).alias("mae"), F.percentile(err, 0.9).alias("p90"), F.avg(ref).alias("mae_base"), share(F.col(y).between(F.col(lo), F.col(hi))).alias("coverage"),
-        share(F.col(y) < F.col(lo)).alias("below"), share(F.col(y) > F.col(hi)).alias("above"), F.avg(F.col(hi) - F.col(lo)).alias("width"),
-    )
-    return out.withColumn("skill", 1 - ratio("mae", "mae_base")).drop("mae_base")
+    parts = []
+    for s in strategies:
+        lo, hi = F.col(f"lo_{s}"), F.col(f"hi_{s}")
+        parts += [share(v.between(lo, hi)).alias(f"coverage_{s}"), share(v < lo).alias(f"below_{s}"), share(v > hi).alias(f"above_{s}"), F.median(hi - lo).alias(f"width_{s}")]
+    out = df.groupBy("operating_day", "horizon_min").agg(F.count("*").alias("n"), F.avg(err).alias("mae"), F.percentile(err, 0.9).alias("p90_abs_err"), F.avg(ref).alias("mae_historical"), *parts)
+    return out.withColumn("skill_vs_historical", 1 - ratio("mae", "mae_historical"))
+
+
+def with_window_days(scores: DataFrame, window: int = 14) -> DataFrame:
+    """``rolling_window_days``: how many of the last ``window`` days had been scored before each day. There is one row a day."""
+    days = scores.select("operating_day").distinct()
+    ranked = days.withColumn("rolling_window_days", F.least(F.row_number().over(Window.orderBy("operating_day")) - 1, F.lit(window)))
+    return scores.join(F.broadcast(ranked), "operating_day")
 
 
 def trailing_median(scores: DataFrame, value: str, window: int = 14, least: int = 7) -> DataFrame:
@@ -50,23 +101,19 @@ def trailing_median(scores: DataFrame, value: str, window: int = 14, least: int
 
 
 def alerts(scores: DataFrame, psi_limit: float = 0.25, coverage_limit: float = 0.7, jump: float = 1.25, window: int = 14, least: int = 7) -> DataFrame:
-    """Scores with ``alerts``: drift, low coverage, and a MAE far above the median of the days before."""
-    w = Window.partitionBy("horizon_min").orderBy("operating_day").rowsBetween(-window, -1)
-    past = F.array_sort(F.collect_list("mae").over(w))
-    n = F.size("_past")
-    middle = (F.get("_past", F.floor((n - 1) / 2).cast("int")) + F.get("_past", F.floor(n / 2).cast("int"))) / 2
-    x = scores.withColumn("_past", past)
-    parts = [
-        F.when(F.col("psi") > psi_limit, "drift:d0") if "psi" in scores.columns else F.lit(None).cast("string"),
-        F.when(F.col("coverage") < coverage_limit, "low_coverage"), F.when((n >= least) & (F.col("mae") > jump * middle), "mae_jump"),
-    ]
-    return x.withColumn("alerts", F.concat_ws(",", *parts)).drop("_past")
+    """Scores with ``alerts``: each drifting feature, low coverage by tails, and a MAE far above the median of the days before."""
+    before = trailing_median(scores, "mae", window, least)
+    x = scores.join(before, ["operating_day", "horizon_min"], "left")
+    drifted = [F.when(F.col(c) > psi_limit, F.lit(f"drift:{c[4:]}")) for c in scores.columns if c.startswith("psi_")]
+    low = F.when(F.col("coverage_rolling_tails") < coverage_limit, F.lit("low_coverage"))
+    parts = [*drifted, low, F.when(F.col("mae") > jump * F.col("median_before"), F.lit("mae_jump"))]
+    return x.withColumn("alerts", F.concat_ws(",", *parts)).drop("n_before", "median_before")
 
 
-def replay_summary(scores: DataFrame, by: list[str]) -> DataFrame:
+def replay_summary(scores: DataFrame, by: list[str], strategies: list[str]) -> DataFrame:
     """Metrics of groups of days, weighted by points."""
     w = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
-    return scores.groupBy(*by).agg(F.count("*").alias("days"), F.sum("n").alias("n"), w("mae"), w("skill"), w("coverage"), w("width"))
+    return scores.groupBy(*by).agg(F.count("*").alias("days"), F.sum("n").alias("points"), w("mae"), w("mae_historical"), *[w(f"{k}_{s}") for s in strategies for k in ("coverage", "above")])
 
 
 def metrics_between(scores: DataFrame, horizon: int, start: str, end: str) -> DataFrame:
@@ -76,10 +123,10 @@ def metrics_between(scores: DataFrame, horizon: int, start: str, end: str) -> Da
 def monthly_skill(scores: DataFrame) -> DataFrame:
     """Weighted skill of each month and horizon."""
     m = scores.withColumn("month", F.date_format("operating_day", "yyyy-MM"))
-    return m.groupBy("month", "horizon_min").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("skill")) / F.sum("n")).alias("skill"))
+    return m.groupBy("month", "horizon_min").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("skill_vs_historical")) / F.sum("n")).alias("skill"))
 
 
 def skill_trend(scores: DataFrame) -> DataFrame:
     """Least-squares change of the daily skill over 30 days."""
     x = F.date_diff("operating_day", F.lit("1970-01-01").cast("date"))
-    return scores.withColumn("_x", x).groupBy("horizon_min").agg((30 * F.regr_slope("skill", "_x")).alias("trend_30d"))
+    return scores.withColumn("_x", x).groupBy("horizon_min").agg((30 * F.regr_slope("skill_vs_historical", "_x")).alias("trend_30d"))

@@ -13,8 +13,8 @@ from stopwise.sources.shared import stored
 PIECES = 256
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` with ``name``: the place of each row, from 0, in ``order``; equal rows follow one another in any order.
+def numbered(df: DataFrame, order: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``name``: the place of each row, from 0, in ``order``; equal rows follow one another in any order.
 
     Rows are dealt by ranges and sorted, and stored with their number within their partition. The
     sizes are then counted on what has been stored, and ranges are put in order by it, so that
@@ -24,7 +24,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """
     keys = [*order, F.col("_salt")]
     salted = df.withColumn("_salt", F.monotonically_increasing_id())
-    ranged = salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
+    ranged = salted.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*(keep or df.columns))
     kept = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -82,9 +82,10 @@ def order_statistics(df: DataFrame, by: list[str], values: dict[str, tuple[Colum
 def trailing_order_statistics(
     df: DataFrame, by: list[str], values: dict[str, tuple[Column, Callable[[Column], Column]]], window: int, least: int, day: str = "operating_day", pieces: int = PIECES
 ) -> DataFrame:
-    """``(for_day, by, days, stat, n, value)``: the same of each day's ``window`` days before, of which ``least`` must hold the group.
+    """``(for_day, by, days, stat, n, value)``: the same of each day's ``window`` days before, if there are ``least`` of them.
 
-    Days are ranked, so missing dates are skipped. Values are counted once by day. Of the counts by
+    Days that occur in ``df`` are ranked, so missing dates are skipped, and days counts those that
+    a day looks back on. Values are counted once by day. Of the counts by
     piece and day the trailing sums are taken, a table that does not grow with the rows, and only
     the pieces in which a rank lies are looked into for several days.
     """
@@ -92,9 +93,8 @@ def trailing_order_statistics(
     g = F.struct(*by, F.col("_v.stat").alias("stat")).alias("_g")
     counts = stored(stacked.select(F.col(day).alias("_day"), g, F.col("_v._x").alias("_x")).groupBy("_day", "_g", "_x").agg(F.count("*").alias("_n")), "counts")
     ranked = counts.select("_day").distinct().withColumn("_r", F.dense_rank().over(Window.orderBy("_day")))  # one row a day
-    later = ranked.select(F.col("_day").alias("for_day"), F.col("_r").alias("_rank_of_day"))
-    ahead = F.broadcast(ranked.select("_day", F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + window)).alias("_rank_of_day")).join(later, "_rank_of_day").select("_day", "for_day"))
-    enough = counts.select("_day", "_g").distinct().join(ahead, "_day").groupBy("for_day", "_g").agg(F.count("*").alias("days")).where(F.col("days") >= least)
+    later = ranked.where(F.col("_r") > least).select(F.col("_day").alias("for_day"), F.col("_r").alias("_of"), F.least(F.col("_r") - 1, F.lit(window)).alias("days"))
+    ahead = F.broadcast(ranked.select("_day", F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + window)).alias("_of")).join(later, "_of").select("_day", "for_day"))
     cut = _pieces(counts.where("_x is not null"), pieces)
     sums = cut.groupBy("_day", "_g", "_piece").agg(F.sum("_n").alias("_n")).join(ahead, "_day").groupBy("for_day", "_g", "_piece").agg(F.sum("_n").alias("_n"))
     ranks = F.lit(None).cast("long")
@@ -106,4 +106,4 @@ def trailing_order_statistics(
     asked = chosen.join(ahead, "for_day")
     near = cut.join(asked, ["_g", "_piece", "_day"]).groupBy(*own, "_total", "_left", "_x").agg(F.sum("_n").alias("_n"))
     found = near.withColumn("_before", _running(own, "_x")).where("_before < _left and _left <= _before + _n")
-    return found.join(enough, own).select("for_day", *[F.col("_g")[c].alias(c) for c in by], "days", F.col("_g.stat").alias("stat"), F.col("_total").alias("n"), F.col("_x").alias("value"))
+    return found.join(F.broadcast(later), "for_day").select("for_day", *[F.col("_g")[c].alias(c) for c in by], "days", F.col("_g.stat").alias("stat"), F.col("_total").alias("n"), F.col("_x").alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.config import EVENTS as C
@@ -13,13 +15,24 @@ from stopwise.sources.fixture import stops
 from stopwise.sources.shared import present, shared_folder, stored
 
 
-#: Tables that queries of one session share, written once: by application, folder and name.
-_tables: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+#: Tables that queries of one session share, written once: by application, folder, state of the input and name.
+_tables: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def source_state(spark: SparkSession, d: str) -> tuple[str, str]:
+    """The folder and a digest of its input's file names, lengths and times: another one when the data has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [files.getFileStatus(at)]
+    if found[0].isDirectory():
+        found = list(files.listStatus(at))
+    said = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    return d, hashlib.sha256("\n".join(said).encode()).hexdigest()
 
 
 def shared(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """The table ``make()``, written to the shared folder the first time, or if it has been cleared, and read from there."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """The table ``make()``, written to the shared folder the first time, or if it has been cleared or the input has changed, and read from there."""
+    key = (spark.sparkContext.applicationId, *source_state(spark, d), name)
     if key not in _tables or not present(spark, f"{_tables[key][0]}/_SUCCESS"):
         path = shared_folder(spark, name)
         _tables[key] = path, stored(make(), path=path)

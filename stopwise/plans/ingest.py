@@ -10,6 +10,7 @@ from stopwise.plans.oracles import oracle
 from stopwise.plans.registry import query
 from stopwise.sources import ingest as ig
 from stopwise.sources.shared import shared_folder
+from stopwise.sources.snapshots import snapshot
 
 #: The same rows as the files hold, typed: a trip numbered 7 stands in the next day's file.
 FILES = {"files": "select *, operating_day + (train_number = '7')::int as file_date, if(category = 'signup', 'Bus', 'Zug') as mode from trains"}
@@ -46,26 +47,42 @@ def daily(df: DataFrame) -> DataFrame:
 
 
 def replaced(s: SparkSession, d: str) -> DataFrame:
-    """A month published twice, the second time with the clicks alone; a third time that fails its check changes nothing."""
-    path, rows = published(s, d), ig.typed(raw(s, d))
+    """All months published twice, the second time with the clicks alone; a third time that fails its check changes nothing."""
+    path, rows = shared_folder(s, "months"), ig.typed(raw(s, d))
+    ig.publish(rows, path)
     ig.publish(rows.where("category = 'click'"), path)
     try:
-        ig.publish(rows, path, {"1900-01": 1})
+        ig.publish(rows, path, expected={"1900-01": 1})
     except ValueError:
-        return daily(s.read.parquet(path))
+        return daily(ig.read_months(s, path, rows.schema))
     raise AssertionError("rows that differ were published")
 
 
 def reconciled(s: SparkSession, d: str) -> DataFrame:
     rows = ig.typed(raw(s, d))
     given = rows.groupBy(F.date_format("operating_day", "yyyy-MM").alias("month")).agg(F.count("*").alias("given"))
-    written = s.read.parquet(published(s, d)).groupBy("month").agg(F.count("*").alias("written"))
+    written = ig.read_months(s, published(s, d), rows.schema).groupBy("month").agg(F.count("*").alias("written"))
     return given.join(written, "month", "full").withColumn("equal", F.col("given").eqNullSafe(F.col("written")))
 
 
-def to_build(s: SparkSession, d: str) -> DataFrame:
-    asked = ["2023-11", "2023-12", "2024-01", "2024-02", "2024-03"]
-    return s.createDataFrame([(m,) for m in ig.months_to_build(asked, ig.audit(raw(s, d), "ZUG"))], "month string")
+def clean(s: SparkSession, d: str) -> DataFrame:
+    """Day files that pass validation: every row in its own day's file, all values readable."""
+    path = shared_folder(s, "clean-files")
+    ig.day_files(trains(s, d).withColumn("file_date", F.col("operating_day")).withColumn("transport_mode", F.lit("Zug")), path)
+    return ig.scan(s, path)
+
+
+def built(s: SparkSession, d: str) -> DataFrame:
+    """What two builds and a forced one did with each month, and the days and rows that the last snapshot holds and records."""
+    files, path = clean(s, d), shared_folder(s, "build")
+    asked = ["2023-12", "2024-01", "2024-02"]
+    runs = [ig.build(files, path, asked[:2], require_full_month=False), ig.build(files, path, asked, require_full_month=False), ig.build(files, path, asked[1:2], force=True, require_full_month=False)]
+    rows = [(m, *(run.get(m) for run in runs)) for m in asked]
+    said = s.createDataFrame(rows, "month string, first string, second string, forced string")
+    records = snapshot(s, path).records
+    kept = s.createDataFrame([(m, r["days"], r["train_rows"]) for m, r in records.items()], "month string, recorded_days long, recorded long")
+    held = ig.read_months(s, path, ig.typed(files).schema).groupBy("month").agg(F.count_distinct("operating_day").alias("days"), F.count("*").alias("n"))
+    return said.join(held, "month", "left").join(kept, "month", "left")
 
 
 def report(s: SparkSession, d: str) -> DataFrame:
@@ -93,9 +110,18 @@ query("A03_file_date", oracle(f"select file_date, {_day} as day, count(*) as n f
     lambda s, d: raw(s, d).groupBy("file_date", F.col("BETRIEBSTAG").alias("day")).agg(F.count("*").alias("n"))
 )
 _months = "select strftime(operating_day, '%Y-%m') as month, operating_day, count(*) as n, count(distinct trip_id) as trips from rail"
-query("A05_parquet_sink", oracle(f"{_months} group by all", "trains", RAIL))(lambda s, d: daily(s.read.parquet(published(s, d))))
+query("A05_parquet_sink", oracle(f"{_months} group by all", "trains", RAIL))(lambda s, d: daily(ig.read_months(s, published(s, d), ig.typed(raw(s, d)).schema)))
 query("A06_atomic_publish", oracle(f"{_months} where category = 'click' group by all", "trains", RAIL))(replaced)
-query("A07_incremental_build", oracle("select strftime(m, '%Y-%m') as month from unnest(range(timestamp '2023-11-01', timestamp '2024-03-02', interval 1 month)) t(m) where strftime(m, '%Y-%m') not in (select strftime(operating_day, '%Y-%m') from files)", "trains", FILES))(to_build)
+query(
+    "A07_incremental_build",
+    oracle(
+        "with held as (select strftime(operating_day, '%Y-%m') as month, count(distinct operating_day) as days, count(*) as n from trains group by all), "
+        "asked as (select * from (values ('2023-12', 1), ('2024-01', 2), ('2024-02', 3)) v(month, i)) "
+        "select month, if(i = 3, null, if(days is null, 'absent', 'built')) as first, if(i < 3 and days is not null, 'skipped', if(days is null, 'absent', 'built')) as second, "
+        "if(i = 2, if(days is null, 'absent', 'built'), null) as forced, days, n, days as recorded_days, n as recorded from asked left join held using (month)",
+        "trains",
+    ),
+)(built)
 query("A08_csv_report", oracle("select category, count(*) as n, count(distinct trip_id) as trips from rail group by all", "trains", RAIL))(report)
 query("A09_manifest", oracle("with days as (select operating_day as day, count(*) as raw_rows, count_if(mode = 'Zug')::bigint as n from files group by all) select strftime(day, '%Y-%m') as month, count(*) over w as days, sum(raw_rows) over w::bigint as raw_rows, "
   "sum(n) over w::bigint as train_rows, day::varchar as day, n from days window w as (partition by strftime(day, '%Y-%m'))", "trains", FILES))(manifest)

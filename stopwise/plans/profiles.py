@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stopwise.functions.columns import in_country
+from stopwise.operators import calibrate as cb
 from stopwise.operators import journeys as jn
+from stopwise.operators import monitor as mo
 from stopwise.operators import relational as rel
 from stopwise.plans import quality as ql
 from stopwise.plans.core import journeys, labels, ordered, trains
@@ -55,8 +57,54 @@ q("N18_feature_profile", " union all ".join(f"select '{f}' as feature, round(avg
   lambda s, d: features(s, d).select(*_feats).unpivot([], _feats, "feature", "v").groupBy("feature").agg(share(F.col("v").isNotNull()).alias("known"), F.round(F.percentile("v", 0.1), 6).alias("p10"), F.round(F.median("v"), 6).alias("p50"), F.round(F.percentile("v", 0.9), 6).alias("p90")))
 q("N19_decile_profile", "with e as (select quantile_cont(d0_min, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from labels_) select len(list_filter(edges, lambda x: x <= d0_min))::int as decile, count(*) as n, round(median(delta_min), 6) as p50 from labels_, e group by all", E,
   lambda s, d: rel.quantile_buckets(labels(s, d), "d0_min", [i / 10 for i in range(1, 10)], "decile").groupBy("decile").agg(F.count("*").alias("n"), F.round(F.median("delta_min"), 6).alias("p50")))
-q("N20_daily_with_flag", "select operating_day, is_disruption_day, round(sum(n * mae) / sum(n), 6) as mae, round(sum(n * coverage) / sum(n), 6) as coverage from score join flags using (operating_day) group by all", ql.SCORE,
-  lambda s, d: rounded(ql.scores(s, d).join(F.broadcast(flags(s, d).select("operating_day", "is_disruption_day")), "operating_day").groupBy("operating_day", "is_disruption_day").agg((F.sum(F.col("n") * F.col("mae")) / F.sum("n")).alias("mae"), (F.sum(F.col("n") * F.col("coverage")) / F.sum("n")).alias("coverage"))))
+q(
+    "N20_daily_with_flag",
+    "select operating_day, is_disruption_day, round(sum(n * mae) / sum(n), 6) as mae, round(sum(n * mae_historical) / sum(n), 6) as mae_historical, "
+    "round(sum(n * coverage_rolling_tails) / sum(n), 6) as coverage from score group by all",
+    ql.SCORE,
+    lambda s, d: rounded(ql.scores(s, d).groupBy("operating_day", "is_disruption_day").agg(*[
+        (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(name) for c, name in (("mae", "mae"), ("mae_historical", "mae_historical"), ("coverage_rolling_tails", "coverage"))
+    ])),
+)
+LONG = " union all ".join(f"select operating_day, horizon_min, d0_bucket, y, '{n}' as strategy, lo_{n} as lo, hi_{n} as hi from iv" for n in cb.STRATEGIES)
+TAILS = "count(*) as n, round(avg((y between lo and hi)::int), 6) as coverage, round(avg((y < lo)::int), 6) as below_p10, round(avg((y > hi)::int), 6) as above_p90"
+
+
+def tails(s, d, by, width=False):
+    """Coverage of the long form of the replay's intervals in groups."""
+    rows = ql.shared(s, d, "replay_rows", lambda: ql.replay_rows(s, d))
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    y, lo, hi = F.col("y"), F.col("lo"), F.col("hi")
+    long = cb.by_strategy(rows)
+    if "is_disruption_day" in by:
+        days = F.broadcast(flags(s, d).select("operating_day", "is_disruption_day"))
+        long = long.join(days, "operating_day", "left").withColumn("is_disruption_day", F.coalesce("is_disruption_day", F.lit(False)))
+    return long.groupBy(*by, "strategy").agg(
+        F.count("*").alias("n"), share(y.between(lo, hi)).alias("coverage"), share(y < lo).alias("below_p10"), share(y > hi).alias("above_p90"),
+        *([F.round(F.median(hi - lo), 6).alias("median_width")] if width else []),
+    )
+
+
+q(
+    "N20_coverage_by_bucket", f"select horizon_min, d0_bucket, strategy, {TAILS} from ({LONG}) group by all", ql.REPLAY,
+    lambda s, d: tails(s, d, ["horizon_min", "d0_bucket"]),
+)
+q(
+    "N20_coverage_by_disruption",
+    f"select horizon_min, coalesce(is_disruption_day, false) as is_disruption_day, strategy, {TAILS}, round(median(hi - lo), 6) as median_width from ({LONG}) left join flags using (operating_day) group by all",
+    ql.REPLAY, lambda s, d: tails(s, d, ["horizon_min", "is_disruption_day"], width=True),
+)
+q(
+    "N20_psi", "select horizon_min, feature, round(avg(psi), 6) as psi_mean, round(max(psi), 6) as psi_max from fp group by all", ql.SCORE,
+    lambda s, d: ql.scores(s, d).select("horizon_min", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"psi_{f}").alias("psi")) for f in ql.FEATURES])).alias("f"))
+    .groupBy("horizon_min", "f.feature").agg(F.round(F.avg("f.psi"), 6).alias("psi_mean"), F.round(F.max("f.psi"), 6).alias("psi_max")),
+)
+q(
+    "N20_alert_list",
+    "select operating_day, horizon_min, alerts, round(mae, 6) as mae, round(mae_historical, 6) as mae_historical, is_disruption_day, round(coverage_rolling_tails, 6) as coverage_rolling_tails from alerted where alerts <> ''",
+    ql.SCORE,
+    lambda s, d: rounded(mo.alerts(ql.scores(s, d)).where("alerts <> ''").select("operating_day", "horizon_min", "alerts", "mae", "mae_historical", "is_disruption_day", "coverage_rolling_tails")),
+)
 # sources: what an ingest audits
 q("A04_parquet_scan", "select event_type, count(*) as n from events group by all", E, lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n")))
 q("A11_audit", "select strftime(operating_day, '%Y-%m') as month, count(distinct operating_day) as days, count(*) as raw_rows, count(*) filter (where upper(transport_mode) = 'ZUG') as train_rows from trains group by all", E,

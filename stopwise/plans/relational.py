@@ -41,7 +41,7 @@ q("B10_eligibility", "select is_eligible_stop, is_prediction_point, is_valid_jou
 q("B11_candidate_targets", "select trip_key, stop_seq as target_seq, station_id as target_station_id, arr_planned as target_arr_planned, arr_delay_min as target_delay_min, is_cancelled as target_cancelled "
   "from journeys where arr_planned is not null and not is_pass_through and is_valid_station and not is_plan_inconsistent", J, lambda s, d: lb.candidates(journeys(s, d)))
 q("B12_date_split", f"select {SPLIT.format('operating_day')} as split, count(*) as n, min(operating_day) as first_day from trains group by 1", T,
-  lambda s, d: trains(s, d).groupBy(fc.date_split("operating_day", C).alias("split")).agg(F.count("*").alias("n"), F.min("operating_day").alias("first_day")))
+  lambda s, d: trains(s, d).groupBy(fc.date_split("operating_day", C, strict=True).alias("split")).agg(F.count("*").alias("n"), F.min("operating_day").alias("first_day")))
 q("B13_feature_sets", "select trip_key, stop_seq, horizon_min, d0_min, sched_gap_min, category, operator_abbr from labels_", L,
   lambda s, d: rel.project_sets(labels(s, d), ["current", "timetable", "context"], {"current": ["d0_min"], "timetable": ["sched_gap_min", "d0_min"], "context": ["category", "operator_abbr"]}, ["trip_key", "stop_seq", "horizon_min"]))
 q("B14_where_load", "select trip_key, stop_seq, horizon_min, d0_min, delta_min from labels_ where horizon_min = 30 and label_status = 'ok' and operating_day <= date '2024-01-18'", L,

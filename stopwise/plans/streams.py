@@ -7,8 +7,11 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.config import EVENTS as C
+from stopwise.functions.columns import d0_bucket
 from stopwise.operators import network as nw
-from stopwise.plans.domain import NET, events, points, q, rounded
+from stopwise.plans.core import source_state
+from stopwise.plans.domain import NET, WIN, events, points, q, rounded, unsigned
 from stopwise.plans.quality import PRED, ROLL, pred
 from stopwise.sources.shared import shared_folder
 from stopwise.streaming import replay as rp
@@ -20,7 +23,8 @@ FILES = 3
 def stream(df: DataFrame, time: str, files: int = FILES, late: DataFrame | None = None) -> DataFrame:
     """``df`` as a stream, in order of ``time``, a part of its days a trigger, and at last the rows ``late``.
 
-    A last file holds one row a day later with nulls elsewhere, so that all windows before it close.
+    A last file holds one row a day later, so that all windows before it close. Its text columns are
+    empty, as a join would not let a null pass to where the watermark is taken; the others are null.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "stream")
     low, high = df.agg(F.min(time), F.max(time)).first()
@@ -28,7 +32,9 @@ def stream(df: DataFrame, time: str, files: int = FILES, late: DataFrame | None
     for i in range(files):
         part = df.where((F.col(time) >= F.lit(low + i * step)) & (F.col(time) < F.lit(low + (i + 1) * step)))
         part.coalesce(1).write.mode("append").parquet(path)
-    last = spark.createDataFrame([(high + datetime.timedelta(days=1),)], "t timestamp").select(*[(F.col("t") if c == time else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    last = spark.createDataFrame([(high + datetime.timedelta(days=1),)], "t timestamp").select(
+        *[(F.col("t") if c == time else F.lit("" if kind == "string" else None)).cast(df.schema[c].dataType).alias(c) for c, kind in df.dtypes]
+    )
     last.coalesce(1).write.mode("append").parquet(path)
     if late is not None:
         late.coalesce(1).write.mode("append").parquet(path)
@@ -66,17 +72,29 @@ def late(s, d):
     return minutes(drained(rp.minute_counts(stream(e, "event_time", late=again), "station_id", 3.0)))
 
 
+WIDTHS = (10, 30, 60)
+
+
 def sliding(s, d):
-    out = drained(rp.sliding_state(stream(station_events(s, d), "event_time"), "station_id"))
-    return out.where("station_id is not null").select("station_id", F.floor(F.unix_timestamp("at") / 60).alias("minute"), "n", F.round("s", 6).alias("s"))
+    """The state over three widths, each a stream of its own over the same events."""
+    parts = []
+    for w in WIDTHS:
+        out = drained(rp.sliding_state(stream(station_events(s, d), "event_time"), "station_id", f"{w} minutes"))
+        parts.append(out.where("station_id is not null").select(F.lit(w).alias("width"), "station_id", F.floor(F.unix_timestamp("at") / 60).alias("minute"), "n", F.round("s", 6).alias("s")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def ahead(s, d):
-    dep = nw.segment_departures(events(s, d)).select(F.concat_ws("-", "from_station_id", "to_station_id").alias("segment"), F.timestamp_seconds("dep_s").alias("dep_time"), F.col("dep_d").alias("d"))
-    p = points(s, d).where("horizon_min = 15 and next_station_id is not null")
-    p = p.select(F.concat_ws("/", "trip_key", "stop_seq").alias("point_id"), F.concat_ws("-", "cur_station_id", "next_station_id").alias("segment"), F.col("t_pred").cast("timestamp").alias("point_time"))
-    met = drained(rp.trains_ahead(stream(dep, "dep_time"), stream(p, "point_time")))
-    return met.groupBy("point_id").agg(F.count("*").alias("n"), F.max(F.unix_timestamp("dep_time")).alias("last_dep"))
+    """The departure ahead of each point, found by streams; null where there is none."""
+    segment = lambda a, b: F.concat_ws("-", a, b).alias("segment")
+    dep = nw.segment_departures(events(s, d)).select(
+        segment("from_station_id", "to_station_id"), F.timestamp_seconds("dep_s").alias("dep_time"), "dep_d", F.timestamp_seconds("arr_s").alias("arr_time"), "arr_d"
+    )
+    p = points(s, d).where("next_station_id is not null").select("trip_key", "stop_seq", "t_pred", "cut_s", segment("cur_station_id", "next_station_id")).distinct()
+    p = p.select(F.struct("trip_key", "stop_seq", "t_pred").alias("point_id"), "segment", F.timestamp_seconds("cut_s").alias("cut_time"))
+    met = drained(rp.train_ahead(stream(dep, "dep_time"), stream(p, "cut_time"), f"{C.ahead_max_min} minutes")).where("point_id is not null")
+    minutes_ = (F.unix_timestamp(F.col("point_id.t_pred").cast("timestamp")) - F.unix_timestamp("dep_time")) / 60
+    return unsigned(met.select("point_id.trip_key", "point_id.stop_seq", minutes_.alias("net_ahead_headway_min"), F.col("dep_d").alias("net_ahead_dep_delay"), F.col("gain").alias("net_ahead_seg_gain")))
 
 
 def replayed(s, d) -> str:
@@ -88,38 +106,66 @@ def replayed(s, d) -> str:
         s.read.parquet(f"{path}/all").where(F.col("operating_day") == F.lit(r[0])).coalesce(1).write.mode("append").parquet(f"{path}/days")
     days = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/days")
 
-    def score(x: DataFrame) -> DataFrame:
+    def score(x: DataFrame, offsets: DataFrame) -> DataFrame:
+        known = x.withColumn("d0_bucket", d0_bucket("d0_min", C)).join(F.broadcast(offsets.drop("operating_day")), ["horizon_min", "d0_bucket"], "left")
         off = F.coalesce("offset", F.lit(0.0))
-        return x.withColumn("covered", F.col("y").between(F.col("q10") - off, F.col("q90") + off))
+        return known.select(*SCORED.split(", "), F.col("y").between(F.col("q10") - off, F.col("q90") + off).alias("covered"))
 
-    rp.daily_replay(days, f"{out}/state", f"{out}/scores", f"{out}/checkpoint", score).awaitTermination()
+    rp.daily_replay(days, out, f"{out}-checkpoint", score, C).awaitTermination()
     return out
 
 
+SCORED = "operating_day, horizon_min, d0_bucket, offset"
+_types = "operating_day date, horizon_min int"
+
+
+def replay_root(s, d) -> str:
+    """One replay a session, for the queries of its scores, state and offsets."""
+    key = (s.sparkContext.applicationId, *source_state(s, d))
+    if key not in _replays or not rp.snapshots.versions(s, _replays[key]):
+        _replays[key] = replayed(s, d)
+    return _replays[key]
+
+
+_replays: dict = {}
+
+
 def scored_days(s, d):
-    x = s.read.parquet(f"{replayed(s, d)}/scores")
+    x = rp.replay_table(s, replay_root(s, d), rp.SCORES, f"{_types}, d0_bucket string, offset double, covered boolean")
     return x.groupBy("operating_day", "horizon_min").agg(F.count("*").alias("n"), F.count("offset").alias("with_offset"), F.count_if("covered").alias("covered"))
 
 
 def state_days(s, d):
-    return s.read.parquet(f"{replayed(s, d)}/state").groupBy("operating_day").agg(F.count("*").alias("n"))
+    return rp.replay_table(s, replay_root(s, d), rp.STATE, "operating_day date").groupBy("operating_day").agg(F.count("*").alias("n"))
 
 
 def published(s, d):
-    x = s.read.parquet(f"{replayed(s, d)}/scores-offsets")
-    return rounded(x.select(F.col("operating_day").alias("after_day"), "horizon_min", "days", "offset", "lo_offset", "hi_offset"))
+    x = rp.replay_table(s, replay_root(s, d), rp.OFFSETS, f"{_types}, d0_bucket string, n long, offset double, lo_offset double, hi_offset double")
+    return rounded(x.select(F.col("operating_day").alias("after_day"), "horizon_min", "d0_bucket", "n", "offset", "lo_offset", "hi_offset"))
 
 
 _ms = "select station_id, minute, n, round(s, 6) as s, l from ms"
 q("I01_tumbling_minutes", _ms, NET, tumbling)
-q("I02_sliding_state", "select station_id, minute + k as minute, sum(n)::bigint as n, round(sum(s), 6) as s from ms, unnest(range(1, 31)) t(k) group by all", NET, sliding)
+q(
+    "I02_sliding_state",
+    "select width, station_id, minute + k as minute, sum(n)::bigint as n, round(sum(s), 6) as s from ms, (values (10), (30), (60)) v(width), unnest(range(1, width + 1)) t(k) group by all",
+    NET, sliding,
+)
 q("I03_late_rows", _ms, NET, late)
-q("I04_stream_join", "select p.trip_key || '/' || p.stop_seq as point_id, count(*) as n, max(dep_s)::bigint as last_dep from pts p join dp on from_station_id = cur_station_id and to_station_id = next_station_id and dep_s < epoch(t_pred) - 120 and dep_s > epoch(t_pred) - 3600 where horizon_min = 15 group by all", NET, ahead)
+AHEAD = ["net_ahead_headway_min", "net_ahead_dep_delay", "net_ahead_seg_gain"]
+q("I04_stream_join", f"select distinct trip_key, stop_seq, {', '.join(f'round({c}, 6) + 0 as {c}' for c in AHEAD)} from ahead", WIN, ahead)
 _REPLAY = PRED | {"pred1": "select * from pred where y is not null and p50 is not null"} | {k: v.replace("from pred", "from pred1") for k, v in ROLL.items()}
-q("I05_daily_replay", "select p.operating_day, p.horizon_min, count(*) as n, count(off) as with_offset, count_if(y between q10 - coalesce(off, 0) and q90 + coalesce(off, 0))::bigint as covered from pred1 p left join roll r on r.for_day = p.operating_day and r.horizon_min = p.horizon_min group by all", _REPLAY, scored_days)
+q(
+    "I05_daily_replay",
+    "select p.operating_day, p.horizon_min, count(*) as n, count(off) as with_offset, count_if(y between q10 - coalesce(off, 0) and q90 + coalesce(off, 0))::bigint as covered "
+    "from pred1 p left join roll r on r.for_day = p.operating_day and r.horizon_min = p.horizon_min and r.d0_bucket = p.d0_bucket group by all",
+    _REPLAY, scored_days,
+)
 q("I06_bounded_state", "select operating_day, count(*) as n from pred1 group by all order by operating_day desc limit 14", _REPLAY, state_days)
-_after = {k: v for k, v in _REPLAY.items() if k in PRED or k == "pred1"} | {
-    "dd": "select operating_day, dense_rank() over (order by operating_day) as r from (select distinct operating_day from pred1)",
-    "tr": "select f.operating_day as for_day, p.* from pred1 p join dd e on e.operating_day = p.operating_day join dd f on f.r >= e.r and f.r < e.r + 14",
-} | {k: v for k, v in _REPLAY.items() if k in ("ro", "rl", "rh", "roll")}
-q("I07_published_offsets", 'select for_day as after_day, horizon_min, days, round(off, 6) as "offset", round(lo_offset, 6) as lo_offset, round(hi_offset, 6) as hi_offset from roll', _after, published)
+# what is published after a day learns from that day too, so it is looked up from the day after
+_after = _REPLAY | {"tr": "select f.operating_day as for_day, f.r + 1 as r, p.* from pred1 p join dd e on e.operating_day = p.operating_day join dd f on f.r >= e.r and f.r < e.r + 14"}
+q(
+    "I07_published_offsets",
+    'select for_day as after_day, horizon_min, d0_bucket, n, round(off, 6) as "offset", round(lo_offset, 6) as lo_offset, round(hi_offset, 6) as hi_offset from roll',
+    _after, published,
+)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from stopwise.sources import snapshots
+
 #: Columns of the files, their names here, and how each is typed.
 COLUMNS = {
     "BETRIEBSTAG": ("operating_day", "day"), "FAHRT_BEZEICHNER": ("trip_id", "text"), "BETREIBER_ID": ("operator_id", "text"), "BETREIBER_ABK": ("operator_abbr", "text"),
@@ -28,19 +30,33 @@ def check_columns(found: list[str]) -> list[str]:
     return sorted(set(found) - set(COLUMNS) - KNOWN_EXTRA)
 
 
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by the columns that their first line names, in a fixed number of jobs.
+
+    The first line of a file is the one that the split at its start reads first. Lines are read
+    without a reader's own header handling, so that all files are inspected by one distributed scan; a
+    partition keeps one line of each file, and the driver receives one row a file, of which it lists the names anyway.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    firsts = placed.where("at = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "_n").alias("line"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(firsts.collect(), key=lambda r: r["file"]):
+        names = next(csv.reader([r["line"].lstrip("\ufeff")], delimiter=";"))
+        out.setdefault(tuple(names), []).append(r["file"])
+    for names in out:
+        check_columns(list(names))
+    return out
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All files under a path as text, by column name, with the date in each file's path as ``file_date``.
 
     The header of every file is read and checked. Files of one header are scanned together, and
     what a file does not have is null, so that order and additional columns may change from day to day.
     """
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles()):
-        found = spark.read.option("sep", ";").option("header", True).csv(file).columns
-        check_columns(found)
-        headers.setdefault(tuple(found), []).append(file)
     out = None
-    for names, files in headers.items():
+    for names, files in headers(spark, path).items():
         schema = StructType([StructField(n, StringType()) for n in names])
         raw = spark.read.schema(schema).option("sep", ";").option("header", True).csv(files)
         date = F.regexp_extract(F.col("_metadata.file_path"), r".*(\d{4}-\d{2}-\d{2})", 1)
@@ -99,41 +115,65 @@ def audit(raw: DataFrame, mode: str = "ZUG") -> DataFrame:
     )
 
 
-def months_to_build(requested: list[str], done: DataFrame, force: bool = False) -> list[str]:
-    """Requested months that the audit does not hold yet."""
-    if force:
-        return requested
-    there = {r["month"] for r in done.where(F.col("month").isin(requested)).select("month").distinct().collect()}
-    return [m for m in requested if m not in there]
+def months_to_build(requested: list[str], done: dict[str, dict], force: bool = False) -> list[str]:
+    """Requested months, each once, that ``done`` does not record yet, or all of them."""
+    return [m for m in dict.fromkeys(requested) if force or m not in done]
+
+
+def publish(trains: DataFrame, root: str, months: list[str] | None = None, expected: dict[str, int] | None = None, records: dict[str, dict] | None = None) -> int:
+    """Publish the given months of ``trains`` (by default all that it has) as one new snapshot, each in place of the one there, sorted within files of whole days; the number of rows.
+
+    What has been written is counted by month, against ``expected``, or else against the rows that
+    were observed on their way into the files, so ``trains`` is read once. If a month differs, or
+    anything fails, the last snapshot stays what it was.
+    """
+    month = F.date_format("operating_day", "yyyy-MM")
+    if months is None:
+        months = sorted(r[0] for r in trains.select(month).distinct().collect() if r[0])
+    seen, total = Observation(), []
+    rows = trains.withColumn("_month", month).observe(seen, *[F.count_if(F.col("_month") == m).alias(m) for m in months])
+    rows = rows.repartition("_month", "operating_day").sortWithinPartitions("operating_day", "trip_id", "arr_planned", "dep_planned")
+
+    def check(written: dict[str, int]) -> None:
+        given = {m: n for m, n in (seen.get if expected is None else expected).items() if n}
+        if written != given:
+            raise ValueError(f"rows differ: given {given}, written {written}")
+        total.append(sum(written.values()))
+
+    snapshots.publish_by(rows, root, "_month", months, check, records)
+    return total[0]
 
 
-def publish(trains: DataFrame, path: str, expected: dict[str, int] | None = None) -> int:
-    """Write by month and put each month in the place of the one there; the number of rows.
+def build(raw: DataFrame, root: str, requested: list[str], force: bool = False, require_full_month: bool = True, mode: str = "ZUG") -> dict[str, str]:
+    """Build the requested months that the last snapshot lacks, in one commit; what became of each: built, skipped or absent.
 
-    All is written aside and counted first. If a month's rows are not those given (or ``expected``,
-    as counted at the source), nothing that was there has changed.
+    A month is validated first: with unreadable values, wrong, foreign or double days, or (if
+    ``require_full_month``) missing ones, nothing is published and the error names all problems. Its
+    audit (days, rows, rows of the mode, rows by day) is recorded with it, and its rows are counted against it.
     """
-    spark = trains.sparkSession
-    month = trains.withColumn("month", F.date_format("operating_day", "yyyy-MM"))
-    given = expected or {r["month"]: r["count"] for r in month.groupBy("month").count().collect()}
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    month.repartition("month", "operating_day").sortWithinPartitions("operating_day", "trip_id").write.option("compression", "zstd").partitionBy("month").parquet(f"{aside}/new")
-    written = {r["month"]: r["count"] for r in spark.read.parquet(f"{aside}/new").groupBy("month").count().collect()}
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if written != given:
-        files.delete(at(aside), True)
-        raise ValueError(f"rows differ: given {given}, written {written}")
-    files.mkdirs(at(path))
-    files.mkdirs(at(f"{aside}/old"))
-    for name in sorted(given):
-        place = at(f"{path}/month={name}")
-        if files.exists(place):
-            files.rename(place, at(f"{aside}/old/month={name}"))
-        if not files.rename(at(f"{aside}/new/month={name}"), place):
-            raise OSError(f"could not publish {place}")
-    files.delete(at(aside), True)
-    return sum(given.values())
+    spark = raw.sparkSession
+    todo = months_to_build(requested, snapshots.snapshot(spark, root).records, force)
+    out = {m: "skipped" for m in requested if m not in todo}
+    if not todo:
+        return out
+    # by the file's date, so that a row of another day is found and not filtered out
+    own = raw.where(F.date_format("file_date", "yyyy-MM").isin(todo))
+    audits = {r["month"]: r.asDict() for r in audit(own, mode).where(F.col("month").isin(todo)).collect()}
+    there = [m for m in todo if m in audits]
+    errors = []
+    for m in there:
+        found = validation_report(own.where(F.date_format("file_date", "yyyy-MM") == m), m, mode).collect()
+        errors += [f"{m}: {r['problem']} {r['what']} ({r['n']})" for r in found if require_full_month or r["problem"] != "missing day"]
+    if errors:
+        raise ValueError("failed validation: " + "; ".join(sorted(errors)))
+    if there:
+        publish(typed(own, mode), root, there, {m: audits[m]["train_rows"] for m in there}, {m: audits[m] for m in there})
+    return out | {m: "built" if m in audits else "absent" for m in todo}
+
+
+def read_months(spark: SparkSession, root: str, schema, months: list[str] | None = None) -> DataFrame:
+    """Rows of the last snapshot with their ``month``."""
+    return snapshots.read(spark, root, schema, months).withColumn("month", F.date_format("operating_day", "yyyy-MM"))
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stopwise.config import Config
 from stopwise.operators.calibrate import offsets_of
-from stopwise.sources.shared import present
+from stopwise.sources import snapshots
 
 
 def minute_counts(events: DataFrame, key: str, late_min: float, delay: str = "2 minutes") -> DataFrame:
@@ -19,57 +20,86 @@ def minute_counts(events: DataFrame, key: str, late_min: float, delay: str = "2
 
 
 def sliding_state(events: DataFrame, key: str, width: str = "30 minutes", slide: str = "1 minute", delay: str = "2 minutes") -> DataFrame:
-    """Trailing count and delay sum by key at each slide."""
-    w = events.withWatermark("event_time", delay).groupBy(F.window("event_time", width, slide), key)
-    return w.agg(F.count("*").alias("n"), F.sum("d").alias("s")).select(F.col("window.end").alias("at"), key, "n", "s")
+    """Trailing count and delay sum by key at each slide, from panes of one slide.
+
+    Two aggregations in a row: events become one row a key and pane, and only closed panes are
+    dealt to the windows over them, by the time that ``window_time`` gives them. State holds the
+    open panes, and the windows of panes, however many events these have.
+    """
+    panes = events.withWatermark("event_time", delay).groupBy(F.window("event_time", slide), key).agg(F.count("*").alias("n"), F.sum("d").alias("s"))
+    w = panes.select(F.window_time("window").alias("pane"), key, "n", "s").groupBy(F.window("pane", width, slide), key)
+    return w.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(F.col("window.end").alias("at"), key, "n", "s")
+
+
+def train_ahead(departures: DataFrame, points: DataFrame, most: str = "60 minutes", delay: str = "2 minutes") -> DataFrame:
+    """``(point_id, cut_time, dep_time, dep_d, gain)``: the latest departure on a point's segment before its cutoff, up to ``most`` old; nulls where there is none.
+
+    A left outer join of two streams, whose points without a match come out once the watermark has
+    passed their cutoff, and behind it the latest departure of each point. Both states are bounded by
+    the watermarks. ``gain`` is null unless the arrival was known before the cutoff. Departures of
+    one second go by delay, then arrival. Late rows on either side are dropped.
+    """
+    d = departures.withWatermark("dep_time", delay).select(F.col("segment").alias("d_segment"), "dep_time", "dep_d", "arr_time", "arr_d")
+    p = points.withWatermark("cut_time", delay)
+    near = F.expr(f"segment = d_segment and dep_time < cut_time and dep_time > cut_time - interval {most}")
+    met = p.join(d, near, "left_outer")
+    one = F.when(F.col("dep_time").isNotNull(), F.struct("dep_time", "dep_d", F.coalesce("arr_time", F.timestamp_seconds(F.lit(0))).alias("arr_time"), "arr_d"))
+    last = met.groupBy("point_id", "cut_time").agg(F.max(one).alias("last"))
+    known = (F.col("last.arr_d").isNotNull()) & (F.col("last.arr_time") < F.col("cut_time"))
+    return last.select("point_id", "cut_time", F.col("last.dep_time").alias("dep_time"), F.col("last.dep_d").alias("dep_d"), F.when(known, F.col("last.arr_d") - F.col("last.dep_d")).alias("gain"))
+
+
+PUBLISHED = "horizon_min int, d0_bucket string, n long, offset double, lo_offset double, hi_offset double, operating_day date"
+#: What a replay keeps of each day, as parts of one snapshot table.
+STATE, SCORES, OFFSETS = "state", "scores", "offsets"
 
 
-def trains_ahead(departures: DataFrame, points: DataFrame, lag: str = "2 minutes", most: str = "60 minutes") -> DataFrame:
-    """Stream-stream join: a point with the departures on its segment before it, up to ``most`` old. State is bounded by the watermarks."""
-    d = departures.withWatermark("dep_time", lag).alias("d")
-    p = points.withWatermark("point_time", lag).alias("p")
-    near = F.expr(f"d.segment = p.segment and d.dep_time < p.point_time - interval {lag} and d.dep_time > p.point_time - interval {most}")
-    return p.join(d, near).select("p.point_id", "p.point_time", "d.dep_time", "d.d")
+def part(kind: str, day: object) -> str:
+    return f"{kind} {day}"
 
 
-def _put(df: DataFrame, path: str) -> None:
-    """Write by day, replacing the days that ``df`` holds."""
-    df.write.partitionBy("operating_day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def days_of(snap: snapshots.Snapshot, kind: str) -> list[str]:
+    """The days that a snapshot holds of a kind, in order."""
+    return sorted(n.split(" ", 1)[1] for n in snap.parts if n.startswith(f"{kind} "))
 
 
-def _prune(spark: SparkSession, path: str, keep: int) -> None:
-    """Remove all but the last ``keep`` days of a table."""
-    days = sorted(r[0] for r in spark.read.parquet(path).select("operating_day").distinct().collect())
-    for day in days[:-keep]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/operating_day={day}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def replay_table(spark: SparkSession, root: str, kind: str, schema) -> DataFrame:
+    """All rows of a kind in the last snapshot of a replay."""
+    snap = snapshots.snapshot(spark, root)
+    return snapshots.read(spark, root, schema, [part(kind, d) for d in days_of(snap, kind)], snap.version or None)
 
 
-def daily_replay(days: DataFrame, state: str, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], window: int = 14, least: int = 7) -> StreamingQuery:
+def daily_replay(
+    days: DataFrame, root: str, checkpoint: str, score: Callable[[DataFrame, DataFrame], DataFrame], cfg: Config, window: int = 14, least: int = 7, min_points: int = 200, keep: int = 2
+) -> StreamingQuery:
     """Score each day with offsets of the days before, then add it to the state and publish the offsets for the next day.
 
-    ``days`` streams rows with y, q10, q90, d0_min, horizon_min and operating_day, a file a day.
-    The state holds the rows of the last ``window`` days, older ones are removed, so that a day
-    reads and writes no more than these. A day that is run again replaces its own rows and
-    learns from those before it alone, so a restart gives the same result. ``out`` gets scores and
-    ``out``-offsets the offsets published after each day; with less than ``least`` days there are none.
+    ``days`` streams rows with y, q10, q90, d0_min, horizon_min and operating_day. The table at
+    ``root`` holds, of each day, its scores and the offsets published after it, and of the last
+    ``window`` days the rows. A day's scores, offsets and rows and the expiry of older rows are one
+    commit (see ``snapshots``), so a batch that is killed anywhere and run again gives the same
+    result: before the commit nothing has changed, and after it the day is replaced by itself,
+    learning from the days before it alone. With less than ``least`` days there are no offsets.
     """
 
     def one_day(rows: DataFrame, day: object) -> None:
         spark = rows.sparkSession
-        past = spark.read.schema(rows.schema).parquet(state) if present(spark, state) else rows.limit(0)
-        past = past.where(F.col("operating_day") < F.lit(day))
-        scored = score(rows.join(F.broadcast(offsets_of(past, "y", "q10", "q90", least)), "horizon_min", "left"))
-        _put(scored, out)
-        _put(rows, state)
-        _prune(spark, state, window)
-        kept = spark.read.schema(rows.schema).parquet(state).where(F.col("operating_day") <= F.lit(day))
-        _put(offsets_of(kept, "y", "q10", "q90", least).withColumn("operating_day", F.lit(day)), f"{out}-offsets")
+        snap = snapshots.snapshot(spark, root)
+        before = [d for d in days_of(snap, STATE) if d < str(day)]
+        # what was published after the day before is what this day is scored with
+        last = [part(OFFSETS, d) for d in days_of(snap, OFFSETS) if d < str(day)][-1:]
+        offsets = snapshots.read(spark, root, PUBLISHED, last, snap.version or None)
+        kept = snapshots.read(spark, root, rows.schema, [part(STATE, d) for d in before[-(window - 1) :]], snap.version or None)
+        after = offsets_of(kept.unionByName(rows), "y", "q10", "q90", cfg, least, min_points)
+        new = {part(SCORES, day): score(rows, offsets), part(OFFSETS, day): after.withColumn("operating_day", F.lit(day)), part(STATE, day): rows}
+        expired = [part(STATE, d) for d in days_of(snap, STATE) if d < str(day) and d not in before[-(window - 1) :]]
+        snapshots.publish(spark, root, new, expired)
 
     def batch(df: DataFrame, _: int) -> None:
         rows = df.select("horizon_min", "d0_min", "y", "q10", "q90", "operating_day").persist()
         for day in sorted(r[0] for r in rows.select("operating_day").distinct().collect()):
             one_day(rows.where(F.col("operating_day") == F.lit(day)), day)
         rows.unpersist()
+        snapshots.vacuum(df.sparkSession, root, keep)
 
     return days.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
