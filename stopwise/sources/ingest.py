@@ -120,7 +120,7 @@ def months_to_build(requested: list[str], done: dict[str, dict], force: bool = F
     return [m for m in dict.fromkeys(requested) if force or m not in done]
 
 
-def publish(trains: DataFrame, root: str, months: list[str] | None = None, expected: dict[str, int] | None = None, records: dict[str, dict] | None = None) -> int:
+def publish(trains: DataFrame, root: str, expected: dict[str, int] | None = None, months: list[str] | None = None, records: dict[str, dict] | None = None) -> int:
     """Publish the given months of ``trains`` (by default all that it has) as one new snapshot, each in place of the one there, sorted within files of whole days; the number of rows.
 
     What has been written is counted by month, against ``expected``, or else against the rows that
@@ -132,7 +132,7 @@ def publish(trains: DataFrame, root: str, months: list[str] | None = None, expec
         months = sorted(r[0] for r in trains.select(month).distinct().collect() if r[0])
     seen, total = Observation(), []
     rows = trains.withColumn("_month", month).observe(seen, *[F.count_if(F.col("_month") == m).alias(m) for m in months])
-    rows = rows.repartition("_month", "operating_day").sortWithinPartitions("operating_day", "trip_id", "arr_planned", "dep_planned")
+    rows = rows.repartition("_month", "operating_day").sortWithinPartitions("operating_day", "trip_id")
 
     def check(written: dict[str, int]) -> None:
         given = {m: n for m, n in (seen.get if expected is None else expected).items() if n}
@@ -167,7 +167,7 @@ def build(raw: DataFrame, root: str, requested: list[str], force: bool = False,
     if errors:
         raise ValueError("failed validation: " + "; ".join(sorted(errors)))
     if there:
-        publish(typed(own, mode), root, there, {m: audits[m]["train_rows"] for m in there}, {m: audits[m] for m in there})
+        publish(typed(own, mode), root, {m: audits[m]["train_rows"] for m in there}, there, {m: audits[m] for m in there})
     return out | {m: "built" if m in audits else "absent" for m in todo}
 
 

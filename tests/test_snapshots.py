@@ -27,7 +27,7 @@ def test_a_fault_anywhere_leaves_the_old_snapshot(spark, tmp_path, monkeypatch,
     """Every file operation of a publish is made to fail in turn; what was there is read as it was, by old and new readers."""
     root = f"{tmp_path}/months"
     old = stops(spark, ["2024-01-01", "2024-02-01"])
-    ig.publish(old, root, ["2024-01", "2024-02"])
+    ig.publish(old, root)
     new = stops(spark, ["2024-01-01", "2024-02-01", "2024-02-02"], per_day=5)
     done = []
 
@@ -55,7 +55,7 @@ def test_a_fault_anywhere_leaves_the_old_snapshot(spark, tmp_path, monkeypatch,
     check = sn.commit
     monkeypatch.setattr(sn, "commit", step(check))
     try:
-        ig.publish(new, root, ["2024-01", "2024-02"])
+        ig.publish(new, root)
         failed = False
     except Fault:
         failed = True
@@ -70,13 +70,13 @@ def test_a_fault_anywhere_leaves_the_old_snapshot(spark, tmp_path, monkeypatch,
 
 def test_a_month_without_rows_goes_and_writers_do_not_mix(spark, tmp_path):
     root = f"{tmp_path}/t"
-    ig.publish(stops(spark, ["2024-01-01", "2024-02-01"]), root, ["2024-01", "2024-02"])
-    ig.publish(stops(spark, ["2024-03-01"]), root, ["2024-02", "2024-03"])
+    ig.publish(stops(spark, ["2024-01-01", "2024-02-01"]), root)
+    ig.publish(stops(spark, ["2024-03-01"]), root, months=["2024-02", "2024-03"])
     assert sorted(sn.snapshot(spark, root).parts) == ["2024-01", "2024-03"]
     with pytest.raises(OSError):
         sn.commit(spark, root, {}, {}, base=1)
     with pytest.raises(ValueError):
-        ig.publish(stops(spark, ["2024-05-01"]), root, ["2024-05"], {"2024-05": 99})
+        ig.publish(stops(spark, ["2024-05-01"]), root, {"2024-05": 99})
     assert sorted(sn.snapshot(spark, root).parts) == ["2024-01", "2024-03"]
 
 
