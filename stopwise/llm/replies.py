@@ -4,7 +4,7 @@ Messages that reply to one another make trees. Joins of the table of ancestors w
 their distance each round, and the pairs of a leaf and its ancestors double with them, so all
 root-to-leaf paths are there after as many rounds as the depth has binary digits. Paths are ranked
 by score within their tree, and each chosen one is formatted as a conversation: turns between marks,
-mark-like strings inside texts escaped, and a mask of the characters to learn from.
+control strings inside texts escaped, and a mask of the characters to learn from.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import cut, join_counted
+from stopwise.llm.common import HOT, cut, join_counted, measured
 from stopwise.operators.ranks import numbered
 
 #: Marks of the template: a turn is OPEN, role, BETWEEN, text, CLOSE.
@@ -98,7 +98,10 @@ def formatted(turns: DataFrame, by: list[str], order: str, role: str = "role", t
     """``(by, formatted, learn)``: the turns of each group in order, and where the learned texts stand, ``(start, end)`` in code points."""
     r, t = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in (role, text))
     head, body = F.concat(F.lit(OPEN), r, F.lit(BETWEEN)), F.concat(F.lit(CLOSE), F.lit(END))
-    rows = turns.select(*by, F.col(order).alias("_at"), head.alias("_head"), t.alias("_text"), (F.col(role) == LEARNED).alias("_learn"))
+    rows = turns.select(*by, F.col(order).alias("_at"), head.alias("_head"), t.alias("_text"), (F.col(role) == LEARNED).alias("_learn"), *(["times"] if "times" in turns.columns else []))
+    if "times" in turns.columns:
+        rows = rows.where("times = 1").drop("times").unionByName(rows.where("times > 1").withColumn("_", F.explode(F.expr("sequence(1, times)"))).drop("times", "_"))
+    # repeats of a turn are alike, so their order does not matter
     before = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     size = F.char_length("_head") + F.char_length("_text") + len(CLOSE + END)
     rows = rows.withColumn("_begin", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.char_length("_head"))
@@ -121,7 +124,10 @@ def read_back(formatted_: Column) -> Column:
     return F.transform(turns, turn)
 
 
-def reply_trees(messages: DataFrame, best: int = 1, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str = "score") -> DataFrame:
+def reply_trees(
+    messages: DataFrame, best: int = 1, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str = "score",
+    links: DataFrame | None = None,
+) -> DataFrame:
     """``(tree, leaf, score, rank, formatted, learn)``: the ``best`` branches of every tree as conversations.
 
     A message whose parent is null or not in the table is a root; a tree may have several roots and
@@ -130,29 +136,47 @@ def reply_trees(messages: DataFrame, best: int = 1, tree: str = "tree", node: st
     must be told apart by the caller. Roles and texts hold anything, control strings too. A
     conversation is one value, so one that is longer than a row may be fails; trees of any number
     of branches are ranked by many tasks. An empty table gives none; other columns are ignored.
-    """
-    m = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(role).alias("role"), F.col(text).alias("text"), F.col(score).cast("double").alias("score"))
-    m = cut(m.where("node is not null"))
-    pairs = branches(m.select("tree", "node", "parent"))
-    chosen = cut(ranked(pairs, m.select("node", "score")).where(F.col("rank") <= best))
-    kept = cut(pairs.drop("tree").join(chosen, "leaf"))
-    texts = cut(kept.groupBy("node").agg(F.count("*").alias("n")).join(m.select("node", "role", "text"), "node"))
-    turns = join_counted(kept, texts, "node").withColumn("at", -F.col("up"))
-    return formatted(turns, ["tree", "leaf", "score", "rank"], "at")
-
 
-def chains(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``df`` as messages ``(tree, node, parent, role, text, score)``: each row replies to the one before it in its conversation.
-
-    Rows are taken by turn, nulls first, ties by role and text, so repeated rows follow one another. A row's
-    number in that order names it, and a join on the number before finds its parent.
+    Paths are found on ``links(tree, node, parent, score, times)`` alone, which are columns of the
+    messages unless given; texts are shuffled to their branches at the end. ``times`` says how often
+    a message stands in its place.
+    """
+    if links is None:
+        links = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(score).cast("double").alias("score"), F.lit(1).cast("long").alias("times"))
+        links = cut(links.where("node is not null"))
+    pairs = branches(links.select("tree", "node", "parent"))
+    chosen = cut(ranked(pairs, links.select("node", "score")).where(F.col("rank") <= best))
+    times = links.select("node", "times").where("times > 1")
+    kept = cut(pairs.drop("tree").join(chosen, "leaf").join(times, "node", "left").withColumn("times", F.coalesce("times", F.lit(1).cast("long"))))
+    # messages of many chosen branches are broadcast, a thousand at most; the others meet theirs by shuffle
+    total = kept.count()
+    often = cut(kept.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") * HOT >= max(total, HOT * HOT)).select("node"))
+    said = messages.select(F.col(node).alias("node"), F.col(role).alias("role"), F.col(text).alias("text"))
+    shared = said.join(F.broadcast(often), "node", "left_semi")
+    turns = kept.join(F.broadcast(often), "node", "left_anti").join(said, "node").unionByName(kept.join(measured(cut(shared)), "node"))
+    return formatted(turns.withColumn("at", -F.col("up")), ["tree", "leaf", "score", "rank"], "at")
+
+
+def chains(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``df`` as messages ``(tree, node, role, text)`` and their links: each row replies to the one before it in its conversation.
+
+    Rows are taken by turn, nulls first, ties by role and text. A digest of a row names it; rows that
+    repeat as a whole are one message that stands several times. The number of each in that order
+    finds its parent: a join on the number before.
     """
-    named = cut(df.select(F.col(conversation).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
+    named = df.select(F.col(conversation).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    digest_ = F.md5(F.to_json(F.struct(*named.columns)).cast("binary"))
+    m = named.select(digest_.alias("node"), *named.columns)
     order = [F.asc_nulls_first(c) for c in ("tree", "turn", "role", "text")]
-    placed = numbered(named, order, "node")
-    before = placed.select((F.col("node") + 1).alias("node"), F.col("node").alias("parent"), F.struct("tree").alias("own"))
-    linked = placed.withColumn("own", F.struct("tree")).join(before, ["node", "own"], "left")
-    return linked.select("tree", "node", "parent", "role", "text", F.lit(0.0).alias("score"))
+    placed = numbered(m, order, "at", keep=["tree", "node"])
+    ones = cut(placed.groupBy("tree", "node").agg(F.min("at").alias("at"), F.count("*").alias("times")))
+    # the next message begins where the repeats of this one end
+    before = ones.select((F.col("at") + F.col("times")).alias("at"), F.col("node").alias("parent"), F.struct("tree").alias("own"))
+    linked = ones.withColumn("own", F.struct("tree")).join(before, ["at", "own"], "left")
+    links = cut(linked.select("tree", "node", "parent", F.lit(0.0).alias("score"), "times"))
+    again = links.where("times > 1").select("node")
+    once = m if again.isEmpty() else m.join(again, "node", "left_anti").unionByName(m.join(again, "node", "left_semi").dropDuplicates(["node"]))
+    return once.select("tree", "node", "role", "text"), links
 
 
 def conversations(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -160,7 +184,8 @@ def conversations(df: DataFrame, conversation: str = "conv_id", turn: str = "tur
 
     Rows of a null conversation are one conversation. See ``chains`` and ``reply_trees``.
     """
-    out = reply_trees(chains(df, conversation, turn, role, text))
+    messages, links = chains(df, conversation, turn, role, text)
+    out = reply_trees(messages, links=links)
     return out.select(F.col("tree").alias(conversation), "formatted", "learn")
 
 
