@@ -79,18 +79,42 @@ class Splitter:
         return n, np.fromiter((c for part in out for c in part), np.int64, sum(map(len, out))) % buckets
 
 
-def histogram(df: DataFrame, text: str = "text", most: int = 2, buckets: int = 10_000) -> np.ndarray:
-    """How many features of all texts each bucket holds. Every task sends one row a bucket at most, and the driver receives ``buckets`` sums."""
+def _buckets(column: pa.Array, i: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), np.uint32 if wide else np.uint16)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, total = Splitter(), np.zeros(buckets, np.int64)
+
+def features(df: DataFrame, text: str = "text", key: str | None = "doc_id", most: int = 2, buckets: int = 10_000) -> DataFrame:
+    """``(key, n_words, buckets)`` of every row, stored: the buckets of all its features, two bytes each (four, of more than 65,536 buckets).
+
+    Texts are split this once; the histogram and the weights read what has been stored.
+    """
+    kind = df.schema[key].dataType.simpleString() if key else "int"
+    cell = np.uint32 if buckets > 1 << 16 else np.uint16
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter()
         for part in text_chunks(batches, "text"):
-            for t in part.column("text").to_pylist():
-                total += np.bincount(splitter.features(t, most, buckets)[1], minlength=buckets)
+            found = [splitter.features(t, most, buckets) for t in part.column("text").to_pylist()]
+            words, cells = pa.array([n for n, _ in found], pa.int64()), pa.array([x.astype(cell).tobytes() for _, x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("key"), words, cells], ["key", "n_words", "buckets"])
+
+    rows = df.select((df[key] if key else F.lit(0)).alias("key"), df[text].cast("string").alias("text"))
+    return cut(rows.mapInArrow(code, f"key {kind}, n_words long, buckets binary"))
+
+
+def histogram(coded: DataFrame, buckets: int = 10_000) -> np.ndarray:
+    """How many features of all rows of ``features`` each bucket holds. Every task sends one row a bucket at most, and the driver receives ``buckets`` sums."""
+    wide = buckets > 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total += np.bincount(_buckets(batch.column("buckets"), i, wide), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    rows = df.select(df[text].cast("string").alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -104,19 +128,19 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> list[int]:
     return [math.floor(1000 * math.log(float(t + 1) * float(whole) / (float(s + 1) * float(wanted)))) for s, t in zip(corpus.tolist(), target.tolist(), strict=True)]
 
 
-def weights(df: DataFrame, gain: list[int], text: str = "text", key: str = "doc_id", most: int = 2) -> DataFrame:
-    """``(key, n_words, n_features, weight)``: the floored mean gain of the features of every row, 0 where there are none."""
-    kind = df.schema[key].dataType.simpleString()
+def weights(coded: DataFrame, gain: list[int]) -> DataFrame:
+    """``(key, n_words, n_features, weight)`` of the rows of ``features``: the floored mean gain, 0 where there are no features."""
+    kind, wide = coded.schema["key"].dataType.simpleString(), len(gain) > 1 << 16
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, by = Splitter(), np.array(gain, np.int64)
-        for part in text_chunks(batches, "text"):
-            found = [splitter.features(t, most, len(by)) for t in part.column("text").to_pylist()]
-            means = [int(by[x].sum()) // len(x) if len(x) else 0 for _, x in found]
-            longs = ([n for n, _ in found], [len(x) for _, x in found], means)
-            yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(x, pa.int64()) for x in longs)], ["key", "n_words", "n_features", "weight"])
+        by = np.array(gain, np.int64)
+        for batch in batches:
+            cells = [_buckets(batch.column("buckets"), i, wide) for i in range(batch.num_rows)]
+            means = [int(by[x].sum()) // len(x) if len(x) else 0 for x in cells]
+            longs = (pa.array([len(x) for x in cells], pa.int64()), pa.array(means, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), *longs], ["key", "n_words", "n_features", "weight"])
 
-    return df.select(df[key].alias("key"), df[text].cast("string").alias("text")).mapInArrow(weigh, f"key {kind}, n_words long, n_features long, weight long")
+    return coded.mapInArrow(weigh, f"key {kind}, n_words long, n_features long, weight long")
 
 
 def resample(
@@ -138,8 +162,9 @@ def resample(
     (as many as there are scores) give the least score that is drawn, and only rows that reach it
     are dealt by ranges and numbered.
     """
-    gain = gains(histogram(df, text, most, buckets), histogram(target, target_text, most, buckets))
-    weighed = weights(df, gain, text, key, most)
+    coded = features(df, text, key, most, buckets)
+    goal = features(target, target_text, None, most, buckets)
+    weighed = weights(coded, gains(histogram(coded, buckets), histogram(goal, buckets)))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296)))
     scored = cut(weighed.withColumn("score", F.col("weight") + noise))
