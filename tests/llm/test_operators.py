@@ -267,8 +267,7 @@ def test_alike_paragraphs(spark):
     sets = {b: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for b, w in held.items()}
     by_row: dict = {}
     for r in blocks.collect():
-        if r["sig"]:
-            by_row.setdefault(r["key"], []).append(r["block"])
+        by_row.setdefault(r["key"], []).append(r["block"])
     links = {frozenset((r["block"], r["rep"])) for df in passages.alike(docs, blocks) for r in df.collect()}
     assert links and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in map(tuple, links))
     true = {frozenset((a, b)) for i in range(0, 120, 2) for a in by_row[i] for b in by_row[i + 1] if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
@@ -354,3 +353,64 @@ def test_shards_cut_no_group_that_fits(spark):
     assert len(homes.pop("giant")) <= -(-130 // (share - 1)) + 1
     assert all(len(s) == 1 for s in homes.values())
     assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((i % 600, len((t or "").encode()) + 16) for i, t in enumerate(texts))
+
+
+def test_links_of_a_bucket_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for m in (2, 5, 40):
+        base = rng.integers(0, 1 << 31, 60, dtype=np.int64).astype(np.int32)
+        sets = []
+        for _ in range(m):
+            x = base.copy()
+            at = rng.integers(0, 55)
+            x[at : at + rng.integers(0, 9)] = rng.integers(0, 1 << 31)
+            sets.append(x[: rng.integers(48, 61)])
+        row, pos = rng.integers(0, m, m), rng.integers(0, 90, m)
+        to = pos + np.array([len(x) for x in sets]) + 4
+        links, low, high = passages.linked(sets, row, pos, to, 0.8)
+        apart = lambda i, j: row[i] != row[j] or pos[j] >= to[i] or pos[i] >= to[j]  # noqa: E731, B023
+        near = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))  # noqa: E731, B023
+        true = [(i, j) for i in range(m) for j in range(i + 1, m) if apart(i, j) and near(i, j)]
+
+        def groups(pairs, n=m):
+            up = list(range(n))
+            for i, j in pairs:
+                a, b = up[i], up[j]
+                up = [a if u == b else u for u in up]
+            return up
+
+        assert set(links) <= set(true) and groups(links) == groups(true) and len(links) <= m - 1
+        for i in range(m):
+            held = [k for a, b in true if i in (a, b) for k, x in enumerate(sets[i]) if x in set(sets[a + b - i])]
+            assert (low[i], high[i]) == ((min(held), max(held)) if held else (1 << 30, -1))
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """A paragraph in hundreds of variants: with room for a few in a bucket, links stay and no task holds more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    said = [word() for _ in range(60)]
+    rows = [f"{word()} {' '.join(said)}" for _ in range(4)] + [" ".join(said[:i] + [word()] + said[i + 1 :]) for i in range(2, 58) for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    blocks = passages.cut(passages._blocks(docs, "doc_id", "text", 51))
+    monkeypatch.setattr(passages, "MOST", 24)
+    monkeypatch.setattr(passages, "LEADERS", 8)
+    nodes = blocks.groupBy("block").agg(F.min(F.struct("row", "pos", "n", "sig")).alias("one"), F.count("*").alias("places")).select("block", "one.*", "places")
+    members = passages._members(passages.cut(nodes))
+    sizes = {r["bucket"]: r["count"] for r in members.groupBy("bucket").count().collect()}
+    assert sizes and max(sizes.values()) <= 48  # about 24, as parts are dealt by a hash
+    links = {frozenset((r["block"], r["rep"])) for df in passages.alike(docs, blocks) for r in df.collect()}
+    root = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([tuple(x) for x in links], "src long, dst long")).collect()}
+    held = {r["block"]: rows[r["key"]].split()[r["pos"] : r["pos"] + r["n"] + 50] for r in blocks.collect()}
+    sets = {b: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for b, w in held.items()}
+    origins = {b for b, w in held.items() if " ".join(w) in " ".join(said)}
+    true = [(o, b) for o in origins for b in sets if b != o and len(sets[o] & sets[b]) >= 0.8 * len(sets[o] | sets[b])]
+    assert len(true) > 100 and sum(o in root and root[o] == root.get(b) for o, b in true) >= 0.9 * len(true)
+
+
+def test_shared_buckets(spark):
+    """A bucket of one row alone is found only if the row is spread; those of two rows are all found."""
+    rows = [(r, a, [r * 7 + i for i in range(6)]) for r in range(50) for a in (r, 1000, r // 2 + 5000)]
+    blocks = spark.createDataFrame(rows, "row long, anchor long, sig array<int>").repartition(3)
+    found = {r["bucket"] for r in passages.met_twice(blocks).collect()}
+    assert {1000, *(5000 + i for i in range(25))} <= found
