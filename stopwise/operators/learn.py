@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +82,6 @@ def fit_ridge(train: DataFrame, tune: DataFrame, y: str, numbers: list[str], nam
     return make(best).fit(a.unionByName(b)), best
 
 
-def fit_trees(train: DataFrame, tune: DataFrame, y: str, numbers: list[str], names: list[str], most: int = 20, depth: int = 4) -> tuple[PipelineModel, int]:
-    """Boosted trees for the absolute error; the number of trees that is best on the tuning rows, a tenth more, is fitted on both."""
-    a, b = flagged(train, numbers), flagged(tune, numbers)
-    prep = Pipeline(stages=preparation(numbers, names, False)).fit(a)
-    tree = GBTRegressor(labelCol=y, lossType="absolute", maxIter=most, maxDepth=depth, minInstancesPerNode=20, subsamplingRate=0.8, seed=1, maxBins=64)
-    errors = tree.fit(prep.transform(a)).evaluateEachIteration(prep.transform(b), "absolute")
-    trees = math.ceil((errors.index(min(errors)) + 1) * 1.1)
-    return Pipeline(stages=[*preparation(numbers, names, False), tree.setMaxIter(trees)]).fit(a.unionByName(b)), trees
-
-
 def fit_leaf_quantiles(train: DataFrame, y: str, numbers: list[str], names: list[str], depth: int = 5, least: int = 50) -> tuple[PipelineModel, DataFrame]:
     """A tree and the 10th and 90th percentile of each of its leaves; small leaves take those of all rows."""
     a = flagged(train, numbers)
@@ -105,22 +93,10 @@ def fit_leaf_quantiles(train: DataFrame, y: str, numbers: list[str], names: list
     return model, leaves.select("leaf", F.get(use, F.lit(0)).alias("q10"), F.get(use, F.lit(1)).alias("q90"))
 
 
-def importance_by_group(model: PipelineModel, df: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """Share of the model's importance of each group of features; ``groups`` maps a column to its group."""
-    attrs = model.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for part in attrs.values() for a in part}
-    values = model.stages[-1].featureImportances.toArray()
-    base = lambda n: n.removesuffix("_filled").removesuffix("_missing").removesuffix("_ix")
-    rows = [(groups.get(base(names.get(i, "")), "other"), float(v)) for i, v in enumerate(values)]
-    return df.sparkSession.createDataFrame(rows, "feature_group string, v double").groupBy("feature_group").agg(F.sum("v").alias("share"))
-
-
-def score(df: DataFrame, p50: PipelineModel, quantiles: PipelineModel, leaves: DataFrame, offsets: DataFrame, numbers: list[str]) -> DataFrame:
-    """Median, quantiles and calibrated bounds; the bounds never cross the median."""
-    x = p50.transform(flagged(df, numbers)).withColumnRenamed("prediction", "p50").select(*df.columns, "p50")
-    x = quantiles.transform(flagged(x, numbers)).select(*df.columns, "p50", "leaf").join(F.broadcast(leaves), "leaf").drop("leaf")
-    x = x.join(F.broadcast(offsets.select("horizon_min", "offset")), "horizon_min", "left").withColumn("_o", F.coalesce("offset", F.lit(0.0)))
-    return x.select(*df.columns, "p50", "q10", "q90", F.least(F.col("q10") - F.col("_o"), "p50").alias("lo"), F.greatest(F.col("q90") + F.col("_o"), "p50").alias("hi"))
+def bounded(df: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``df`` with p50, q10 and q90, and its calibrated bounds ``lo`` and ``hi``, which never cross the median."""
+    x = df.join(F.broadcast(offsets.select("horizon_min", "offset")), "horizon_min", "left").withColumn("_o", F.coalesce("offset", F.lit(0.0)))
+    return x.select(*df.columns, F.least(F.col("q10") - F.col("_o"), "p50").alias("lo"), F.greatest(F.col("q90") + F.col("_o"), "p50").alias("hi"))
 
 
 def verify_reload(model: PipelineModel, path: str, df: DataFrame, numbers: list[str]) -> float:

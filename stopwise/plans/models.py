@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.config import EVENTS
+from stopwise.operators import boost as bo
 from stopwise.operators import calibrate as cb
 from stopwise.operators import learn as ln
+from stopwise.plans.core import shared, source_state
 from stopwise.plans.domain import FEATURES, features
 from stopwise.plans.oracles import oracle
 from stopwise.plans.registry import query
@@ -30,15 +32,21 @@ SETS = {
 GROUPS = {c: g for g, cs in (("now", NOW), ("history", HISTORY), ("timetable", TIMETABLE), ("slack", SLACK), ("context", NAMES)) for c in cs}
 KEYS = ["trip_key", "stop_seq", "horizon_min"]
 HORIZONS = EVENTS.horizons
-#: Settings of the registered trees, the most trees and the depth: the tuning error stops them; see the README.
-MOST, DEPTH = 8, 4
+#: Boosting: an upper bound that the tuning days' loss stops well before, and how long it may fail to improve.
+MOST, PATIENCE = 400, 6
+ALPHAS = {"p50": 0.5, "q10": 0.1, "q90": 0.9}
+FEATURES_ = [*NUMBERS, *NAMES]
 
 
 def rows(s, d) -> DataFrame:
     """Labelled points with their features, rare categories folded as on the training days; stored, as every fit reads it."""
-    f = features(s, d)
-    f = f.select(*KEYS, "split", "delta_min", *[F.col(c).cast("double").alias(c) for c in NUMBERS], *[F.col(c).cast("string").alias(c) for c in NAMES])
-    f = stored(f.where("delta_min is not null"), "features")
+
+    def make() -> DataFrame:
+        f = features(s, d)
+        f = f.select(*KEYS, "split", "delta_min", *[F.col(c).cast("double").alias(c) for c in NUMBERS], *[F.col(c).cast("string").alias(c) for c in NAMES])
+        return f.where("delta_min is not null")
+
+    f = shared(s, d, "model_features", make)
     return ln.folded(f, ln.common_names(f.where("split = 'train'"), NAMES))
 
 
@@ -72,84 +80,135 @@ def ridge(a, b, numbers=NUMBERS, names=NAMES):
     return ln.fit_ridge(a, b, "delta_min", numbers, names)
 
 
-def trees(a, b, numbers=NUMBERS, names=NAMES):
-    return ln.fit_trees(a, b, "delta_min", numbers, names, MOST, DEPTH)
+def boost_table(s, d) -> DataFrame:
+    """The binned rows that all boosted models read; bins are those of the training days."""
 
+    def make() -> DataFrame:
+        f = rows(s, d)
+        part = F.when(F.col("split") == "train", bo.FIT).when(F.col("split") == "valid", bo.TUNE).otherwise(bo.OTHER)
+        b = bo.binning(f.where("split = 'train'"), NUMBERS, NAMES)
+        return bo.prepare(f.where("split in ('train', 'valid', 'test')"), b, "horizon_min", "delta_min", part, KEYS)
 
-def refit(s, d) -> DataFrame:
-    """Of each horizon the number of trees that the tuning days choose, a tenth more fitted on all, and the errors on the test days."""
-    f = rows(s, d)
+    return shared(s, d, "boost_table", make)
 
-    def one(horizon: int) -> tuple:
-        a, b, t = parts(f, horizon)
-        model, n = trees(a, b)
-        return horizon, n, len(model.stages[-1].trees), ln.mae(model.transform(ln.flagged(t, NUMBERS)), "delta_min")
 
-    return s.createDataFrame(each([(h,) for h in HORIZONS], one), "horizon_min int, chosen int, trees int, test_mae double")
+def fitted(s, d, name: str, make) -> list[bo.Model]:
+    """Models fitted once a session, kept as a table of their stages with losses and gains beside it."""
+    key = (s.sparkContext.applicationId, *source_state(s, d), name)
+    if key not in _fitted:
+        _fitted[key] = make()
+    return _fitted[key]
 
 
-def ablation(s, d) -> DataFrame:
-    """Error on the test days of each horizon, feature set and model."""
-    f = rows(s, d)
+#: Models by application, input and name: some thousand numbers each.
+_fitted: dict[tuple, list[bo.Model]] = {}
 
-    def one(horizon: int, name: str, kind: str) -> tuple:
-        a, b, t = parts(f, horizon)
-        numbers, names = SETS[name]
-        if kind == "ridge":
-            model, _ = ln.fit_ridge(a, b, "delta_min", numbers, names, (10.0,))
-        else:
-            model, _ = ln.fit_trees(a, b, "delta_min", numbers, names, 3, 3)
-        return horizon, name, kind, t.count(), ln.mae(model.transform(ln.flagged(t, numbers)), "delta_min")
 
-    jobs = [(h, n, k) for h in HORIZONS for n in SETS for k in ("ridge", "trees")]
-    return s.createDataFrame(each(jobs, one), "horizon_min int, feature_set string, model string, n long, test_mae double")
+def tuned(s, d) -> list[bo.Model]:
+    """Median and quantile models of all horizons, stopped on the tuning days."""
+    every = list(range(len(FEATURES_)))
+    models = [bo.Model(f"{n}|{h}", h, a, every) for n, a in ALPHAS.items() for h in HORIZONS]
+    return fitted(s, d, "tuned", lambda: bo.fit(boost_table(s, d), models, len(FEATURES_), MOST, PATIENCE))
 
 
-def leaf_quantiles(s, d) -> DataFrame:
-    f = rows(s, d)
+def final(s, d) -> list[bo.Model]:
+    """The second step: fitted again on training and tuning days, a tenth more trees each."""
+    return fitted(s, d, "final", lambda: bo.refitted(boost_table(s, d), tuned(s, d), len(FEATURES_), MOST))
 
-    def one(horizon: int) -> DataFrame:
-        a, _, t = parts(f, horizon)
-        model, leaves = ln.fit_leaf_quantiles(a, "delta_min", NUMBERS, NAMES)
-        return model.transform(ln.flagged(t, NUMBERS)).join(F.broadcast(leaves), "leaf").select(*KEYS, "q10", "q90")
 
-    return union(each([(h,) for h in HORIZONS], one))
+def test_rows(s, d) -> DataFrame:
+    return boost_table(s, d).where(F.col("part") == bo.OTHER)
 
 
-def importance(s, d) -> DataFrame:
-    f = rows(s, d)
+def boosted(s, d) -> DataFrame:
+    """The second step's medians on the test days, and how many trees the tuning days chose."""
+    chosen = F.create_map(*[F.lit(x) for m in tuned(s, d) if m.name.startswith("p50") for x in (m.group, float(m.best))])
+    p = bo.predict(test_rows(s, d), [m for m in final(s, d) if m.name.startswith("p50")], KEYS)
+    return p.select(*KEYS, chosen[F.col("horizon_min")].alias("chosen"), F.round("p50", 6).alias("prediction"))
 
-    def one(horizon: int) -> DataFrame:
-        a, b, _ = parts(f, horizon)
-        return ln.importance_by_group(trees(a, b)[0], ln.flagged(a, NUMBERS), GROUPS).select(F.lit(horizon).alias("horizon_min"), "feature_group", F.round("share", 6).alias("share"))
 
-    return union(each([(h,) for h in HORIZONS], one))
+def errors(s, d, models: list[bo.Model], name: str = "test_loss") -> DataFrame:
+    """``(horizon_min, model, name)``: the pinball loss on the test days, twice which is the absolute error of a median."""
+    names = list(dict.fromkeys(m.name.split("|")[0] for m in models))
+    alpha = {m.name.split("|")[0]: m.alpha for m in models}
+    p = bo.predict(test_rows(s, d), models, KEYS)
+    loss = [F.avg(F.greatest(F.lit(alpha[n]) * (F.col("y") - F.col(n)), F.lit(alpha[n] - 1) * (F.col("y") - F.col(n)))).alias(n) for n in names]
+    return p.groupBy("horizon_min").agg(*loss).unpivot(["horizon_min"], names, "model", name)
 
 
-def scored(s, d) -> DataFrame:
-    """The frozen scorer: median model, leaf quantiles and calibrated offsets, all from before the test days."""
+def refit(s, d) -> DataFrame:
+    """Of each horizon and model the trees that the tuning days choose, a tenth more in the second step, and the test losses of both steps."""
+    a, b = tuned(s, d), final(s, d)
+    sizes = s.createDataFrame([(x.group, x.name.split("|")[0], x.best, len(y.trees), MOST) for x, y in zip(a, b, strict=True)], "horizon_min int, model string, chosen int, trees int, bound int")
+    both = errors(s, d, a, "first_loss").join(errors(s, d, b, "second_loss"), ["horizon_min", "model"])
+    return sizes.join(both, ["horizon_min", "model"])
+
+
+def ablation(s, d) -> DataFrame:
+    """Absolute error on the test days of each horizon, feature set and model: 24 boosted models grown together, and 24 ridges."""
+    sets = {n: [FEATURES_.index(c) for c in [*numbers, *names]] for n, (numbers, names) in SETS.items()}
+    models = [bo.Model(f"{n}|{h}", h, 0.5, ix) for n, ix in sets.items() for h in HORIZONS]
+    made = fitted(s, d, "ablation", lambda: bo.fit(boost_table(s, d), models, len(FEATURES_), MOST, PATIENCE))
+    trees_ = errors(s, d, made, "loss").select("horizon_min", F.col("model").alias("feature_set"), F.lit("trees").alias("model"), (2 * F.col("loss")).alias("test_mae"))
     f = rows(s, d)
 
-    def one(horizon: int) -> DataFrame:
+    def one(horizon: int, name: str) -> tuple:
         a, b, t = parts(f, horizon)
-        model, _ = ridge(a, b)
-        tree, leaves = ln.fit_leaf_quantiles(a, "delta_min", NUMBERS, NAMES)
-        held = tree.transform(ln.flagged(b, NUMBERS)).join(F.broadcast(leaves), "leaf")
-        offsets = cb.conformal_offset(held, "delta_min", "q10", "q90", ["horizon_min"])
-        return ln.score(t, model, tree, leaves, offsets, NUMBERS).select(*KEYS, "d0_min", "p50", "q10", "q90", "lo", "hi")
+        numbers, names = SETS[name]
+        model, _ = ln.fit_ridge(a, b, "delta_min", numbers, names, (10.0,))
+        return horizon, name, "ridge", ln.mae(model.transform(ln.flagged(t, numbers)), "delta_min")
 
-    return union(each([(h,) for h in HORIZONS], one))
+    linear = s.createDataFrame(each([(h, n) for h in HORIZONS for n in SETS], one), "horizon_min int, feature_set string, model string, test_mae double")
+    counts = test_rows(s, d).groupBy("horizon_min").agg(F.count("y").alias("n"))
+    return trees_.unionByName(linear).join(counts, "horizon_min")
+
+
+def first_stage(s, d) -> DataFrame:
+    """Base and value after one stage of the 90th percentile, without features to split on."""
+    models = bo.fit(boost_table(s, d), [bo.Model(f"q90|{h}", h, 0.9, []) for h in HORIZONS], len(FEATURES_), 1, share=1.0)
+    first = [(m.group, m.base, m.base + 0.3 * float(m.trees[0].value[0])) for m in models]
+    return s.createDataFrame(first, "horizon_min int, base double, first double").select("horizon_min", F.round("base", 6).alias("base"), F.round("first", 6).alias("first"))
+
+
+def quantiles(s, d) -> DataFrame:
+    """10th and 90th percentiles on the test days, by boosting on the pinball loss, in order."""
+    p = bo.predict(test_rows(s, d), [m for m in final(s, d) if m.alpha != 0.5], KEYS)
+    return p.select(*KEYS, F.least("q10", "q90").alias("q10"), F.greatest("q10", "q90").alias("q90"))
+
+
+def importance(s, d) -> DataFrame:
+    """Share of the boosted medians' gain of each group of features."""
+    models = [m for m in final(s, d) if m.name.startswith("p50")]
+    gains = [(m.group, GROUPS[FEATURES_[f]], v / sum(m.gain.values())) for m in models for f, v in m.gain.items()]
+    gains += [(h, g, 0.0) for h in HORIZONS for g in dict.fromkeys(GROUPS.values())]
+    return s.createDataFrame(gains, "horizon_min int, feature_group string, v double").groupBy("horizon_min", "feature_group").agg(F.round(F.sum("v"), 6).alias("share"))
+
+
+def scored(s, d) -> DataFrame:
+    """The frozen scorer: boosted median and quantiles, and offsets calibrated on the tuning days from models that have not learned from these."""
+    first = bo.predict(boost_table(s, d).where(F.col("part") == bo.TUNE), [m for m in tuned(s, d) if m.alpha != 0.5], KEYS).withColumnRenamed("y", "delta_min")
+    offsets = cb.conformal_offset(first, "delta_min", "q10", "q90", ["horizon_min"])
+    p = bo.predict(test_rows(s, d), final(s, d), KEYS).drop("y")
+    d0 = rows(s, d).where("split = 'test'").select(*KEYS, "d0_min")
+    return ln.bounded(d0.join(p, KEYS), offsets).select(*KEYS, "d0_min", "p50", "q10", "q90", "lo", "hi")
 
 
 def reloaded(s, d) -> DataFrame:
+    """Largest difference of predictions after saving and loading, of ridges and of the boosted models' table of stages."""
     f = rows(s, d)
 
     def one(horizon: int) -> tuple:
         a, b, t = parts(f, horizon)
         most = ln.verify_reload(ridge(a, b)[0], shared_folder(s, "model"), t, NUMBERS)
-        return horizon, most, most <= 1e-3
+        return horizon, "ridge", most, most <= 1e-3
 
-    return s.createDataFrame(each([(h,) for h in HORIZONS], one), "horizon_min int, largest_difference double, same boolean")
+    linear = s.createDataFrame(each([(h,) for h in HORIZONS], one), "horizon_min int, model string, largest_difference double, same boolean")
+    models = final(s, d)
+    back = bo.from_stages(stored(bo.stages(s, models), "stages"))
+    a, b = (bo.predict(test_rows(s, d), m, KEYS).select(*KEYS, F.array("p50", "q10", "q90").alias(n)) for m, n in ((models, "a"), (back, "b")))
+    apart = F.array_max(F.transform(F.arrays_zip("a", "b"), lambda x: F.abs(x["a"] - x["b"])))
+    trees_ = a.join(b, KEYS).groupBy("horizon_min").agg(F.max(apart).alias("largest_difference"))
+    return linear.unionByName(trees_.select("horizon_min", F.lit("boosted").alias("model"), "largest_difference", (F.col("largest_difference") <= 1e-3).alias("same")))
 
 
 def answered(s, d) -> DataFrame:
@@ -191,10 +250,18 @@ _fold = lambda c: f"if({c} in (select {c} from tr group by all having count(*) >
 _code = lambda c: f"coalesce((select r from (select v, row_number() over (order by v) as r from (select distinct {_fold(c)} as v from tr) where v is not null) where v = {_fold('t.' + c).replace('select t.', 'select ')}), 0)::int as {c}"
 query("L02_codes", oracle(f"select trip_key, stop_seq, horizon_min, {', '.join(map(_z, NOW + SLACK))}, {_code('category')}, {_code('operator_abbr')} from lf t where split = 'test'", "labels_", _known))(coded)
 query("L03_ridge")(lambda s, d: predicted(s, d, ridge))
-query("L04_boosted_trees")(lambda s, d: predicted(s, d, trees))
+query("L04_boosted_trees")(boosted)
 query("L05_refit")(refit)
 query("L06_ablation")(ablation)
-query("L07_leaf_quantiles")(leaf_quantiles)
+query("L07_leaf_quantiles")(quantiles)
+#: One stage of a model without sampling or features: the base and the one leaf of each horizon are quantiles of the training days.
+query(
+    "L07_first_stage",
+    oracle(
+        "select horizon_min, round(q, 6) as base, round(q + 0.3 * quantile_disc(delta_min - q, 0.9), 6) as first from tr join (select horizon_min, quantile_disc(delta_min, 0.9) as q from tr group by all) using (horizon_min) group by horizon_min, q",
+        "labels_", _known,
+    ),
+)(first_stage)
 query("L08_importance")(importance)
 query("L09_scorer")(scored)
 query("L10_reload")(reloaded)
