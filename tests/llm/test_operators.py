@@ -380,6 +380,8 @@ def test_links_of_a_bucket_equal_brute_force():
             return up
 
         assert set(links) <= set(true) and groups(links) == groups(true) and len(links) <= m - 1
+        few = passages.linked_few([x.tolist() for x in sets], row.tolist(), pos.tolist(), to.tolist(), 0.8)
+        assert groups(few[0]) == groups(true) and set(few[0]) <= set(true) and (few[1], few[2]) == (low.tolist(), high.tolist())
         for i in range(m):
             held = [k for a, b in true if i in (a, b) for k, x in enumerate(sets[i]) if x in set(sets[a + b - i])]
             assert (low[i], high[i]) == ((min(held), max(held)) if held else (1 << 30, -1))
@@ -408,9 +410,16 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert len(true) > 100 and sum(o in root and root[o] == root.get(b) for o, b in true) >= 0.9 * len(true)
 
 
-def test_shared_buckets(spark):
-    """A bucket of one row alone is found only if the row is spread; those of two rows are all found."""
-    rows = [(r, a, [r * 7 + i for i in range(6)]) for r in range(50) for a in (r, 1000, r // 2 + 5000)]
-    blocks = spark.createDataFrame(rows, "row long, anchor long, sig array<int>").repartition(3)
-    found = {r["bucket"] for r in passages.met_twice(blocks).collect()}
-    assert {1000, *(5000 + i for i in range(25))} <= found
+def test_buckets_met_twice(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), [rng.randrange(-(10**9), 10**9) * 2**30 if rng.random() < 0.5 else rng.randrange(60) for _ in range(rng.randrange(5))]) for _ in range(900)]
+    marks: dict = {}
+    for m, buckets in rows:
+        for b in buckets:
+            marks.setdefault(b, set()).add(m)
+    df = spark.createDataFrame(rows, "mark int, buckets array<long>").repartition(3)
+    for sent in (1 << 20, 50):
+        monkeypatch.setattr(passages, "SENT", sent)
+        found = [r["bucket"] for r in passages.met_twice(df, 10**8).collect()]
+        assert sorted(found) == sorted(b for b, m in marks.items() if len(m) > 1)
+    assert passages.met_twice(df.limit(0), 0).count() == 0
