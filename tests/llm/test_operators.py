@@ -412,14 +412,14 @@ def test_large_buckets_are_split(spark, monkeypatch):
 
 def test_buckets_met_twice(spark, monkeypatch):
     rng = random.Random(3)
-    rows = [(rng.randrange(40), [rng.randrange(-(10**9), 10**9) * 2**30 if rng.random() < 0.5 else rng.randrange(60) for _ in range(rng.randrange(5))]) for _ in range(900)]
+    rows = [([rng.randrange(-40, 40), rng.randrange(3)], [rng.randrange(-(10**9), 10**9) * 2**30 if rng.random() < 0.5 else rng.randrange(200) for _ in range(rng.randrange(5))]) for _ in range(900)]
     marks: dict = {}
     for m, buckets in rows:
         for b in buckets:
-            marks.setdefault(b, set()).add(m)
-    df = spark.createDataFrame(rows, "mark int, buckets array<long>").repartition(3)
+            marks.setdefault(b, []).append(m)
+    df = spark.createDataFrame(rows, "marks array<int>, buckets array<long>").repartition(3)
     for sent in (1 << 20, 50):
         monkeypatch.setattr(passages, "SENT", sent)
-        found = [r["bucket"] for r in passages.met_twice(df, 10**8).collect()]
-        assert sorted(found) == sorted(b for b, m in marks.items() if len(m) > 1)
-    assert passages.met_twice(df.limit(0), 0).count() == 0
+        found = [r["bucket"] for r in passages.met_twice(df, 2, 10**8).collect()]
+        assert sorted(found) == sorted(b for b, m in marks.items() if all(len({x[k] for x in m}) > 1 for k in range(2)))
+    assert passages.met_twice(df.limit(0), 2, 0).count() == 0
