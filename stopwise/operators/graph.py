@@ -113,12 +113,12 @@ def pack_subgraphs(nodes: DataFrame, edges: DataFrame, node_x: DataFrame, edge_x
     )
 
 
-def hop_distances(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
-    """Fewest undirected steps between all pairs of a point's nodes; ``most`` + 1 for those farther apart or not connected.
+def hop_matrix(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """``(trip_key, stop_seq, n, hops)``, a row a point: n x n bytes, row by row, the fewest undirected steps between its nodes; ``most`` + 1 if farther or not connected.
 
     A point's edges are gathered into one row, where the nodes within so many steps of each are
     kept as the bits of a number, so there is one shuffle whatever the number of steps. A point
-    may have up to 63 nodes.
+    may have up to 63 nodes, and ``most`` may be up to 14.
     """
     ends = edges.groupBy(*POINT).agg(F.collect_set(F.struct("from_pos", "to_pos")).alias("ends"))
     bit = lambda i: F.expr("1L") if i is None else F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
@@ -139,11 +139,22 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFram
     p = p.withColumn("places", places).withColumn("near", F.transform("places", beside)).withColumn("d0", F.transform("places", bit)).withColumn("d1", F.col("near"))
     for step in range(2, most + 1):
         p = p.withColumn(f"d{step}", farther(f"d{step - 1}"))
-    pairs = p.withColumn("from_pos", F.explode("places")).withColumn("to_pos", F.explode("places"))
-    hops = F.lit(most + 1)
-    for step in range(most, -1, -1):
-        hops = F.when(F.get(f"d{step}", F.col("from_pos")).bitwiseAND(bit(F.col("to_pos"))) != 0, step).otherwise(hops)
-    return pairs.select(*POINT, "from_pos", "to_pos", hops.alias("hops"))
+    def byte(i: Column, j: Column) -> Column:
+        """A pair's distance as two hexadecimal digits: the number of steps after which it is not reached yet."""
+        missing = [(F.get(f"d{step}", i).bitwiseAND(bit(j)) == 0).cast("int") for step in range(most + 1)]
+        return F.concat(F.lit("0"), F.hex(sum(missing[1:], missing[0])))
+
+    rows = F.transform("places", lambda i: F.array_join(F.transform("places", lambda j: byte(i, j)), ""))
+    return p.select(*POINT, "n", F.unhex(F.array_join(rows, "")).alias("hops"))
+
+
+def hop_distances(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """``hop_matrix`` laid out: a row for each pair of a point's nodes."""
+    digits = F.col("digits")
+    pairs = hop_matrix(nodes, edges, most).select(*POINT, "n", F.hex("hops").alias("digits"))
+    pairs = pairs.select(*POINT, "n", "digits", F.explode(F.sequence(F.lit(0), F.col("n") * F.col("n") - 1)).alias("at"))
+    hops = F.conv(F.substring(digits, 2 * F.col("at") + 1, F.lit(2)), 16, 10).cast("int")
+    return pairs.select(*POINT, F.floor(F.col("at") / F.col("n")).cast("int").alias("from_pos"), (F.col("at") % F.col("n")).cast("int").alias("to_pos"), hops.alias("hops"))
 
 
 def rewire_edges(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:

@@ -153,29 +153,57 @@ def corridor_state(stations: DataFrame, segments: DataFrame, points: DataFrame,
     return out.select(*KEYS, *_state(st, "cor", 30), F.col("gn").cast("long").alias("net_cor_seg_n"), ratio("gs", "gn").alias("net_cor_seg_mean_gain"), "net_cor_gain_sum", "net_cor_seg_coverage")
 
 
-def station_states(stations: DataFrame, points: DataFrame) -> DataFrame:
-    """State of a point's current, next and target stations: the three are stacked, summed in one pass, and laid side by side."""
-    roles = {"cur": "cur_station_id", "next": "next_station_id", "tgt": "target_station_id"}
-    stacked = points.select(*KEYS, "m_end", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("station_id")) for r, c in roles.items()])).alias("at"))
-    sums = trailing_sums(stations, stacked.select(*KEYS, "m_end", "at.*"), {"station_id": "station_id"}, [*KEYS, "role"], (10, 30, 60))
-    values = [f"{v}_{w}" for w in (10, 30, 60) for v in "nsl"]
-    wide = sums.groupBy(*KEYS).agg(*[F.max(F.when(F.col("role") == r, F.struct(*values))).alias(r) for r in roles])
+def reaches(points: DataFrame, journeys: DataFrame) -> DataFrame:
+    """``(trip_key, stop_seq, m_end, k, station_id, prev_station_id)``: the stops from each departure to the farthest target of its horizons, the departure's own included.
 
-    def state(r: str) -> list:
-        side = {v: F.col(f"{r}.{v}") for v in values}
-        mean = lambda v, w: ratio(side[f"{v}_{w}"], side[f"n_{w}"])
-        out = [side["n_30"].cast("long").alias(f"net_{r}_n"), mean("s", 30).alias(f"net_{r}_mean_delay"), mean("l", 30).alias(f"net_{r}_share_late")]
-        if r != "tgt":
-            out += [side["n_10"].cast("long").alias(f"net_{r}_n_10"), mean("s", 10).alias(f"net_{r}_mean_delay_10")]
-        return [*out, mean("s", 60).alias("net_cur_mean_delay_60")] if r == "cur" else out
-
-    return wide.select(*KEYS, *[c for r in roles for c in state(r)])
+    Horizons of one departure look at the same stops, so what they ask for is listed once.
+    """
+    at = journeys.select("trip_key", F.col("stop_seq").alias("k"), "station_id", F.lag("station_id").over(Window.partitionBy("trip_key").orderBy("stop_seq")).alias("prev_station_id"))
+    far = points.groupBy("trip_key", "stop_seq", "m_end").agg(F.max("target_seq").alias("far"))
+    return far.select("trip_key", "stop_seq", "m_end", F.explode(F.sequence("stop_seq", "far")).alias("k")).join(at, ["trip_key", "k"])
 
 
 def features_of(stations: DataFrame, segments: DataFrame, departures: DataFrame, points: DataFrame, journeys: DataFrame, cfg: Config) -> DataFrame:
-    """All 33 network features of each labelled point, from the minute tables."""
-    out = station_states(stations, points).join(segment_state(segments, points), KEYS).join(network_state(network_minutes(stations), points), KEYS)
-    return out.join(corridor_state(stations, segments, points, journeys), KEYS, "left").join(last_before(departures, points, cfg), KEYS, "left")
+    """All 33 network features of each labelled point, from the minute tables.
+
+    A departure's stops are probed once for all horizons, roles and widths: one trailing pass over
+    the stations and one over the segments. Their answers are gathered in the order of the stops, so
+    the current, next and target station, the next segment and the corridor are places and
+    stretches of one list.
+    """
+    own, reach = ["trip_key", "stop_seq"], reaches(points, journeys)
+    keys = [*own, "k"]
+    st = trailing_sums(stations, reach, {"station_id": "station_id"}, keys, (10, 30, 60))
+    along = reach.where(F.col("k") > F.col("stop_seq"))
+    sg = trailing_sums(segments, along, {"from_station_id": "prev_station_id", "to_station_id": "station_id"}, keys, (10, 30), ("n", "s"))
+    at_stop = F.struct("k", *[f"{v}_{w}" for w in (10, 30, 60) for v in "nsl"])
+    at_run = F.struct("k", *[f"{v}_{w}" for w in (10, 30) for v in "ns"])
+    rows = st.select(*own, at_stop.alias("stop")).unionByName(sg.select(*own, at_run.alias("run")), allowMissingColumns=True)
+    lists = rows.groupBy(*own).agg(F.sort_array(F.collect_list("stop")).alias("stops"), F.sort_array(F.collect_list("run")).alias("runs"))
+    p = points.join(lists, own)
+    steps = (F.col("target_seq") - F.col("stop_seq")).cast("int")
+    stop = lambda i: F.get("stops", F.lit(i) if isinstance(i, int) else i)
+    run = F.get("runs", F.lit(0))
+    p = p.select(*KEYS, "m_end", stop(0).alias("cur"), stop(1).alias("next"), stop(steps).alias("tgt"), run.alias("seg"), F.slice("stops", F.lit(2), steps).alias("route"), F.slice("runs", F.lit(1), steps).alias("runs"))
+    total = lambda items, v: F.aggregate(F.transform(items, lambda x: x[v]), F.lit(0.0), lambda a, x: a + x)
+    gains = F.filter(F.transform("runs", lambda x: ratio(x["s_30"], x["n_30"])), lambda g: g.isNotNull())
+    mean = lambda r, v, w: ratio(F.col(f"{r}.{v}_{w}"), F.col(f"{r}.n_{w}"))
+    count = lambda r, w: F.col(f"{r}.n_{w}").cast("long")
+    out = p.select(
+        *KEYS, "m_end",
+        *[c for r in ("cur", "next", "tgt") for c in (count(r, 30).alias(f"net_{r}_n"), mean(r, "s", 30).alias(f"net_{r}_mean_delay"), mean(r, "l", 30).alias(f"net_{r}_share_late"))],
+        *[c for r in ("cur", "next") for c in (count(r, 10).alias(f"net_{r}_n_10"), mean(r, "s", 10).alias(f"net_{r}_mean_delay_10"))],
+        mean("cur", "s", 60).alias("net_cur_mean_delay_60"),
+        count("seg", 30).alias("net_seg_n"), mean("seg", "s", 30).alias("net_seg_mean_gain"), count("seg", 10).alias("net_seg_n_10"), mean("seg", "s", 10).alias("net_seg_mean_gain_10"),
+        total("route", "n_30").cast("long").alias("net_cor_n"), ratio(total("route", "s_30"), total("route", "n_30")).alias("net_cor_mean_delay"), ratio(total("route", "l_30"), total("route", "n_30")).alias("net_cor_share_late"),
+        total("runs", "n_30").cast("long").alias("net_cor_seg_n"), ratio(total("runs", "s_30"), total("runs", "n_30")).alias("net_cor_seg_mean_gain"),
+        F.when(F.size(gains) > 0, F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)).alias("net_cor_gain_sum"),
+        (F.size(F.filter("runs", lambda x: x["n_30"] > 0)) / F.size("runs")).alias("net_cor_seg_coverage"),
+    )
+    once = points.dropDuplicates(own)
+    ahead = last_before(departures, once, cfg).drop("horizon_min")
+    whole = network_state(network_minutes(stations), once.select(*KEYS, "m_end")).drop("horizon_min")
+    return out.drop("m_end").join(whole, own).join(ahead, own, "left")
 
 
 def network_features(trains: DataFrame, journeys: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:

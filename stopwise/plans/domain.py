@@ -83,9 +83,13 @@ def rounded(df, digits: int = R):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-def unsigned(df, digits: int = R):
-    """Rounded, and no zero negative."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in df.dtypes])
+def unsigned(df, digits: int = R, tie: float = 0.0):
+    """Rounded, and no zero negative. Means over powers of two lie on ties, which the order of a sum would decide; ``tie`` is added to both sides."""
+    return df.select(*[(F.round(F.col(c) + tie, digits) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+#: Far above the error of a sum of delays, far below the last digit compared.
+TIE = 1e-9
 
 
 def r_sql(columns: str, source: str, doubles: str) -> str:
@@ -195,7 +199,7 @@ q("K25_station_state", r_sql(f"{K}, net_cur_n, net_next_n, net_tgt_n", f"f_cur j
   lambda s, d: rounded(nw.station_state(stations(s, d), points(s, d), "cur", "cur_station_id").join(nw.station_state(stations(s, d), points(s, d), "next", "next_station_id"), nw.KEYS).join(
       nw.station_state(stations(s, d), points(s, d), "tgt", "target_station_id"), nw.KEYS).drop("net_cur_n_10", "net_cur_mean_delay_10", "net_cur_mean_delay_60", "net_next_n_10", "net_next_mean_delay_10")))
 q("K26_segment_state", r_sql(f"{K}, net_seg_n", "f_seg", "net_seg_mean_gain"), WIN, lambda s, d: rounded(nw.segment_state(segments(s, d), points(s, d)).drop("net_seg_n_10", "net_seg_mean_gain_10")))
-q("K27_network_state", r_sql(K, "f_all", ALL_D), WIN, lambda s, d: rounded(nw.network_state(nw.network_minutes(stations(s, d)), points(s, d))))
+q("K27_network_state", r_sql(K, "f_all", ALL_D).replace(f", {R}) as", f" + {TIE}, {R}) + 0 as"), WIN, lambda s, d: unsigned(tie=TIE, df=nw.network_state(nw.network_minutes(stations(s, d)), points(s, d))))
 q("K28_trend_state", r_sql(f"{K}, net_cur_n_10", "f_cur", "net_cur_mean_delay_10, net_cur_mean_delay_60"), WIN, lambda s, d: rounded(nw.station_state(stations(s, d), points(s, d), "cur", "cur_station_id").drop("net_cur_n", "net_cur_mean_delay", "net_cur_share_late")))
 q("E08_trailing_sums", f"select {K}, n as n_30, round(coalesce(s, 0), 6) as s_30 from w_cur_30", WIN, lambda s, d: nw.trailing_sums(stations(s, d), points(s, d), {"station_id": "cur_station_id"}, nw.KEYS, (10, 30, 60)).select(*nw.KEYS, F.col("n_30").cast("long").alias("n_30"), F.round("s_30", 6).alias("s_30")))
 q("C07_as_of_totals", f"select {K}, n as n_60 from w_next_60", WIN, lambda s, d: nw.trailing_sums(stations(s, d), points(s, d), {"station_id": "next_station_id"}, nw.KEYS, (60,)).select(*nw.KEYS, F.col("n_60").cast("long").alias("n_60")))
@@ -204,5 +208,5 @@ q("K30_train_ahead", r_sql(K, "ahead", AHEAD_D), WIN, lambda s, d: rounded(nw.la
 q("C08_as_of_strict", f"select {K}, round(net_ahead_headway_min, 6) as headway from ahead where net_ahead_headway_min is not null", WIN,
   lambda s, d: nw.last_before(nw.segment_departures(events(s, d)), points(s, d), C).where("net_ahead_headway_min is not null").select(*nw.KEYS, F.round("net_ahead_headway_min", 6).alias("headway")))
 q("K31_network_features", r_sql(f"{K}, net_cur_n, net_cur_n_10, net_next_n, net_next_n_10, net_tgt_n, net_seg_n, net_seg_n_10, net_cor_n, net_cor_seg_n",
-  f"f_cur join f_next using ({K}) join f_tgt using ({K}) join f_seg using ({K}) join f_all using ({K}) left join f_cor using ({K}) left join ahead using ({K})", ", ".join([CUR_D, NEXT_D, TGT_D, SEG_D, ALL_D, COR_D, AHEAD_D])).replace(f", {R}) as", f", {R}) + 0 as"), WIN,
-  lambda s, d: unsigned(nw.features_of(stations(s, d), segments(s, d), nw.segment_departures(events(s, d)), points(s, d), journeys(s, d), C)))
+  f"f_cur join f_next using ({K}) join f_tgt using ({K}) join f_seg using ({K}) join f_all using ({K}) left join f_cor using ({K}) left join ahead using ({K})", ", ".join([CUR_D, NEXT_D, TGT_D, SEG_D, ALL_D, COR_D, AHEAD_D])).replace(f", {R}) as", f" + {TIE}, {R}) + 0 as"), WIN,
+  lambda s, d: unsigned(tie=TIE, df=nw.features_of(stations(s, d), segments(s, d), nw.segment_departures(events(s, d)), points(s, d), journeys(s, d), C)))

@@ -80,8 +80,12 @@ q("K36_pack_subgraphs", f"select *, list_resize(coalesce(f, []), {C.max_edges},
 HOPS = G | {"ue": "select trip_key, stop_seq, from_pos as a, to_pos as b from edges union select trip_key, stop_seq, to_pos, from_pos from edges",
             "h0": "select trip_key, stop_seq, pos as a, pos as b, 0 as h from nodes"} | {
     f"h{i}": f"select trip_key, stop_seq, a, b, min(h) as h from (select * from h{i - 1} union all select x.trip_key, x.stop_seq, x.a, u.b, {i} from h{i - 1} x join ue u on u.trip_key = x.trip_key and u.stop_seq = x.stop_seq and u.a = x.b where x.h = {i - 1}) group by all" for i in range(1, 7)}
-q("K37_hop_distances", "select x.trip_key, x.stop_seq, x.pos as from_pos, y.pos as to_pos, coalesce(h, 7)::int as hops from nodes x join nodes y on y.trip_key = x.trip_key and y.stop_seq = x.stop_seq left join h6 on h6.trip_key = x.trip_key and h6.stop_seq = x.stop_seq and a = x.pos and b = y.pos",
-  HOPS, lambda s, d: gr.hop_distances(*parts(s, d)[1:]))
+q(
+    "K37_hop_distances",
+    "select trip_key, stop_seq, sqrt(count(*))::int as n, string_agg('0' || hops, '' order by a, b) as hops from (select x.trip_key, x.stop_seq, x.pos as a, y.pos as b, coalesce(h, 7)::int as hops "
+    "from nodes x join nodes y on y.trip_key = x.trip_key and y.stop_seq = x.stop_seq left join h6 on h6.trip_key = x.trip_key and h6.stop_seq = x.stop_seq and h6.a = x.pos and h6.b = y.pos) group by all",
+    HOPS, lambda s, d: gr.hop_matrix(*parts(s, d)[1:]).select("trip_key", "stop_seq", "n", F.hex("hops").alias("hops")),
+)
 _md = lambda end: f"('0x' || substr(md5(e.trip_key || '|' || e.stop_seq || '|' || eid || '|{end}' || '|3'), 1, 8))::bigint % n"
 
 
