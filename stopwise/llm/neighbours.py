@@ -24,6 +24,8 @@ TABLES = 8
 SAMPLE, AIM = 256, 0.95
 #: Rows of a bucket that one task holds; larger buckets are dealt over several tasks.
 SPLIT = 100_000
+#: Queries of a bucket that one task holds, about.
+QUERIES = 20_000
 ROUNDS = 3
 #: Rows that a bucket holds on average at most.
 FILL = 1000
@@ -128,7 +130,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
     Equal vectors are one node with its k + 1 smallest keys, which is all that a result can name.
     ``aim`` is the recall to reach on a sample of ``SAMPLE`` queries against brute force; the number
     of buckets probed follows from it, up to all of them, so that recall does not rest on luck. A
-    bucket beyond ``SPLIT`` rows is dealt over tasks and no candidate is left out.
+    bucket beyond ``SPLIT`` rows or ``QUERIES`` queries is dealt over tasks and no candidate is left out.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(
         F.col("id").isNotNull() & F.col("vec").isNotNull()
@@ -151,6 +153,17 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
     hashes = hashes_for(nodes.count(), dims + (not flat)) if hashes is None else hashes
     turns, probes = _probes(nodes, tables, hashes, dims + (not flat), k, longest, flat, aim)
 
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many queries of a batch probe each bucket."""
+        for batch in batches:
+            x = lifted(matrix(batch.column("vec")), longest, flat, True)
+            if not len(x):
+                continue
+            for t, r in enumerate(turns):
+                found = np.concatenate([r.buckets(x[lo : lo + 64], probes).ravel() for lo in range(0, len(x), 64)])
+                bucket, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), t, np.int32)), pa.array(bucket), pa.array(n)], ["table", "bucket", "n"])
+
     def placed(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = lifted(matrix(batch.column("vec")), longest, flat, query)
@@ -168,10 +181,15 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
     kind = "node long, vec array<double>, table int, bucket long"
     data = nodes.select("node", "vec").mapInArrow(lambda b: placed(b, False), kind)
     asked = nodes.where("asks = 1").select("node", "vec").mapInArrow(lambda b: placed(b, True), kind)
+    # a bucket is a grid of blocks: its rows and its queries are both dealt, and every block of rows meets every block of queries
+    counts = nodes.where("asks = 1").select("vec").mapInArrow(asked_for, "table int, bucket long, n long")
+    counts = counts.groupBy("table", "bucket").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("turns"))
     sizes = data.groupBy("table", "bucket").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    sizes = cut(sizes)
-    data = data.join(measured(sizes), ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    asked = asked.join(measured(sizes.toDF(*sizes.columns)), ["table", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sizes = cut(sizes.join(counts, ["table", "bucket"]))
+    dealt = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    data = data.join(measured(sizes), ["table", "bucket"]).withColumn("part", dealt("parts")).withColumn("turn", every("turns"))
+    asked = asked.join(measured(sizes.toDF(*sizes.columns)), ["table", "bucket"]).withColumn("turn", dealt("turns")).withColumn("part", every("parts"))
 
     def rank(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
@@ -186,7 +204,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key
         own, ids, scores = (np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3))
         return pa.table({"query": pa.array(own, pa.int64()), "node": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
-    by = ["table", "bucket", "part"]
+    by = ["table", "bucket", "part", "turn"]
     pairs = data.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(rank, "query long, node long, score double")
     # several tables may find a pair; their sums may differ in the last bit, so one of them stands for it
     pairs = pairs.groupBy("query", "node").agg(F.max("score").alias("score"))

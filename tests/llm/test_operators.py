@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stopwise.llm import bpe, licences, passages
+from stopwise.llm import bpe, licences, neighbours, passages
 from stopwise.llm.common import connected_components
 from stopwise.llm.decontaminate import contamination, proximity_matches, windows_of
 from stopwise.llm.language import identify
@@ -116,6 +116,17 @@ def test_neighbours_equal_brute_force(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+def test_neighbours_in_blocks_and_repeated_rows(spark, monkeypatch):
+    """Buckets dealt as grids of rows and queries, and rows that repeat a key and vector, give the same lists."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r], i) for i, r in enumerate(rng.normal(size=(240, 6)))]
+    lists = lambda df: sorted(tuple(r) for r in nearest(df, lambda key: key % 4 == 0, k=4, aim=1.0).collect())
+    once = lists(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"))
+    monkeypatch.setattr(neighbours, "SPLIT", 7)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    assert lists(spark.createDataFrame(rows + rows[:90] + rows[:5], "vec_id long, embedding array<double>, rank int").repartition(3)) == once
+
+
 @pytest.mark.parametrize("hashes", [1, 2, None])
 def test_neighbours_recall(spark, hashes):
     rng = np.random.default_rng(4)
