@@ -120,7 +120,7 @@ def test_neighbours_in_blocks_and_repeated_rows(spark, monkeypatch):
     """Buckets dealt as grids of rows and queries, and rows that repeat a key and vector, give the same lists."""
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in r], i) for i, r in enumerate(rng.normal(size=(240, 6)))]
-    lists = lambda df: sorted(tuple(r) for r in nearest(df, lambda key: key % 4 == 0, k=4, aim=1.0).collect())
+    lists = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in nearest(df, lambda key: key % 4 == 0, k=4, aim=1.0).collect())
     once = lists(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"))
     monkeypatch.setattr(neighbours, "SPLIT", 7)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
