@@ -10,7 +10,7 @@ from stopwise.operators import evaluate as ev
 from stopwise.operators import monitor as mo
 from stopwise.operators import network as nw
 from stopwise.plans.core import shared
-from stopwise.plans.domain import DAYS, NET, K, R, flags, points, prior, q, rounded, stations, unsigned, window_sql
+from stopwise.plans.domain import DAYS, NET, K, flags, points, prior, q, rounded, stations, unsigned, window_sql
 
 BUCKET = "case when d0_min < 1 then '<1' when d0_min < 3 then '1-3' when d0_min < 10 then '3-10' else '>10' end"
 PRED = DAYS | {"pred": f"select {K}, operating_day, split, d0_min, delta_min as y, pred_historical as p50, pred_offset as base, pred_historical - 3 as q10, pred_historical + 3 as q90, {BUCKET} as d0_bucket from prior"}
