@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopwise.llm import manifest as mf
-from stopwise.llm import queries, replies, resampling
+from stopwise.llm import queries, resampling
 from stopwise.llm.replies import CONTROLS, branches, conversations, digest, escaped, read_back, reply_trees, unescaped
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
