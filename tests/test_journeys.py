@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 
 from stopwise.config import Config
@@ -9,6 +10,7 @@ from stopwise.operators import journeys as jn
 from stopwise.operators import labels as lb
 from stopwise.operators import network as nw
 from stopwise.operators.calibrate import higher_quantile
+from stopwise.plans.oracles import oracle
 from stopwise.sources import ingest
 
 C = Config(scope=("IC",))
@@ -45,6 +47,19 @@ def test_order_country_and_validity(journeys):
     assert not rows["e", 2]["is_eligible_stop"]
 
 
+def test_stops_of_one_time_and_station_have_a_place_each(spark):
+    rows = trip("t", [8500001, 8500002, 8500002, 8500003], gap=0)
+    later = [(*r[:12], r[11] + timedelta(minutes=5), *r[13:]) if i == 1 else r for i, r in enumerate(rows)]
+    for given in (later, later[::-1]):
+        got = jn.journey_order(spark.createDataFrame(given, SCHEMA).repartition(3), C).where("arr_planned is not null and dep_planned is not null").orderBy("place").collect()
+        assert [(r["place"], r["arr_actual"] - r["arr_planned"]) for r in got] == [(2, timedelta(minutes=1)), (3, timedelta(minutes=5))]
+    # the SQL gives places from 1 without gaps or repeats, too
+    con = duckdb.connect()
+    con.execute("create table events as select i as event_id, timestamp '2024-01-01 10:00:00' + to_seconds(i % 2) as ts, 3 as user_id, 'view' as event_type, i * 1.0 as value from unnest([210, 213, 633, 636]) t(i)")
+    found = con.execute(oracle("select place from ordered order by place", "ordered")).fetchall()
+    assert found == [(i,) for i in range(1, 5)]
+
+
 def test_targets_and_statuses(journeys):
     rows = {(r["trip_key"].split("|")[1], r["stop_seq"], r["horizon_min"]): r for r in lb.horizon_labels(journeys, C).collect()}
     assert [rows["a", 1, h]["target_seq"] for h in (15, 30, 60)] == [2, 3, 5]
