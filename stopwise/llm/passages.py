@@ -18,7 +18,6 @@ numbers, to where those met twice are found, and only paragraphs of these go on.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +36,9 @@ RUN = 51
 GRAM = 16
 #: Bands and MinHashes of each: of paragraphs with a similarity of 0.8 they bring together 95 in 100, of 0.9 all but one in 150.
 BANDS, ROWS = 3, 2
-#: Different paragraphs of a bucket that are all held against one another, in one task; larger buckets are split by further MinHashes.
+#: Different paragraphs of a bucket that are all held against one another, in one task; larger buckets are dealt in parts, of which each two meet.
 MOST = 1024
-#: Paragraphs that are held against all parts of a bucket whose members agree in every MinHash.
+#: Paragraphs of such a part, at least.
 LEADERS = 64
 #: Paragraphs of a bucket up to which sets are faster than arrays.
 FEW = 6
@@ -452,54 +451,36 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def _dealt(todo: DataFrame, most: int) -> DataFrame:
-    """Members of large buckets in parts of about ``most``.
+    """Members of large buckets in parts, each part with every other in a bucket of about ``most``, so that all pairs meet.
 
-    Those in most places, of which the others may be variants, are in every part, up to ``LEADERS``
-    of them and about as many drawn by a hash, so that all members meet them.
+    The work grows with the square of a bucket's different paragraphs, as that of holding all its
+    pairs against one another does; no task holds more than two parts.
     """
-    counts = todo.groupBy("bucket", "places").agg(F.count("*").alias("c"))
-    above = F.sum("c").over(Window.partitionBy("bucket").orderBy(F.desc("places")))  # one row for each number of places
-    bars = counts.withColumn("above", above).where(F.col("above") <= LEADERS).groupBy("bucket").agg(F.min("places").alias("bar"))
-    parts = F.ceil(F.col("size") / (most - 2 * LEADERS))
-    drawn = F.pmod(F.xxhash64(F.lit(1), "block"), F.ceil(F.col("size") / LEADERS)) == 0
-    leads = drawn | F.coalesce(F.col("places") >= F.col("bar"), F.lit(False))
-    part = F.when(leads, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("block"), parts)))
-    # of large buckets there are few
-    return todo.join(measured(cut(bars)), "bucket", "left").withColumn("part", F.explode(part)).withColumn("bucket", F.xxhash64("bucket", "part"))
+    parts = F.ceil(F.col("size") / F.lit(max(most // 2, LEADERS)))
+    dealt = todo.withColumn("parts", F.greatest(parts, F.lit(2))).withColumn("own", F.pmod(F.xxhash64("block"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own <> other")
+    return dealt.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
 
 
 def _members(nodes: DataFrame, most: int = 0) -> DataFrame:
-    """``(bucket, block, row, pos, n)``: in which buckets of two to ``MOST`` different paragraphs the nodes meet.
+    """``(bucket, block, row, pos, n)``: in which buckets of two to about ``MOST`` different paragraphs the nodes meet.
 
-    Buckets with the same members are one. A larger one is dealt in parts (see ``_dealt``), and
-    also by one, two, three, and then all MinHashes of the other bands, by each choice of so many, so
-    that pairs that agree in any of these stay together; what agrees in all of them is dealt in parts again.
+    Buckets with the same members are one. A larger one is dealt in parts, of which each two make a
+    bucket (see ``_dealt``), so that no pair of a bucket is lost whatever its size.
     """
     most = most or MOST
-    todo = nodes.select("block", "row", "pos", "n", "sig", "places", F.posexplode(_band_buckets()).alias("band", "bucket")).withColumn("root", F.col("bucket"))
-    others, out = (BANDS - 1) * ROWS, []
-    other = lambda i: F.get("sig", F.pmod((F.col("band") + 1) * ROWS + i, F.lit(BANDS * ROWS)).cast("int"))
+    todo = nodes.select("block", "row", "pos", "n", F.explode(_band_buckets()).alias("bucket"))
     columns = ["bucket", "block", "row", "pos", "n"]
-    for depth in range(others + 1):
-        sizes = todo.groupBy("bucket").agg(F.count("*").alias("n_"), F.bit_xor(F.xxhash64("block")).alias("members"))
-        sizes = cut(sizes.where("n_ > 1").groupBy("n_", "members").agg(F.min("bucket").alias("bucket")))
-        # no bucket of these is hot
-        ready = sizes.where(F.col("n_") <= most).select("bucket")
-        out.append(todo.select(columns).join(measured(ready), "bucket", "left_semi").select(columns))
-        large = sizes.where(F.col("n_") > most).select("bucket", F.col("n_").alias("n"))
-        if large.isEmpty():
-            break
-        todo = cut(join_counted(todo.withColumnRenamed("n", "windows"), large.withColumn("size", F.col("n")), "bucket").withColumnRenamed("windows", "n"))
-        if depth in (0, others):
-            out.append(_dealt(todo, most).select(columns))
-        if depth == others:
-            break
-        chosen = F.array(*[F.xxhash64("root", F.lit(str(c)), *[other(i) for i in c]) for c in itertools.combinations(range(others), depth + 1)])
-        todo = todo.drop("size").dropDuplicates(["root", "block"]).withColumn("bucket", F.explode(chosen))
-    every = out[0]
-    for more in out[1:]:
-        every = every.union(more)
-    return every
+    sizes = todo.groupBy("bucket").agg(F.count("*").alias("n_"), F.bit_xor(F.xxhash64("block")).alias("members"))
+    sizes = cut(sizes.where("n_ > 1").groupBy("n_", "members").agg(F.min("bucket").alias("bucket")))
+    # no bucket of these is hot
+    ready = sizes.where(F.col("n_") <= most).select("bucket")
+    out = todo.join(measured(ready), "bucket", "left_semi").select(columns)
+    large = sizes.where(F.col("n_") > most).select("bucket", F.col("n_").alias("n"))
+    if large.isEmpty():
+        return out
+    big = join_counted(todo.withColumnRenamed("n", "windows"), large.withColumn("size", F.col("n")), "bucket").withColumnRenamed("windows", "n")
+    return out.union(_dealt(big, most).select(columns))
 
 
 def alike(df: DataFrame, blocks: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, threshold: float = SIMILARITY) -> list[DataFrame]:
@@ -544,6 +525,16 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", run:
         is_first = (F.col("first_row") == F.col("row")) & (F.col("pos") < F.col("first_pos") + F.col("windows") + (run - 1))
         return joined.withColumn("is_first", is_first).withColumnRenamed("windows", "n").select(columns)
 
+    def firsts_of_components(spans: DataFrame) -> DataFrame:
+        """``with_first`` by component: a text's spans of one component are one row, so a long text of many alike paragraphs meets its component once."""
+        lists = cut(spans.groupBy("key", "row", "component").agg(F.collect_list(F.struct("pos", "n", "start", "end")).alias("spans"), F.min("pos").alias("pos")))
+        stats = lists.groupBy("component").agg(F.min(F.struct("key", "row", "pos")).alias("least"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"))
+        first = F.struct(F.col("least.key").alias("key"), F.col("least.row").alias("row"), F.col("least.pos").alias("pos")).alias("first")
+        stats = cut(stats.where("low < high").select("component", "n", first))
+        each = join_counted(lists.drop("pos"), stats, "component").select("key", "row", "first", F.explode("spans").alias("s"))
+        is_first = (F.col("first.row") == F.col("row")) & (F.col("s.pos") < F.col("first.pos") + F.col("s.n") + (run - 1))
+        return each.select("key", "row", "s.*", F.col("first.key").alias("first_key"), is_first.alias("is_first")).select(columns)
+
     columns = ["key", "row", "pos", "n", "start", "end", "first_key", "is_first"]
     anchors = shared.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), (F.min("block") < F.max("block")).alias("mixed"), F.count("*").alias("n"))
     anchors = cut(anchors.where("low < high").select("anchor", "mixed", "n"))
@@ -564,7 +555,7 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", run:
     named = cut(named.join(groups, F.col("block") == F.col("node")).select("block", "n", "component", "from", "to"))
     members = join_counted(blocks.select("block", "row", "pos"), named, "block")
     members = members.select("row", (F.col("pos") + F.col("from")).alias("pos"), (F.col("to") - F.col("from") - run + 1).alias("n"), "component")
-    return out.union(with_first(cut(_located(df, key, text, run, members)), "component"))
+    return out.union(firsts_of_components(_located(df, key, text, run, members)))
 
 
 def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, threshold: float = SIMILARITY) -> DataFrame:

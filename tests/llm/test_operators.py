@@ -421,6 +421,19 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert len(true) > 100 and sum(o in root and root[o] == root.get(b) for o, b in true) >= 0.9 * len(true)
 
 
+def test_all_pairs_of_a_large_bucket_meet(spark, monkeypatch):
+    """Paragraphs that agree in every MinHash, so that nothing but dealing can part them: each two share a bucket, and none holds many."""
+    monkeypatch.setattr(passages, "MOST", 24)
+    monkeypatch.setattr(passages, "LEADERS", 8)
+    sig = list(range(passages.BANDS * passages.ROWS))
+    nodes = spark.createDataFrame([(i * 7919, i, 0, 1, sig, 1) for i in range(120)], "block long, row long, pos int, n int, sig array<int>, places long")
+    buckets: dict = {}
+    for r in passages._members(passages.cut(nodes)).collect():
+        buckets.setdefault(r["bucket"], set()).add(r["block"] // 7919)
+    met = {(a, b) for held in buckets.values() for a in held for b in held if a < b}
+    assert len(met) == 120 * 119 // 2 and max(map(len, buckets.values())) <= 48
+
+
 def test_buckets_met_twice(spark, monkeypatch):
     rng = random.Random(3)
     rows = [([rng.randrange(-40, 40), rng.randrange(3)], [rng.randrange(-(10**9), 10**9) * 2**30 if rng.random() < 0.5 else rng.randrange(200) for _ in range(rng.randrange(5))]) for _ in range(900)]
