@@ -118,3 +118,20 @@ def test_no_rows(spark, table):
     none = table[1].where("k < 0")
     m = bo.fit(none, models((0.5,)), 3, 5, patience=2)
     assert all(x.base == 0.0 and x.best == 0 for x in m) and bo.predict(none, m, ["k"]).count() == 0
+
+
+def test_leaf_values_are_exact_when_tasks_give_points_only(table, monkeypatch):
+    """Leaves far larger than the points that a task gives: the value is still the one at its rank, ties included."""
+    monkeypatch.setattr(bo, "POINTS", 8)
+    monkeypatch.setattr(bo, "HELD", 500)
+    m = bo.fit(table[1], [bo.Model("q90|15", 15, 0.9, [])], 3, 1, share=1.0)[0]
+    y = np.sort([r["y"] for r in table[1].where((F.col("part") == bo.FIT) & (F.col("g") == 15)).collect()])
+    at = math.ceil(0.9 * len(y)) - 1
+    assert m.base == y[at] and m.trees[0].value[0] == y[at] - m.base
+    rng = np.random.default_rng(0)
+    for alpha in (0.1, 0.5, 0.9):
+        tasks = [np.round(rng.normal(i, 3, 1000 * (i + 1)), 1) for i in range(4)]
+        given = [next(bo._points(0, np.zeros(len(t), np.uint8), t)) for t in tasks]
+        rank, low, high, exact = bo._between(alpha, [g[2] for g in given], *[[np.frombuffer(g[k], t) for g in given] for k, t in ((3, float), (4, np.int64), (5, np.int64))])
+        want = np.sort(np.concatenate(tasks))[math.ceil(alpha * 10_000) - 1]
+        assert rank == math.ceil(alpha * 10_000) and low < want <= high and (not exact or high == want)
