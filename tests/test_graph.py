@@ -13,3 +13,16 @@ def test_no_table_of_points_is_built_in_the_driver(spark):
 
     plan = plans.QUERIES["K36_pack_subgraphs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_nodes_are_found_without_edges(spark, monkeypatch):
+    """A query of nodes alone makes no edges between them, and queries of one session share its nodes."""
+    from stopwise.plans import QUERIES, network_graph
+
+    def unwanted(*_):
+        raise AssertionError("edges are made")
+
+    monkeypatch.setattr(network_graph.gr, "subgraph_edges", unwanted)
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["K33_subgraph_nodes"](spark, sf).columns == ["trip_key", "stop_seq", "pos", "station_id", "role", "hop", "found"]
+    assert network_graph.graph_nodes(spark, sf) is network_graph.graph_nodes(spark, sf)
