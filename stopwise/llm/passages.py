@@ -293,7 +293,7 @@ def _windows(df: DataFrame, key: str, text: str, run: int, wanted: DataFrame) ->
 
 
 def _located(df: DataFrame, key: str, text: str, run: int, wanted: DataFrame) -> DataFrame:
-    """``(key, row, component, pos, n, start, end)``: where the stretches ``wanted(row, pos, n, component)`` lie."""
+    """``(key, row, pos, n, start, end, first_key, is_first)``: where the stretches ``wanted(row, pos, n, first_key, is_first)`` lie."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text", 2 << 20):
@@ -302,11 +302,12 @@ def _located(df: DataFrame, key: str, text: str, run: int, wanted: DataFrame) ->
             first = w.first_word[of] + pos
             rows = [part.column(c).take(pa.array(of)) for c in ("key", "row")]
             ints = (pos, n, *w.chars(first, first + n + run - 1))
-            yield pa.RecordBatch.from_arrays([*rows, part.column("blocks").flatten().field("component"), *(pa.array(x.astype(np.int32)) for x in ints)], names)
+            told = [part.column("blocks").flatten().field(c) for c in ("first_key", "is_first")]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x.astype(np.int32)) for x in ints), *told], names)
 
-    names = ["key", "row", "component", "pos", "n", "start", "end"]
+    names = ["key", "row", "pos", "n", "start", "end", "first_key", "is_first"]
     kind = df.schema[key].dataType.simpleString()
-    return _wanted(df, key, text, wanted).mapInArrow(make, f"key {kind}, row long, component long, pos int, n int, start int, end int")
+    return _wanted(df, key, text, wanted).mapInArrow(make, f"key {kind}, row long, pos int, n int, start int, end int, first_key {kind}, is_first boolean")
 
 
 def _shingles_by_bucket(df: DataFrame, key: str, text: str, run: int, wanted: DataFrame) -> DataFrame:
@@ -469,7 +470,8 @@ def _members(nodes: DataFrame, most: int = 0) -> DataFrame:
     bucket (see ``_dealt``), so that no pair of a bucket is lost whatever its size.
     """
     most = most or MOST
-    todo = nodes.select("block", "row", "pos", "n", F.explode(_band_buckets()).alias("bucket"))
+    # stored, as it is read for the sizes and for small, hot and other large buckets
+    todo = cut(nodes.select("block", "row", "pos", "n", F.explode(_band_buckets()).alias("bucket")))
     columns = ["bucket", "block", "row", "pos", "n"]
     sizes = todo.groupBy("bucket").agg(F.count("*").alias("n_"), F.bit_xor(F.xxhash64("block")).alias("members"))
     sizes = cut(sizes.where("n_ > 1").groupBy("n_", "members").agg(F.min("bucket").alias("bucket")))
@@ -525,16 +527,6 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", run:
         is_first = (F.col("first_row") == F.col("row")) & (F.col("pos") < F.col("first_pos") + F.col("windows") + (run - 1))
         return joined.withColumn("is_first", is_first).withColumnRenamed("windows", "n").select(columns)
 
-    def firsts_of_components(spans: DataFrame) -> DataFrame:
-        """``with_first`` by component: a text's spans of one component are one row, so a long text of many alike paragraphs meets its component once."""
-        lists = cut(spans.groupBy("key", "row", "component").agg(F.collect_list(F.struct("pos", "n", "start", "end")).alias("spans"), F.min("pos").alias("pos")))
-        stats = lists.groupBy("component").agg(F.min(F.struct("key", "row", "pos")).alias("least"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"))
-        first = F.struct(F.col("least.key").alias("key"), F.col("least.row").alias("row"), F.col("least.pos").alias("pos")).alias("first")
-        stats = cut(stats.where("low < high").select("component", "n", first))
-        each = join_counted(lists.drop("pos"), stats, "component").select("key", "row", "first", F.explode("spans").alias("s"))
-        is_first = (F.col("first.row") == F.col("row")) & (F.col("s.pos") < F.col("first.pos") + F.col("s.n") + (run - 1))
-        return each.select("key", "row", "s.*", F.col("first.key").alias("first_key"), is_first.alias("is_first")).select(columns)
-
     columns = ["key", "row", "pos", "n", "start", "end", "first_key", "is_first"]
     anchors = shared.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), (F.min("block") < F.max("block")).alias("mixed"), F.count("*").alias("n"))
     anchors = cut(anchors.where("low < high").select("anchor", "mixed", "n"))
@@ -551,11 +543,18 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", run:
         every = every.union(more)
     groups = cut(connected_components(every.select(F.col("block").alias("src"), F.col("rep").alias("dst"))))
     parts = every.select("block", "part.*").union(every.select("rep", "rep_part.*")).groupBy("block").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    named = blocks.groupBy("block").agg(F.count("*").alias("n")).join(parts.where(F.col("to") - F.col("from") >= run), "block")
-    named = cut(named.join(groups, F.col("block") == F.col("node")).select("block", "n", "component", "from", "to"))
+    # the first place of a component is that of one of its paragraphs, so it is sought among different paragraphs, and a place meets its own alone
+    places = blocks.groupBy("block").agg(F.min(F.struct("key", "row", "pos")).alias("least"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"))
+    named = places.join(parts.where(F.col("to") - F.col("from") >= run), "block")
+    named = cut(named.join(groups, F.col("block") == F.col("node")).select("block", "n", "component", "from", "to", "least", "low", "high"))
+    begins = F.struct(F.col("least.key").alias("key"), F.col("least.row").alias("row"), (F.col("least.pos") + F.col("from")).alias("pos"))
+    firsts = named.groupBy("component").agg(F.min(begins).alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
+    firsts = cut(firsts.where("low < high").select("component", "first", "n"))
+    named = cut(join_counted(named.drop("least", "low", "high").withColumnRenamed("n", "places"), firsts, "component").withColumnRenamed("places", "n"))
     members = join_counted(blocks.select("block", "row", "pos"), named, "block")
-    members = members.select("row", (F.col("pos") + F.col("from")).alias("pos"), (F.col("to") - F.col("from") - run + 1).alias("n"), "component")
-    return out.union(firsts_of_components(_located(df, key, text, run, members)))
+    members = members.select("row", (F.col("pos") + F.col("from")).alias("pos"), (F.col("to") - F.col("from") - run + 1).alias("n"), "first")
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("pos") < F.col("first.pos") + F.col("n") + (run - 1))
+    return out.union(_located(df, key, text, run, members.select("row", "pos", "n", F.col("first.key").alias("first_key"), is_first.alias("is_first"))))
 
 
 def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, threshold: float = SIMILARITY) -> DataFrame:

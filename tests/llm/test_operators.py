@@ -434,6 +434,28 @@ def test_all_pairs_of_a_large_bucket_meet(spark, monkeypatch):
     assert len(met) == 120 * 119 // 2 and max(map(len, buckets.values())) <= 48
 
 
+def test_members_and_places_are_read_once(spark, monkeypatch, capsys):
+    """Buckets are made once, however many large ones there are, and places of alike paragraphs are neither gathered nor unpacked."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    said = [word() for _ in range(70)]
+    rows = [" ".join(said[:i] + [word()] + said[i + 1 :]) for i in range(2, 68, 2)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    monkeypatch.setattr(passages, "MOST", 8)
+    monkeypatch.setattr(passages, "LEADERS", 4)
+    blocks = passages.cut(passages._blocks(docs, "doc_id", "text", 51))
+    nodes = blocks.groupBy("block").agg(F.min(F.struct("row", "pos", "n", "sig")).alias("one"), F.count("*").alias("places")).select("block", "one.*", "places")
+    members = passages._members(passages.cut(nodes))
+    spans = passages.repeated_spans(docs)
+    capsys.readouterr()
+    for made in (members, spans):
+        made.explain()
+    assert "explode(array(xxhash64" not in (plans := capsys.readouterr().out) and "explode(spans" not in plans
+    found = spans.collect()
+    assert {r["key"] for r in found if r["is_first"] and r["first_key"] == 0} == {0}
+    assert len({r["key"] for r in found if not r["is_first"] and r["first_key"] == 0}) > len(rows) // 2
+
+
 def test_buckets_met_twice(spark, monkeypatch):
     rng = random.Random(3)
     rows = [([rng.randrange(-40, 40), rng.randrange(3)], [rng.randrange(-(10**9), 10**9) * 2**30 if rng.random() < 0.5 else rng.randrange(200) for _ in range(rng.randrange(5))]) for _ in range(900)]
