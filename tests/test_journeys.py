@@ -67,6 +67,28 @@ def test_targets_and_statuses(journeys):
     assert rows["a", 1, 15]["delta_min"] == 0 and rows["a", 1, 60]["in_common_subset"]
 
 
+def test_station_minutes_read_events_once(spark, capsys):
+    rows = [(1, "2024-01-01 10:00:30", "2024-01-01 10:02:00", 4.0, 1.0), (1, None, "2024-01-01 10:00:59", None, 2.5), (2, "2024-01-01 10:00:00", "2024-01-01 10:00:00", 5.0, None)]
+    events = spark.createDataFrame(rows, "station_id int, a string, b string, arr_d double, dep_d double")
+    events = events.select("*", events["a"].cast("timestamp_ntz").alias("arr_actual"), events["b"].cast("timestamp_ntz").alias("dep_actual"))
+    out = nw.station_minutes(events, C)
+    first = out.agg({"minute": "min"}).first()[0]
+    got = {(r["station_id"], r["minute"] - first): (r["n"], r["s"], r["l"]) for r in out.collect()}
+    assert got == {(1, 0): (2, 6.5, 1), (1, 2): (1, 1.0, 0), (2, 0): (1, 5.0, 1)}
+    capsys.readouterr()
+    nw.station_minutes(events, C).explain()  # not run yet, so one plan is shown
+    assert capsys.readouterr().out.count("Scan ") == 1
+
+
+def test_baselines_are_shared(spark, capsys):
+    from stopwise.plans import domain
+
+    capsys.readouterr()
+    domain.prior(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "prior-" in plan and "Join" not in plan
+
+
 def test_window_edges(spark):
     minutes = spark.createDataFrame([(1, m, 1, 1.0, 0) for m in (70, 71, 90, 100, 101)], "station_id int, minute long, n long, s double, l long")
     points = spark.createDataFrame([("t", 1, 15, 1, 100), ("u", 1, 15, None, 100)], "trip_key string, stop_seq long, horizon_min int, st int, m_end long")
