@@ -18,7 +18,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.sources.shared import stored
@@ -52,9 +52,10 @@ def binning(df: DataFrame, numbers: list[str], names: list[str], bins: int = BIN
     values: dict[str, list[str]] = {c: [] for c in names}
     if names:
         counts = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "name", "value").where("value is not null").groupBy("name", "value").count()
-        for c in names:
-            own = counts.where(F.col("name") == c).orderBy(F.desc("count"), "value").limit(bins - 1)
-            values[c] = sorted(r["value"] for r in own.collect())
+        place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("count"), "value"))
+        for r in counts.withColumn("place", place).where(F.col("place") < bins).collect():
+            values[r["name"]].append(r["value"])
+        values = {c: sorted(v) for c, v in values.items()}
     return Binning(cuts, values)
 
 
@@ -141,12 +142,25 @@ def _packed(b: Block) -> pa.RecordBatch:
 
 
 def _bins_of(batch: pa.RecordBatch) -> np.ndarray:
-    n = batch.num_rows
-    return np.ascontiguousarray(np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(n, -1).T) if n else np.zeros((0, 0), np.uint8)
+    """A batch's bins, a row a feature. Rows have as many bytes each, so the column's values lie one after another."""
+    if not batch.num_rows:
+        return np.zeros((0, 0), np.uint8)
+    x = batch.column("x")
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.ascontiguousarray(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(x), -1).T)
+
+
+def _as_bytes(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as one column of values."""
+    n, wide = x.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * wide), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def _pack(table: DataFrame, models: list[Model], parts: set[int]) -> DataFrame:
-    """The known rows of these parts in blocks of one group each, scores at 0; stored, as every job of a fit reads them."""
+    """The known rows of these parts in blocks of one group each, scores at 0; stored, as every job of a fit reads them.
+
+    Blocks are dealt evenly to twice as many files as tasks run at once, so that no pass over them waits for a last task.
+    """
     held = {g: sum(m.group == g for m in models) for g in {m.group for m in models}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +183,8 @@ def _pack(table: DataFrame, models: list[Model], parts: set[int]) -> DataFrame:
             yield full(g)
 
     rows = table.where(F.col("y").isNotNull() & F.col("part").isin(*parts) & F.col("g").isin(*held))
-    return stored(rows.select("g", "part", "y", "u", "x").mapInArrow(run, BLOCKS), "blocks")
+    blocks = rows.select("g", "part", "y", "u", "x").mapInArrow(run, BLOCKS)
+    return stored(blocks.repartition(2 * table.sparkSession.sparkContext.defaultParallelism), "blocks")
 
 
 def _kept(u: np.ndarray, turn: int, share: float) -> np.ndarray:
@@ -344,8 +359,7 @@ def prepare(df: DataFrame, b: Binning, group: str, y: str, part: Column, keys: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.ascontiguousarray(_binned(batch, named).T)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array([r.tobytes() for r in x], pa.binary())], [*own, "x"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], _as_bytes(_binned(batch, named).T)], [*own, "x"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return stored(rows.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in own], "x binary"])), "binned")

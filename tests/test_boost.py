@@ -135,3 +135,31 @@ def test_leaf_values_are_exact_when_tasks_give_points_only(table, monkeypatch):
         rank, low, high, exact = bo._between(alpha, [g[2] for g in given], *[[np.frombuffer(g[k], t) for g in given] for k, t in ((3, float), (4, np.int64), (5, np.int64))])
         want = np.sort(np.concatenate(tasks))[math.ceil(alpha * 10_000) - 1]
         assert rank == math.ceil(alpha * 10_000) and low < want <= high and (not exact or high == want)
+
+
+def test_blocks_are_dealt_evenly(spark, table, monkeypatch):
+    """Rows that come from one task are read by all: no pass over the blocks waits for one task."""
+    monkeypatch.setattr(bo, "BLOCK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    data = bo._pack(table[1].coalesce(1), models((0.5,)), {bo.FIT})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = data.groupBy(F.spark_partition_id()).agg(F.sum(F.length("part")).alias("n")).collect()
+    assert sum(r["n"] for r in held) == table[1].where(F.col("part") == bo.FIT).count()
+    assert max(r["n"] for r in held) < 0.5 * sum(r["n"] for r in held)
+
+
+def test_categories_are_counted_by_one_job(spark):
+    df = spark.createDataFrame([(v, v, v) for v in "xxyyzw"] + [(None, None, None)], "c string, d string, e string")
+    sc, group = spark.sparkContext, "categories"
+    sc.setJobGroup(group, group)
+    b = bo.binning(df, [], ["c", "d", "e"], bins=4)
+    few = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # the two commonest, and of those as common as each other the first
+    assert b.values == {c: ["w", "x", "y"] for c in "cde"} and few <= 3
+
+
+def test_bins_of_a_part_of_a_batch(table):
+    whole = table[1].select("x").toArrow().combine_chunks().to_batches()[0]
+    part = whole.slice(7, 20)
+    assert bo._bins_of(part).T.tolist() == [list(v) for v in part.column("x").to_pylist()] and bo._bins_of(whole.slice(0, 0)).shape == (0, 0)
