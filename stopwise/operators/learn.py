@@ -8,6 +8,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stopwise.sources.shared import stored
 
 #: Penalties tried, as multiples of a row's weight.
 PENALTIES = (0.1, 1.0, 10.0, 100.0, 1000.0, 10_000.0, 100_000.0)
@@ -76,20 +77,27 @@ def mae(df: DataFrame, y: str) -> float:
 def fit_ridge(train: DataFrame, tune: DataFrame, y: str, numbers: list[str], names: list[str], penalties: tuple[float, ...] = PENALTIES) -> tuple[PipelineModel, float]:
     """Ridge with the penalty of least error on the tuning rows, fitted again on both.
 
-    The preparation is learned once for all penalties, and the tuning rows are read once; a single penalty is not tried.
+    The rows given are read once, into a stored table of what the model sees of them. The preparation is
+    learned once for all penalties, and prepared rows are stored too, as each fit reads them twice;
+    a single penalty is not tried.
     """
-    a, b = flagged(train, numbers), flagged(tune, numbers)
+    seen = [y, *numbers, *names]
+    both = train.select(*seen, F.lit(True).alias("_train")).unionByName(tune.select(*seen, F.lit(False).alias("_train")))
+    both = stored(flagged(both, numbers), "ridge-rows")
+    a, b = both.where("_train"), both.where("not _train")
     n = a.count()
     line, best = LinearRegression(labelCol=y, elasticNetParam=0.0), penalties[0]
+    learned = lambda rows: Pipeline(stages=preparation(numbers, names, True)).fit(rows)
     if len(penalties) > 1:
-        ready = Pipeline(stages=preparation(numbers, names, True)).fit(a)
-        tried, told = ready.transform(a).select(y, "features"), ready.transform(b).select(y, "features")
+        ready = learned(a)
+        tried, told = stored(ready.transform(a).select(y, "features"), "ridge-vectors"), ready.transform(b).select(y, "features")
         for i, p in enumerate(penalties):
             told = line.copy({line.regParam: p / n, line.predictionCol: f"prediction_{i}"}).fit(tried).transform(told)
         errors = told.agg(*[F.avg(F.abs(F.col(y) - F.col(f"prediction_{i}"))) for i in range(len(penalties))]).first()
         best = min(zip(errors, penalties, strict=True), key=lambda e: e[0])[1]
-    last = line.copy({line.regParam: best / n})
-    return Pipeline(stages=[*preparation(numbers, names, True), last]).fit(a.unionByName(b)), best
+    ready = learned(both)
+    last = line.copy({line.regParam: best / n}).fit(stored(ready.transform(both).select(y, "features"), "ridge-vectors"))
+    return PipelineModel([*ready.stages, last]), best
 
 
 def fit_leaf_quantiles(train: DataFrame, y: str, numbers: list[str], names: list[str], depth: int = 5, least: int = 50) -> tuple[PipelineModel, DataFrame]:
@@ -110,12 +118,11 @@ def bounded(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def verify_reload(model: PipelineModel, path: str, df: DataFrame, numbers: list[str]) -> float:
-    """Save, load, and the largest difference of predictions."""
+    """Save, load, and the largest difference of predictions, of which each row gets both in one pass."""
     model.write().overwrite().save(path)
-    a, b = model.transform(flagged(df, numbers)), PipelineModel.load(path).transform(flagged(df, numbers))
-    keys = ["trip_key", "stop_seq", "horizon_min"]
-    both = a.select(*keys, F.col("prediction").alias("a")).join(b.select(*keys, F.col("prediction").alias("b")), keys)
-    return both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
+    x = flagged(df, numbers)
+    before = model.transform(x).select(*x.columns, F.col("prediction").alias("_saved"))
+    return PipelineModel.load(path).transform(before).agg(F.max(F.abs(F.col("_saved") - F.col("prediction")))).first()[0]
 
 
 def predict_requests(requests: DataFrame, scored: DataFrame, needed: list[str], horizons: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
 from stopwise.operators import learn as ln
 
@@ -44,3 +45,24 @@ def test_the_preparation_is_learned_once_for_all_penalties(rows, monkeypatch):
     tried = len(made)
     ln.fit_ridge(*rows, "y", NUMBERS, NAMES, (10.0,))
     assert (tried, len(made)) == (2, 3)
+
+
+@pytest.mark.parametrize("penalties", [SOME, (10.0,)])
+def test_rows_are_read_once_for_all_fits(spark, rows, penalties):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    a, b = (x.coalesce(1).mapInArrow(counted, x.schema) for x in rows)
+    ln.fit_ridge(a, b, "y", NUMBERS, NAMES, penalties)
+    assert read.value == 900
+
+
+def test_a_reloaded_model_is_compared_row_by_row(spark, rows, tmp_path):
+    """Rows that share a key, or have none, are each compared with themselves, in one pass without a join."""
+    model, _ = ln.fit_ridge(*rows, "y", NUMBERS, NAMES, (10.0,))
+    x = rows[1].select("*", F.lit("t").alias("trip_key"), F.lit(1).alias("stop_seq"), F.lit(15).alias("horizon_min"))
+    assert ln.verify_reload(model, f"{tmp_path}/model", x, NUMBERS) == 0.0
