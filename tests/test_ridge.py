@@ -1,5 +1,6 @@
 """Ridges: the penalty chosen and the predictions are those of a pipeline fitted anew for each penalty."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from stopwise.operators import learn as ln
+from stopwise.sources.shared import stored
 
 NUMBERS, NAMES, SOME = ["a", "b"], ["c"], (0.1, 100.0, 10_000.0)
 
@@ -66,3 +68,20 @@ def test_a_reloaded_model_is_compared_row_by_row(spark, rows, tmp_path):
     model, _ = ln.fit_ridge(*rows, "y", NUMBERS, NAMES, (10.0,))
     x = rows[1].select("*", F.lit("t").alias("trip_key"), F.lit(1).alias("stop_seq"), F.lit(15).alias("horizon_min"))
     assert ln.verify_reload(model, f"{tmp_path}/model", x, NUMBERS) == 0.0
+
+
+def test_rows_stored_by_value_are_the_same_and_read_apart(spark):
+    """Columns keep their order, nulls stay, and a horizon's rows are in files that no other horizon's reader opens."""
+    df = spark.createDataFrame([(i, 15 * (i % 3 + 1), None if i % 7 == 0 else f"s{i % 2}", i / 2) for i in range(60)], "k int, horizon_min int, split string, v double")
+    out = stored(df, "by", by=("horizon_min", "split"))
+    assert out.dtypes == df.dtypes and sorted(out.collect(), key=lambda r: r["k"]) == df.collect()
+    files = lambda x: {r[0] for r in x.select(F.input_file_name()).distinct().collect()}
+    assert not files(out.where("horizon_min = 15")) & files(out.where("horizon_min <> 15"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_features_are_stored_by_horizon_and_split(spark):
+    from stopwise.plans import models
+
+    plan = models.rows(spark, "/root/testdata/sf0.001").where("horizon_min = 15 and split = 'train'")._jdf.queryExecution().executedPlan().toString()
+    assert "horizon_min" in plan.split("PartitionFilters: ")[1].split("], ")[0]
